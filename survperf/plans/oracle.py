@@ -1,0 +1 @@
+SQL: dict[str, str] = {}
