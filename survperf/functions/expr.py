@@ -100,6 +100,8 @@ def binomial_two_sided(b: int, c: int) -> float:
     n, k = b + c, min(b, c)
     if b == c:
         return 1.0
+    if n <= 1000:
+        return min(1.0, 2 * sum(math.comb(n, i) for i in range(k + 1)) / 2**n)
     logs = [math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) - n * math.log(2) for i in range(k + 1)]
     return min(1.0, 2 * math.fsum(map(math.exp, logs)))
 

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from survperf.functions.session import cut
+
 SNAP = 1e-5
 
 
@@ -109,16 +111,11 @@ def attach_islands(edges: DataFrame, centres: DataFrame, most_islands: int = 10_
 
 def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     """(district, component): the smallest district that can be reached, by checkpointed label passing."""
-    sc = nodes.sparkSession.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        import tempfile
-
-        sc.setCheckpointDir(nodes.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp())
     labels = nodes.select("district", F.col("district").alias("component")).distinct()
     for _ in range(most_rounds):
         heard = edges.join(labels, edges.neighbour == labels.district).groupBy("focal").agg(F.min("component").alias("heard"))
         new = labels.join(heard, labels.district == heard.focal, "left").select("district", F.least("component", F.coalesce("heard", "component")).alias("component"), (F.col("heard") < F.col("component")).alias("moved"))
-        new = new.checkpoint()
+        new = cut(new)
         if new.filter("moved").isEmpty():
             return new.drop("moved")
         # a label's own label shortens paths

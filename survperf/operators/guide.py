@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from survperf.functions.expr import finite, isin_false, poisson_lower, safe_div, slope_p
+from survperf.functions.session import cut
 
 PROCESS_TARGET, PROCESS_MIN_CASES, NOISE_ALPHA = 80.0, 5, 0.05
 TREND_YEARS, TREND_TOLERANCE, PEAK_QUANTILE, MUTED = 5, 0.01, 2 / 3, 0.5
@@ -159,12 +160,15 @@ def worked_examples(focal: DataFrame) -> DataFrame:
         ((F.col("verdict") == VERDICTS[0]) & both & is_true(F.col("conventional_pass")), [low]),
         (is_true(F.col("spi_below")) & is_true(F.col("gate_pass")) & is_true(F.col("persistence_concern")) & ~is_true(F.col("extent_concern")), [low]),
     )
-    left, chosen = focal, None
+    rows = cut(focal.select("district", "verdict", "extent_concern", "persistence_concern", "conventional_pass", "expected_total", "spi_median", "spi_q95", "spi_below", "gate_pass"))
+    taken: list[tuple[int, str]] = []
     for n, (condition, order) in enumerate(picks, 1):
-        one = left.filter(condition).orderBy(*order, "district").limit(1).select(F.lit(n).alias("example"), "district")
-        left = left.join(F.broadcast(one.select("district")), "district", "left_anti")
-        chosen = one if chosen is None else chosen.unionAll(one)
-    return chosen
+        # at most three are taken before, so four candidates always suffice
+        best = [r.district for r in rows.filter(condition).orderBy(*order, "district").limit(len(picks)).select("district").collect()]
+        free = [d for d in best if d not in {t for _, t in taken}]
+        if free:
+            taken.append((n, free[0]))
+    return focal.sparkSession.createDataFrame(taken, "example int, district string")
 
 
 def verdict_counts(focal: DataFrame) -> DataFrame:
