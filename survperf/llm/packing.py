@@ -26,6 +26,7 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -36,10 +37,10 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces numbered by one group, and the most groups of a length.
 RANK_ROWS, MOST_SALTS = 256, 4096
-#: Words whose ids a worker remembers before it starts anew.
-REMEMBERED = 600_000
-#: Python splits at these, the tokenizer does not.
-ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Words whose ids a worker remembers before it starts anew, and words encoded as one text.
+REMEMBERED, JOINED = 1_100_000, 20_000
+#: Bytes of text worked on at once.
+GATHERED = 4 << 20
 #: A run of letters with plain marks after it: the tokenizer splits between the two.
 LETTERS_MARKS = re.compile(r"([^\W\d_]+)([.,;:!?]+)\Z")
 
@@ -56,6 +57,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@lru_cache(maxsize=2)
+def _closing(path: str) -> np.ndarray:
+    """Whether each id closes a word."""
+    vocab = _tokenizer(path).get_vocab(with_added_tokens=False)
+    closes = np.zeros(max(_tokenizer(path).get_vocab().values()) + 1, bool)
+    closes[[i for name, i in vocab.items() if name.endswith("</w>")]] = True
+    return closes
+
+
 @lru_cache(maxsize=2)
 def _memory(path: str) -> tuple[dict[str, bytes], dict[str, bytes]]:
     return {}, {}
@@ -65,36 +75,90 @@ def _packed(ids: list[int]) -> bytes:
     return np.asarray(ids, "<u4").tobytes()
 
 
-def token_bytes(texts: list[str], path: str) -> list[bytes]:
-    """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens.
+def _word_ids(words: list[str], path: str) -> list[bytes]:
+    """The ids of each of some words of letters alone.
 
-    The tokenizer drops white space and never joins across it, so that the ids of a text are those
-    of its words; each worker encodes a word once.
+    Such a word is one unit of the tokenizer, whose last id closes a word: many are encoded as
+    one text and told apart by that.
     """
-    tok = _tokenizer(path)
+    tok, closes, out = _tokenizer(path), _closing(path), []
+    for at in range(0, len(words), JOINED):
+        some = words[at : at + JOINED]
+        ids = np.asarray(tok.encode(" ".join(some), add_special_tokens=False).ids, "<u4")
+        ends = np.flatnonzero(closes[ids]) + 1
+        if len(ends) == len(some):
+            data, cuts = ids.tobytes(), [0, *(4 * ends).tolist()]
+            out += [data[x:y] for x, y in zip(cuts, cuts[1:], strict=False)]
+        else:  # a letter that the tokenizer changes into others
+            out += [_packed(e.ids) for e in tok.encode_batch_fast(some, add_special_tokens=False)]
+    return out
+
+
+def _learn(new: list[str], path: str) -> None:
+    """Remember the ids of words; those of letters with marks after them come from the two halves."""
     words, runs = _memory(path)
-    if len(words) > REMEMBERED:
-        words.clear()
-        runs.clear()
-    split = [t.split() for t in texts]
-    new = list({w for ws in split for w in ws if w not in words})
     halves = {w: m.groups() for w in new if (m := LETTERS_MARKS.match(w))}
-    whole = [w for w in new if w not in halves]
     parts = list({p for pair in halves.values() for p in pair if p not in runs})
-    for names, into in ((whole, words), (parts, runs)):
-        for name, enc in zip(names, tok.encode_batch_fast(names, add_special_tokens=False), strict=True):
+    for names, into in (([w for w in new if w not in halves], words), (parts, runs)):
+        plain = [n for n in names if n.isalpha()]
+        into.update(zip(plain, _word_ids(plain, path), strict=True))
+        other = [n for n in names if not n.isalpha()]
+        for name, enc in zip(other, _tokenizer(path).encode_batch_fast(other, add_special_tokens=False), strict=True):
             into[name] = _packed(enc.ids)
     for w, (a, b) in halves.items():
         words[w] = runs[a] + runs[b]
-    out = []
-    for text, ws in zip(texts, split, strict=True):
-        if ODD_SPACE.search(text):
-            out.append(_packed(tok.encode(text, add_special_tokens=False).ids))
-        else:
-            out.append(b"".join([words[w] for w in ws]))
+
+
+def _lowered(texts: pa.Array) -> pa.Array:
+    """Texts in lower case, as the tokenizer makes them, where Unicode leaves no doubt how."""
+    doubtful = pc.or_(pc.match_substring_regex(texts, r"[^\x{0}-\x{FF}]"), pc.match_substring(texts, "<|"))
+    return pc.if_else(doubtful, texts, pc.utf8_lower(texts))
+
+
+def token_bytes(texts: pa.Array | list[str], path: str) -> list[bytes]:
+    """Each text's ids as little-endian unsigned 32-bit numbers, without special tokens.
+
+    The tokenizer drops white space and never joins across it, so that the ids of a text are those
+    of its words; each worker encodes a word once and looks up each word of a batch once.
+    """
+    texts = pc.fill_null(pa.array(texts, pa.string()), "")
+    if not len(texts):
+        return []
+    words, runs = _memory(path)
+    if len(words) > REMEMBERED:
+        words.clear()
+        runs.clear()
+    words[""] = b""
+    split = pc.utf8_split_whitespace(_lowered(texts))
+    coded = split.flatten().dictionary_encode()
+    distinct = coded.dictionary.to_pylist()
+    _learn([w for w in distinct if w not in words], path)
+    each = [words[w] for w in distinct]
+    sizes = np.fromiter(map(len, each), np.int64, len(each)) // 4
+    pool = np.frombuffer(b"".join(each), "<u4")
+    at = coded.indices.to_numpy(zero_copy_only=False)
+    counts = sizes[at]
+    ends = np.concatenate(([0], np.cumsum(counts)))
+    ids = pool[np.repeat((np.cumsum(sizes) - sizes)[at] - ends[:-1], counts) + np.arange(ends[-1])]
+    cuts = ends[split.offsets.to_numpy() - split.offsets[0].as_py()].tolist()
+    out = [ids[x:y].tobytes() for x, y in zip(cuts, cuts[1:], strict=False)]
+    for row in np.flatnonzero(pc.match_substring_regex(texts, "[\x1c-\x1f]").to_numpy(zero_copy_only=False)).tolist():
+        out[row] = _packed(_tokenizer(path).encode(texts[row].as_py(), add_special_tokens=False).ids)  # the tokenizer does not split there
     return out
 
 
+def gathered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Small batches put together until they hold ``GATHERED`` bytes."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        held.append(batch)
+        if sum(b.nbytes for b in held) >= GATHERED:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            held = []
+    if rest := pa.Table.from_batches(held).combine_chunks().to_batches() if held else []:
+        yield rest[0]
+
+
 def tokenize_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """(id, piece, start, length, ids): the pieces of each row's tokens, ``end_id`` last; ids are little-endian uint32."""
     small_batches(df.sparkSession)
@@ -103,10 +167,9 @@ def tokenize_pieces(df: DataFrame, path: str, id_col: str = "doc_id", text_col:
     end, width = _packed([end_id]), 4 * capacity
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in gathered(batches):
             owners, pieces, ids = [], [], []
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for row, data in enumerate(token_bytes(texts, path)):
+            for row, data in enumerate(token_bytes(batch.column(1), path)):
                 data += end
                 for n, at in enumerate(range(0, len(data), width)):
                     owners.append(row)
