@@ -2,8 +2,10 @@
 
 Words are runs of ASCII letters, digits and characters beyond ASCII, A-Z in lower case. The
 hashes of all windows of ``WINDOW`` consecutive item words, and of whole shorter items, are the
-test side; each document's windows of the same lengths are probed against it in the scan itself, a
-hit is verified word by word, and only hits and one row for each document are shuffled.
+test side; each document's windows of the same lengths are probed against it in the scan itself:
+first by the hash of a window's first two words (one, if an item has but one), then, where those
+start a test window, by the hash of the whole window. A hit is verified word by word, and only
+hits and one row for each document are shuffled.
 
 The test side is broadcast while it has at most ``MOST_BROADCAST`` windows, and joined by a
 shuffle beyond that.
@@ -33,10 +35,13 @@ def words_of(text: Column) -> Column:
     return F.regexp_extract_all(ascii_lower(F.coalesce(text, F.lit(""))), F.lit(WORD), F.lit(0))
 
 
-def grams(words: Column, n: int) -> Column:
-    """Hashes of all windows of ``n`` words."""
-    at = F.sequence(F.lit(1), F.size(words) - (n - 1))
-    hashes = F.transform(at, lambda i: F.xxhash64(F.slice(words, i, n)))
+def heads(words: Column, n: int) -> Column:
+    """Hashes of the first ``n`` words, one or two, at each place that has them."""
+    at = F.sequence(F.lit(0), F.size(words) - n)
+    if n == 1:
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i)))
+    else:
+        hashes = F.transform(at, lambda i: F.xxhash64(F.get(words, i), F.get(words, i + 1)))
     return F.when(F.size(words) >= n, hashes).otherwise(F.array().cast("array<bigint>"))
 
 
@@ -56,28 +61,26 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
     occurring windows.
     """
     side = test_windows(benchmark, window=window)
-    lengths = sorted((r[0] for r in side.select("n").distinct().collect()), reverse=True)  # at most `window` numbers
-    test = side.withColumnRenamed("n", "tn")
+    lengths = [r[0] for r in side.select("n").distinct().collect()]  # at most `window` numbers
+    width = 1 if 1 in lengths else 2
+    first = F.slice(F.split("gram", " "), 1, width)
+    head = F.xxhash64(first[0]) if width == 1 else F.xxhash64(first[0], first[1])
+    test = side.select("h", F.col("n").alias("tn"), "gram", "item", head.alias("head"))
+    starts = test.select(F.col("head").alias("start"), F.col("tn").alias("n")).distinct()
     if side.count() <= MOST_BROADCAST:
-        test = F.broadcast(test)
+        test, starts = F.broadcast(test), F.broadcast(starts)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("text_hash"), words_of(F.col(text_col)).alias("w"))
-    lengths = lengths or [window]
-    arrays = [grams(F.col("w"), n) for n in lengths]
     # the first element, a null, stands for the document itself
-    probes = rows.select("id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), *arrays)).alias("at", "h"))
-    size, first, n, done = F.size("w"), F.col("at"), F.lit(lengths[-1]), F.lit(0)
-    for k in lengths:
-        step = F.greatest(size - (k - 1), F.lit(0))
-        inside = (F.col("at") > done) & (F.col("at") <= done + step)
-        first, n = F.when(inside, F.col("at") - done).otherwise(first), F.when(inside, F.lit(k)).otherwise(n)
-        done = done + step
-    if len(lengths) == 1:
-        first, n = F.col("at"), F.lit(lengths[0])
-    probes = probes.withColumns({"first": first, "n": n})
-    same = (F.col("n") == F.col("tn")) & (F.array_join(F.slice("w", F.greatest(F.col("first"), F.lit(1)), F.col("n")), " ") == F.col("gram"))
-    hits = probes.join(test, (probes.h == test.h) & same, "left").filter((F.col("at") == 0) | F.col("gram").isNotNull())
-    span = F.when(F.col("at") > 0, F.struct(F.col("first").alias("first"), F.col("n").alias("n")))
-    return hits.select("id", "text_hash", size.cast("long").alias("n_words"), (F.col("at") == 0).cast("long").alias("c"), span.alias("span"), "item").groupBy("id", "text_hash").agg(
+    probes = rows.select("id", "text_hash", "w", F.posexplode(F.concat(F.array(F.lit(None).cast("bigint")), heads(F.col("w"), width))).alias("at", "start"))
+    # places whose first words start a window, for each length of such windows
+    some = probes.join(starts, "start", "left").filter((F.col("at") == 0) | (F.col("at") + F.col("n") - 1 <= F.size("w")))
+    window_words = F.slice("w", F.greatest(F.col("at"), F.lit(1)), F.coalesce("n", F.lit(0)))
+    some = some.withColumn("wh", F.when(F.col("at") > 0, F.xxhash64(window_words)))
+    same = (F.col("n") == F.col("tn")) & (F.array_join(window_words, " ") == F.col("gram"))
+    hits = some.join(test, (some.wh == test.h) & same, "left").filter((F.col("at") == 0) | F.col("gram").isNotNull())
+    span = F.when(F.col("at") > 0, F.struct(F.col("at").alias("first"), "n"))
+    slim = hits.select("id", "text_hash", F.size("w").cast("long").alias("n_words"), (F.col("at") == 0).cast("long").alias("c"), span.alias("span"), "item")
+    return slim.groupBy("id", "text_hash").agg(
         F.max("n_words").alias("n_words"), F.sum("c").alias("copies"), F.array_sort(F.collect_set("span")).alias("spans"), F.collect_set("item").alias("items")
     )
 
