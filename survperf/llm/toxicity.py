@@ -3,12 +3,14 @@
 Folding lower-cases, maps look-alike letters of other scripts and digits written for letters,
 so that disguised words match. A lexicon entry is a whole word ("=word") or a stem that starts
 words; an exception phrase that covers a match cancels it. A text's score is a logistic
-function of the matched weights, normalised by its length.
+function of the sum of the matched weights, normalised by its length in two ways: over a slowly
+growing function of the words, and for each hundred words.
 
-``fit`` starts from a short public list and learns weights (log-odds of an entry's documents) of
-words and stems of at most ``sample`` labelled documents of each class. Counting is done
-where the rows are; what reaches the driver is the entries that pass the support and odds
-bounds, at most ``MOST_ENTRIES``.
+``fit`` starts from a short public list and learns weights (log-odds of an entry among the words of
+toxic and of other texts) of words and stems of at most ``sample`` labelled documents of each
+class. Entries may occur in other texts by chance: what counts is how much is matched. Counting is
+done where the rows are; what reaches the driver is the entries that pass the bounds, at most
+``MOST_ENTRIES``.
 
 Defined cases: a null or empty text has no match and the score of none; without labels of both
 classes the list's own weights hold. ``with_toxicity`` keeps all columns and replaces its own names.
@@ -29,13 +31,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from survperf.llm.common import small_batches
+from survperf.llm.common import cut, small_batches
 from survperf.llm.quality import labelled_sample
 
 SAMPLE = 4000
 STEM = range(4, 11)
-#: Least toxic documents of a learned entry, its least log-odds, and the most entries.
-SUPPORT, ODDS, MOST_ENTRIES = 3, 2.0, 20_000
+#: Least log-odds of a learned entry, the most entries, and the least log likelihood ratio of the
+#: split of its documents against chance, above the log of the entries tried.
+ODDS, MOST_ENTRIES, SURPRISE = 2.5, 20_000, 16.0
+#: Occurrences added on either side, so that few of them weigh little; the largest weight.
+ADDED, HEAVIEST = (1.0, 3.0), 6.0
+#: A longer entry stays beside a stem that starts it if it weighs so much more.
+HEAVIER = 0.7
 #: Words a match counts against.
 PER_WORDS = 400.0
 
@@ -67,8 +74,11 @@ def fold(text: str) -> str:
 class Model:
     entries: dict[str, float] = field(default_factory=lambda: {"=" + w: x for w, x in LEXICON.items()})
     exceptions: tuple[str, ...] = EXCEPTIONS
-    bias: float = -3.0
-    slope: float = 4.0
+    coefficients: tuple[float, float, float] = (-4.0, 2.0, 0.5)
+
+    def score(self, strengths: list[tuple[float, float]]) -> np.ndarray:
+        b, x = self.coefficients, np.array(strengths, float).reshape(-1, 2)
+        return 1 / (1 + np.exp(-np.clip(b[0] + x @ np.array(b[1:]), -60, 60)))
 
     def automaton(self) -> ahocorasick.Automaton:
         auto = ahocorasick.Automaton()
@@ -96,40 +106,57 @@ def matches(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, floa
     return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in spared)]
 
 
-def strength(text: str, auto: ahocorasick.Automaton) -> tuple[float, int]:
-    """Matched weight over a slowly growing function of the words, and the number of matches."""
+def strength(text: str, auto: ahocorasick.Automaton) -> tuple[float, float, int]:
+    """Matched weight by a slowly growing function of the words, the log of that for each hundred words, and the matches."""
     low = fold(text or "")
     hits = matches(low, auto)
     if not hits:
-        return 0.0, 0
-    words = 1 + low.count(" ") + low.count("\n")
-    return sum(w for _, _, w in hits) / (1 + math.log1p(words / PER_WORDS)), len(hits)
-
-
-def entry_names(text: str) -> set[str]:
-    """The entries that a text supports: its folded words and their stems."""
-    names: set[str] = set()
-    for w in set(_WORD.findall(fold(text or ""))):
-        names.add("=" + w)
-        names.update(w[:k] for k in STEM if k <= len(w))
+        return 0.0, 0.0, 0
+    words, total = 1 + low.count(" ") + low.count("\n"), sum(w for _, _, w in hits)
+    return total / (1 + math.log1p(words / PER_WORDS)), math.log1p(100 * total / (words + 20)), len(hits)
+
+
+def entry_counts(text: str) -> Counter[str]:
+    """How often each entry that a text supports starts, or is, one of its folded words; '' counts all words."""
+    words = Counter(_WORD.findall(fold(text or "")))
+    names: Counter[str] = Counter()
+    for w, n in words.items():
+        names[""] += n
+        names["=" + w] += n
+        for k in STEM:
+            if k <= len(w):
+                names[w[:k]] += n
     return names
 
 
 def prune(entries: dict[str, float]) -> dict[str, float]:
-    """Without entries that a stem in the lexicon starts."""
-    stems = {e for e in entries if e[0] != "="}
-    return {e: w for e, w in entries.items() if not any(e.lstrip("=")[:k] in stems for k in range(1, len(e.lstrip("=")) + (e[0] == "=")))}
-
-
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Bias and slope by ridge Newton steps."""
-    a = np.column_stack([np.ones_like(x), x])
-    b = np.zeros(2)
-    for _ in range(30):
+    """Without entries that a stem in the lexicon starts, unless they weigh more."""
+    kept: dict[str, float] = {}
+    for e in sorted(entries, key=lambda e: (len(e.lstrip("=")), e[0] == "=")):
+        word = e.lstrip("=")
+        above = [kept[word[:k]] for k in range(1, len(word) + (e[0] == "=")) if word[:k] in kept]
+        if not above or entries[e] > max(above) + HEAVIER:
+            kept[e] = entries[e]
+    return kept
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """Bias and slopes by ridge Newton steps; slopes are not negative."""
+    a = np.column_stack([np.ones(len(x)), x])
+    b = np.zeros(a.shape[1])
+    ridge = np.diag([1e-3, *[1e-2] * x.shape[1]])
+    for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(a @ b, -30, 30)))
-        h = a.T @ (a * (p * (1 - p))[:, None]) + np.diag([1e-3, 1e-3])
-        b += np.linalg.solve(h, a.T @ (y - p) - 1e-3 * b)
-    return float(b[0]), float(b[1])
+        h = a.T @ (a * (p * (1 - p))[:, None]) + ridge
+        b = b + np.linalg.solve(h, a.T @ (y - p) - ridge @ b)
+        b = np.clip(b, -60, 60)
+    if (b[1:] < 0).any() and x.shape[1] > 1:
+        keep = np.flatnonzero(b[1:] >= 0)
+        part = _logistic(x[:, keep[:1] if len(keep) else [0]], y)
+        out = np.zeros(a.shape[1])
+        out[0], out[1 + (keep[0] if len(keep) else 0)] = part
+        return tuple(out.tolist())
+    return tuple(b.tolist())
 
 
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
@@ -142,29 +169,39 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     toxic, clean = totals[1], totals[0]
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        tally = {0: Counter(), 1: Counter()}
+        docs_of, seen_of = {0: Counter(), 1: Counter()}, {0: Counter(), 1: Counter()}
         for b in batches:
             for label, text in zip(b["label"], b["text"], strict=True):
-                tally[label].update(entry_names(text))
-        names = list(tally[1].keys() | tally[0].keys())
-        yield pd.DataFrame({"entry": pd.Series(names, dtype=object), "t": [tally[1][n] for n in names], "c": [tally[0][n] for n in names]})
-
-    counts = rows.mapInPandas(count, "entry string, t long, c long").groupBy("entry").agg(F.sum("t").alias("t"), F.sum("c").alias("c"))
-    odds = F.log((F.col("t") + 0.1) / toxic) - F.log((F.col("c") + 0.1) / clean)
-    good = counts.filter((F.col("t") >= SUPPORT) & (odds >= ODDS) & (F.col("c") <= 0.02 * F.col("t"))).withColumn("w", odds)
-    learned = {r["entry"]: min(6.0, r["w"]) for r in good.orderBy(F.desc("t"), F.desc("w"), "entry").limit(MOST_ENTRIES).collect()}
+                found = entry_counts(text)
+                docs_of[label].update(found.keys())
+                seen_of[label].update(found)
+        names = list(docs_of[1].keys() | docs_of[0].keys())
+        yield pd.DataFrame({"entry": pd.Series(names, dtype=object), **{k: [c[n] for n in names] for k, c in (("t", docs_of[1]), ("c", docs_of[0]), ("to", seen_of[1]), ("co", seen_of[0]))}})
+
+    counts = rows.mapInPandas(count, "entry string, t long, c long, to long, co long").groupBy("entry").agg(*[F.sum(k).alias(k) for k in ("t", "c", "to", "co")])
+    counts = cut(counts.filter("t > 3 or entry = ''"))
+    every = counts.filter("entry = ''").first()
+    if every is None:
+        return Model()
+    share = toxic / (toxic + clean)
+    own = F.col("t") / (F.col("t") + F.col("c"))
+    surprise = F.col("t") * F.log(own / share) + F.when(F.col("c") > 0, F.col("c") * F.log((1 - own) / (1 - share))).otherwise(0.0)
+    odds = F.log((F.col("to") + ADDED[0]) / every.to) - F.log((F.col("co") + ADDED[1]) / every.co)
+    scored = counts.filter("entry <> ''").withColumn("w", F.least(odds, F.lit(HEAVIEST)))
+    good = scored.filter((own > share) & (surprise >= SURPRISE) & (F.col("w") >= ODDS))
+    learned = {r.entry: r.w for r in good.orderBy(F.desc(surprise), "entry").limit(MOST_ENTRIES).collect()}
     model = Model()
-    seen = {r["entry"] for r in counts.filter(F.col("entry").isin(*model.entries) & (F.col("c") > 0.02 * F.col("t"))).collect()}
-    entries = {e: w for e, w in model.entries.items() if e not in seen} | learned
-    model.entries = prune(entries)
+    poor = {r.entry for r in scored.filter(F.col("entry").isin(*model.entries) & (F.col("w") < ODDS)).collect()}
+    model.entries = prune({e: w for e, w in model.entries.items() if e not in poor} | learned)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         auto = model.automaton()
         for b in batches:
-            yield pd.DataFrame({"id": b["_id"], "y": b["label"], "x": [strength(t, auto)[0] for t in b["text"]]})
+            got = [strength(t, auto) for t in b["text"]]
+            yield pd.DataFrame({"id": b["_id"], "y": b["label"], "x": [g[0] for g in got], "z": [g[1] for g in got]})
 
-    got = rows.mapInPandas(measure, "id long, y int, x double").toPandas().sort_values("id", kind="stable")
-    model.bias, model.slope = _logistic(got["x"].to_numpy(float), got["y"].to_numpy(float))
+    got = rows.mapInPandas(measure, "id long, y int, x double, z double").toPandas().sort_values("id", kind="stable")
+    model.coefficients = _logistic(got[["x", "z"]].to_numpy(float), got["y"].to_numpy(float))
     return model
 
 
@@ -177,8 +214,7 @@ def with_toxicity(df: DataFrame, model: Model, text_col: str = "text", out_col:
         auto = model.automaton()
         for texts in batches:
             got = [strength(t, auto) for t in texts]
-            x = np.array([g[0] for g in got], float)
-            yield pd.DataFrame({"score": 1 / (1 + np.exp(-np.clip(model.bias + model.slope * x, -60, 60))), "n": [g[1] for g in got]})
+            yield pd.DataFrame({"score": model.score([g[:2] for g in got]), "n": [g[2] for g in got]})
 
     kept = [c for c in df.columns if c not in (out_col, hits_col)]
     return df.withColumn("_t", score(F.col(text_col))).select(*kept, F.col("_t.score").alias(out_col), F.col("_t.n").alias(hits_col))

@@ -395,8 +395,8 @@ def test_classifiers_odd_cases(spark, odd):
 def test_toxicity_folding_and_exceptions():
     auto = toxicity.Model().automaton()
     for text in ("you IDIOT", "you 1d10t", "an іdіоt", "ｉｄｉｏｔ!", "id​iot", "$tupid"):
-        assert toxicity.strength(text, auto)[1] == 1, text
+        assert toxicity.strength(text, auto)[2] == 1, text
     for text in ("a trash can", "idiotic", "the clown fish", "555-1234", "", None):
-        assert toxicity.strength(text, auto)[1] == 0, text
-    assert toxicity.strength("trash can of trash", auto)[1] == 1
+        assert toxicity.strength(text, auto)[2] == 0, text
+    assert toxicity.strength("trash can of trash", auto)[2] == 1
     assert toxicity.strength("idiot " + "word " * 5000, auto)[0] < toxicity.strength("idiot", auto)[0]
