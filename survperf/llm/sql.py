@@ -25,5 +25,53 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+_SPAN = """
+  SELECT doc_id, text, {ord} AS ord, '{kind}' AS kind, m[i] AS v, {value} AS val, CAST(list_sum(list_transform(g[1:i], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0) AS BIGINT) AS s
+  FROM (SELECT doc_id, text, m, g, vals, unnest(range(1, len(m) + 1)) AS i
+        FROM (SELECT doc_id, text, regexp_extract_all(text, '{pattern}') AS m, regexp_extract_all(text, '{pattern}', {group}) AS vals, string_split_regex(text, '{pattern}') AS g FROM d))
+"""
+
+
+def _secret_sql() -> str:
+    from survperf.llm import secrets as S
+
+    token = "[A-Za-z0-9+/_-]{32,}={0,2}"
+    quoted = lambda p: p.replace("'", "''")
+    spans = {"assign": (S.ASSIGN, 2), "access": (S.ACCESS, 0), "hex": (S.HEX, 0), "token": (token, 0), "user": (S.USER, 0), "endpoint": (S.ENDPOINT, 0)}
+    rows = " UNION ALL ".join(_SPAN.format(ord=i, kind=k, pattern=quoted(p), group=g, value="vals[i]") for i, (k, (p, g)) in enumerate(spans.items()))
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+found AS (SELECT doc_id, ord, kind, s, s + length(v) AS e, v, val FROM ({rows})),
+kept AS (
+  SELECT *, kind IN ('assign', 'hex', 'token') AS secret, kind IN ('assign', 'access', 'hex') AS strong FROM found
+  WHERE (kind <> 'assign' OR length(val) >= 6) AND (kind <> 'token' OR (regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Z]') AND regexp_matches(v, '[a-z]')))
+),
+parts AS (SELECT * FROM kept k WHERE strong OR NOT EXISTS (SELECT 1 FROM kept t WHERE t.doc_id = k.doc_id AND t.strong AND t.s <= k.s AND k.e <= t.e)),
+shown AS (
+  SELECT * FROM parts p WHERE strong OR EXISTS (SELECT 1 FROM parts q WHERE q.doc_id = p.doc_id AND q.secret <> p.secret AND q.s - p.e <= {S.REACH} AND p.s - q.e <= {S.REACH})
+),
+lists AS (
+  SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e) FILTER (strong) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, ord, e) AS spans FROM shown GROUP BY 1
+)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN lists USING (doc_id)
+"""
+
+
+def _license_sql() -> str:
+    from survperf.llm import licenses as L
+
+    words = "regexp_extract_all(translate(coalesce(TEXT, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '" + L.WORD + "')"
+    grams = f"list_distinct(list_transform(range(1, greatest(len(w) - {L.SHINGLE - 1}, 0) + 1), lambda i: array_to_string(w[i:i + {L.SHINGLE - 1}], ' ')))"
+    rows = ", ".join("('{}', '{}')".format(k, v.replace("'", "''")) for k, v in L.TEMPLATES.items())
+    return f"""
+WITH t AS (SELECT name, {grams} AS g FROM (SELECT name, {words.replace("TEXT", "body")} AS w FROM (VALUES {rows}) v(name, body))),
+d AS (SELECT doc_id, {grams} AS g FROM (SELECT doc_id, {words.replace("TEXT", "text")} AS w FROM documents)),
+m AS (SELECT doc_id, name, len(list_intersect(t.g, d.g)) / len(t.g) AS share FROM d, t WHERE list_has_any(d.g, t.g))
+SELECT d.doc_id, coalesce(n, 0) AS n_licenses, coalesce(names, '') AS licenses, coalesce(round(best, 6), 0) AS best_share
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY name) AS names, max(share) AS best FROM m WHERE share >= {L.CONTAINED} GROUP BY 1) USING (doc_id)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _DECONTAMINATE}
+    return {"op2_decontaminate": _DECONTAMINATE, "op4_secrets": _secret_sql(), "op8_licenses": _license_sql()}
