@@ -51,6 +51,14 @@ def median(x: Column) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+def array_quantile(values: Column, q: float) -> Column:
+    """Quantile of an ascending array without nulls, with linear interpolation; null for none."""
+    at = (F.size(values) - 1) * F.lit(float(q))
+    low = F.floor(at).cast("int")
+    a, b = F.get(values, low), F.get(values, F.least(low + 1, F.size(values) - 1))
+    return F.when(F.size(values) > 0, a + (b - a) * (at - low))
+
+
 def month_of(d: Column) -> Column:
     """First day of the month."""
     return F.trunc(d, "MM").cast("date")

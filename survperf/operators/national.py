@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from survperf.functions.expr import finite, median, percentiles, safe_div, strict_sum
+from survperf.functions.expr import QUANTILES, array_quantile, finite, median, percentiles, safe_div, strict_sum
 
 LEVELS = ("month", "quarter", "year", "total")
 MIN_EXPECTED = 1.0
@@ -38,28 +38,41 @@ def observed_of(panel: DataFrame, period: Column, unit: str = "district", pop: s
     return panel.groupBy(F.col(unit).alias("unit"), period.alias("period")).agg(strict_sum(count).alias("observed"), people.alias("pop"), F.count_distinct("month").alias("n_months"))
 
 
+def packed(cell_draws: DataFrame) -> DataFrame:
+    """(unit, period, draws): one row for each cell, its draws as an array of (draw, expected) in draw order."""
+    return cell_draws.groupBy("unit", "period").agg(F.sort_array(F.collect_list(F.struct("draw", "expected"))).alias("draws"))
+
+
 def summarise(cell_draws: DataFrame, observed: DataFrame, centre: bool = True) -> tuple[DataFrame, DataFrame]:
     """Index of each (unit, period) and the national figures of each period.
 
     Within a draw the index is (observed / expected) over the same ratio of all units that
-    count; its quantiles are taken last, so what all units share within a draw cancels.
+    count; its quantiles are taken last, so what all units share within a draw cancels. A cell's
+    draws are one array, as long as there are draws: after packing them, only the national sum of each
+    draw is shuffled, and all quantiles are taken inside rows.
     """
-    expected = cell_draws.groupBy("unit", "period").agg(median(F.col("expected")).alias("expected_total"))
-    base = observed.join(expected, ["unit", "period"], "left")
+    cells_ = packed(cell_draws)
+    values = F.array_sort(F.col("draws.expected"))
+    base = observed.join(cells_, ["unit", "period"], "left").withColumn("expected_total", array_quantile(values, 0.5))
     base = base.withColumn("ok", scored(F.col("observed"), F.col("expected_total")))
-    joined = cell_draws.join(base.select("unit", "period", "observed", "ok"), ["unit", "period"])
-    nat_draws = joined.filter("ok").groupBy("period", "draw").agg(F.sum("expected").alias("nat_expected"))
-    nat = base.filter("ok").groupBy("period").agg(F.sum("observed").alias("national_observed"), F.count_distinct("unit").alias("districts"))
-    nat = nat.join(nat_draws.groupBy("period").agg(median(F.col("nat_expected")).alias("national_expected")), "period")
+    counted = base.filter("ok")
+    nat_draws = counted.select("period", F.explode("draws").alias("d")).groupBy("period", "d.draw").agg(F.sum("d.expected").alias("e"))
+    nat_arrays = nat_draws.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("draw", "e"))).alias("nat"))
+    seen = counted.groupBy("period").agg(F.sum("observed").alias("national_observed"), F.count_distinct("unit").alias("districts"))
+    nat = seen.join(nat_arrays, "period").withColumn("national_expected", array_quantile(F.array_sort(F.col("nat.e")), 0.5))
     nat = nat.withColumn("national_oe", safe_div(F.col("national_observed"), F.col("national_expected")))
-    ratio = safe_div(F.col("observed"), F.col("expected"))
+    joined = base.join(F.broadcast(nat.select("period", "nat", "national_observed", "national_oe")), "period", "left")
     if centre:
-        joined = joined.join(nat_draws, ["period", "draw"], "left").join(F.broadcast(nat.select("period", "national_observed")), "period", "left")
-        ratio = safe_div(F.col("observed") * F.col("nat_expected"), F.col("expected") * F.col("national_observed"))
-    index = joined.withColumn("spi", finite(ratio)).groupBy("unit", "period").agg(percentiles(F.col("spi")).alias("q"), F.avg("spi").alias("spi_mean"))
+        same = F.col("draws.draw") == F.col("nat.draw")
+        ratios = F.zip_with("draws", "nat", lambda d, n: safe_div(F.col("observed") * n["e"], d["expected"] * F.col("national_observed")))
+        ratios = F.when(F.col("nat").isNull(), None).when(same, ratios).otherwise(F.raise_error(F.lit("districts of a period have different draws")).cast("array<double>"))
+    else:
+        ratios = F.transform("draws", lambda d: safe_div(F.col("observed"), d["expected"]))
+    rows = joined.withColumn("spi", F.array_sort(F.filter(ratios, lambda x: finite(x).isNotNull())))
     names = ("spi_q05", "spi_q10", "spi_median", "spi_q90", "spi_q95")
-    out = base.drop("ok").join(index, ["unit", "period"], "left").join(F.broadcast(nat.select("period", "national_oe")), "period", "left")
-    return out.select("unit", "period", "observed", "pop", "n_months", "expected_total", *[F.get("q", F.lit(i)).alias(n) for i, n in enumerate(names)], "spi_mean", "national_oe"), nat
+    mean = F.when(F.size("spi") > 0, F.aggregate("spi", F.lit(0.0), lambda acc, x: acc + x) / F.size("spi"))
+    out = rows.select("unit", "period", "observed", "pop", "n_months", "expected_total", *[array_quantile(F.col("spi"), q).alias(n) for q, n in zip(QUANTILES, names, strict=True)], mean.alias("spi_mean"), "national_oe")
+    return out, nat.select("period", "national_observed", "districts", "national_expected", "national_oe")
 
 
 def low_information(summary: DataFrame, min_expected: float = MIN_EXPECTED) -> DataFrame:

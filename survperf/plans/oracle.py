@@ -220,7 +220,7 @@ SQL["spi_diagnostics"] = build(
     f"""SELECT count(spi_median) AS n, CAST(sum(observed) AS BIGINT) AS observed, round(sum(expected_total), 6) AS expected, round(sum(observed) / sum(expected_total), 6) AS calibration, {_Q},
     round(100 * avg(CASE WHEN spi_median < 0.5 THEN 1.0 ELSE 0 END), 6) AS pct_below_half, round(100 * avg(CASE WHEN spi_median > 1.5 THEN 1.0 ELSE 0 END), 6) AS pct_above_1_5, round(100 * avg(CASE WHEN spi_q95 < 1 OR spi_q05 > 1 THEN 1.0 ELSE 0 END), 6) AS pct_excludes_1,
     count(*) FILTER (spi_median < 0.5) AS band_low, count(*) FILTER (spi_median >= 0.5 AND spi_median < 0.8) AS band_mid, count(*) FILTER (spi_median >= 0.8 AND spi_median <= 1.2) AS band_near, count(*) FILTER (spi_median > 1.2) AS band_high,
-    round((SELECT avg(pow(ln(spi_median) - m, 3)) / pow(any_value(s), 3) FROM idx, (SELECT avg(ln(spi_median)) AS m, stddev_samp(ln(spi_median)) AS s FROM idx)), 6) AS log_skewness FROM idx""",
+    round((SELECT avg(pow(ln(spi_median) - m, 3)) / pow(any_value(s), 3) FROM idx, (SELECT avg(ln(spi_median)) AS m, stddev_samp(ln(spi_median)) AS s FROM idx WHERE spi_median > 0) WHERE spi_median > 0), 6) AS log_skewness FROM idx""",
     "draws", extra=index_ctes(YEAR),
 )
 
@@ -246,8 +246,8 @@ SQL["rolling_index"] = build(f"SELECT a.*, n_stool, n_adequate, round(100.0 * n_
 def comparison(rule: str = "") -> dict[str, str]:
     return index_ctes(YEAR) | {
         "cmp0": f"SELECT unit AS district, period AS year, *, 1e5 * observed / nullif(pop, 0) AS npafp_rate, spi_median < 1{rule} AS spi_below_threshold FROM idx",
-        "cmp": """SELECT c.*, area, npafp_rate >= 0.4 AS npafp_adequate, NOT spi_below_threshold AS spi_pass, CASE WHEN npafp_rate >= 0.4 AND NOT spi_below_threshold THEN 'Neither below' WHEN npafp_rate >= 0.4 THEN 'SPI below threshold only'
-            WHEN NOT spi_below_threshold THEN 'NPAFP below target only' ELSE 'Both below' END AS category FROM cmp0 c JOIN areas a ON a.district = c.district""",
+        "cmp": """SELECT c.*, area, npafp_rate >= 0.4 AS npafp_adequate, NOT spi_below_threshold AS spi_pass, CASE WHEN npafp_rate >= 0.4 AND NOT spi_below_threshold THEN 'Neither below' WHEN npafp_rate >= 0.4 AND spi_below_threshold THEN 'SPI below threshold only'
+            WHEN npafp_rate < 0.4 AND NOT spi_below_threshold THEN 'NPAFP below target only' WHEN npafp_rate < 0.4 AND spi_below_threshold THEN 'Both below' END AS category FROM cmp0 c JOIN areas a ON a.district = c.district""",
     }
 
 
@@ -260,12 +260,12 @@ SQL["compare_simple"] = build(
     FROM simple WHERE spi IS NOT NULL""", "simple"
 )
 SQL["compare_categories"] = build(
-    """SELECT ord, l.category, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(*) FROM cmp), 6) AS pct FROM (VALUES (0, 'Neither below'), (1, 'SPI below threshold only'), (2, 'NPAFP below target only'), (3, 'Both below')) l(ord, category)
+    """SELECT ord, l.category, coalesce(n, 0) AS n, round(100.0 * coalesce(n, 0) / (SELECT count(category) FROM cmp), 6) AS pct FROM (VALUES (0, 'Neither below'), (1, 'SPI below threshold only'), (2, 'NPAFP below target only'), (3, 'Both below')) l(ord, category)
     LEFT JOIN (SELECT category, count(*) AS n FROM cmp GROUP BY 1) c ON c.category = l.category""", "draws", extra=CMP
 )
 SQL["compare_crosstab"] = build(
     """SELECT npafp_adequate, spi_pass, n, round_even(100.0 * n / sum(n) OVER (PARTITION BY npafp_adequate), 1) AS row_pct, round_even(100.0 * n / sum(n) OVER (PARTITION BY spi_pass), 1) AS col_pct, round_even(100.0 * n / sum(n) OVER (), 1) AS total_pct
-    FROM (SELECT npafp_adequate, spi_pass, count(*) AS n FROM cmp GROUP BY 1, 2)""", "draws", extra=CMP
+    FROM (SELECT npafp_adequate, spi_pass, count(*) AS n FROM cmp WHERE category IS NOT NULL GROUP BY 1, 2)""", "draws", extra=CMP
 )
 
 
