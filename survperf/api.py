@@ -161,7 +161,7 @@ def compare_rates(index: Index | simple.SimpleIndex, population: DataFrame | Non
     rows = compare.from_simple(index.summary) if is_simple else index.summary.withColumnRenamed("period", "year")
     if population is not None:
         rows = rows.drop("pop").join(population.select("district", "year", "pop"), ["district", "year"])
-    done = compare.compare(rows, spi_threshold, rule, npafp_target, multiplier, is_simple)
+    done = compare.compare(cut(rows), spi_threshold, rule, npafp_target, multiplier, is_simple)
     groups = None
     if strata is not None:
         done = done.join(strata.select("district", "stratum"), "district", "left")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from survperf.functions.expr import QUANTILES, array_quantile, finite, median, percentiles, safe_div, strict_sum
+from survperf.functions.session import cut
 
 LEVELS = ("month", "quarter", "year", "total")
 MIN_EXPECTED = 1.0
@@ -49,12 +50,12 @@ def summarise(cell_draws: DataFrame, observed: DataFrame, centre: bool = True) -
     Within a draw the index is (observed / expected) over the same ratio of all units that
     count; its quantiles are taken last, so what all units share within a draw cancels. A cell's
     draws are one array, as long as there are draws: after packing them, only the national sum of each
-    draw is shuffled, and all quantiles are taken inside rows.
+    draw is shuffled, and all quantiles are taken inside rows. The packed cells are made once, since the
+    national sums and the rows both read them.
     """
-    cells_ = packed(cell_draws)
     values = F.array_sort(F.col("draws.expected"))
-    base = observed.join(cells_, ["unit", "period"], "left").withColumn("expected_total", array_quantile(values, 0.5))
-    base = base.withColumn("ok", scored(F.col("observed"), F.col("expected_total")))
+    base = observed.join(packed(cell_draws), ["unit", "period"], "left").withColumn("expected_total", array_quantile(values, 0.5))
+    base = cut(base.withColumn("ok", scored(F.col("observed"), F.col("expected_total"))))
     counted = base.filter("ok")
     nat_draws = counted.select("period", F.explode("draws").alias("d")).groupBy("period", "d.draw").agg(F.sum("d.expected").alias("e"))
     nat_arrays = nat_draws.groupBy("period").agg(F.sort_array(F.collect_list(F.struct("draw", "e"))).alias("nat"))

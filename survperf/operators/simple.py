@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from survperf.functions.expr import finite, safe_div
+from survperf.functions.session import cut
 from survperf.operators.national import national_ratio
 from survperf.operators.prepare import need_columns, running
 
@@ -71,7 +72,11 @@ def targets(annual: DataFrame, first: int | None = None, last: int | None = None
 
 
 def simple_index(annual: DataFrame, first: int | None = None, last: int | None = None, min_history: int = MIN_HISTORY, per: float = PER) -> SimpleIndex:
-    """The index of every district and assessed year, centred on the national ratio of that year."""
+    """The index of every district and assessed year, centred on the national ratio of that year.
+
+    The annual table, a row for each district and year, is made once and read by all parts.
+    """
+    annual = cut(annual)
     bounds = targets(annual, first, last, min_history)
     rows = with_expected(annual).join(F.broadcast(bounds), F.col("year").between(F.col("first"), F.col("last"))).drop("first", "last")
     national = national_ratio(rows.filter("history_check = 'ok'"), ["year"])

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from survperf.functions.expr import window_year
+from survperf.functions.session import cut
 from survperf.operators import checks, compare, expected, graph, guide, national, prepare, render, rolling, simple
 from survperf.sources import testdata as td
 
@@ -86,8 +87,9 @@ def pop_index(spark, folder):
 
 @query
 def pop_panel(spark, folder):
-    observed = prepare.pop_observed(td.annual(spark, folder).filter("not (district in ('3', '7') and year in (1996, 1998)) and district <> '9'"), None, None, "district", "year", "pop")
-    return prepare.pop_panel(observed, td.areas(spark, folder), td.annual(spark, folder).select("year"))
+    annual = cut(td.annual(spark, folder))
+    observed = prepare.pop_observed(annual.filter("not (district in ('3', '7') and year in (1996, 1998)) and district <> '9'"), None, None, "district", "year", "pop")
+    return prepare.pop_panel(observed, td.areas(spark, folder), annual.select("year"))
 
 
 @query
@@ -138,6 +140,7 @@ def simple_by_year_report(spark, folder):
 @query
 def population_qc(spark, folder):
     rows = td.annual(spark, folder).withColumn("pop", F.when(F.expr("district = '4' and year = 1999"), F.col("pop") * 4).when(F.expr("district = '5' and year >= 1999"), F.col("pop") * 5).otherwise(F.col("pop"))).filter("not (district = '6' and year = 1997)")
+    rows = cut(rows)
     return simple.population_qc(rows, simple.targets(rows))
 
 
@@ -165,14 +168,14 @@ def _issues(found: DataFrame) -> DataFrame:
 
 
 def _spoiled(spark: SparkSession, folder: str) -> DataFrame:
-    rows = td.panel(spark, folder).filter("not (district = '2' and month = date'1999-05-01')")
+    rows = cut(td.panel(spark, folder)).filter("not (district = '2' and month = date'1999-05-01')")
     rows = rows.withColumn("count", F.when(F.expr("district = '3' and month = date'1999-05-01'"), -1).otherwise(F.col("count")))
     return rows.unionByName(rows.filter("district = '4' and month = date'1999-06-01'"))
 
 
 @query
 def check_issues(spark, folder):
-    population = td.annual(spark, folder).filter("not (district = '5' and year = 1997)").withColumn("pop", F.when(F.expr("district = '6'"), 0.0).otherwise(F.col("pop")))
+    population = cut(td.annual(spark, folder)).filter("not (district = '5' and year = 1997)").withColumn("pop", F.when(F.expr("district = '6'"), 0.0).otherwise(F.col("pop")))
     regions = td.areas(spark, folder).filter("district <> '7'").unionByName(spark.createDataFrame([("99", "9", "x")], "district string, area string, name string"))
     return _issues(checks.check_model_inputs(_spoiled(spark, folder), population, regions, regions, 2))
 
@@ -185,8 +188,9 @@ def check_id_reconcile(spark, folder):
 
 @query
 def check_simple_issues(spark, folder):
-    rows = td.annual(spark, folder).select("district", "year", F.when(F.expr("district = '1' and year = 1996"), -1.0).when(F.expr("district = '2' and year = 1996"), 0.5).otherwise(F.col("observed")).alias("npafp_cases")).filter("not (district = '8' and year = 1999)")
-    people = td.annual(spark, folder).select("district", "year", F.when(F.expr("district = '3' and year = 1996"), 0.0).otherwise(F.col("pop")).alias("population_u15"))
+    annual = cut(td.annual(spark, folder))
+    rows = annual.select("district", "year", F.when(F.expr("district = '1' and year = 1996"), -1.0).when(F.expr("district = '2' and year = 1996"), 0.5).otherwise(F.col("observed")).alias("npafp_cases")).filter("not (district = '8' and year = 1999)")
+    people = annual.select("district", "year", F.when(F.expr("district = '3' and year = 1996"), 0.0).otherwise(F.col("pop")).alias("population_u15"))
     return _issues(checks.check_simple_inputs(rows, people))
 
 
@@ -194,7 +198,8 @@ def check_simple_issues(spark, folder):
 
 
 def _index(spark: SparkSession, folder: str, period, pop: str = "avg", centre: bool = True):
-    return national.summarise(national.cells(td.draws(spark, folder), period), td.observed(spark, folder, period, pop=pop), centre)
+    panel = cut(td.panel(spark, folder))
+    return national.summarise(national.cells(td.draws(panel), period), td.observed(panel, period, pop=pop), centre)
 
 
 
@@ -240,7 +245,8 @@ def low_information(spark, folder):
 
 @query
 def spi_totals(spark, folder):
-    return national.totals(national.cells(td.draws(spark, folder), F.year("month")), td.observed(spark, folder, F.year("month")))
+    panel = cut(td.panel(spark, folder))
+    return national.totals(national.cells(td.draws(panel), F.year("month")), td.observed(panel, F.year("month")))
 
 
 @query
@@ -253,7 +259,8 @@ def spi_diagnostics(spark, folder):
 
 def _window(spark: SparkSession, folder: str, parents: bool = False) -> DataFrame:
     who = td.areas(spark, folder).filter("district <> '11'").select("district", F.col("area").alias("parent")) if parents else None
-    return rolling.window_summary(td.panel(spark, folder), td.draws(spark, folder), WINDOW, who)
+    panel = cut(td.panel(spark, folder))
+    return rolling.window_summary(panel, td.draws(panel), WINDOW, who)
 
 
 @query
@@ -284,7 +291,7 @@ def rolling_index(spark, folder):
 
 
 def _comparison(spark: SparkSession, folder: str, rule: str = "median") -> DataFrame:
-    index = _index(spark, folder, F.year("month"))[0].withColumnRenamed("unit", "district").withColumnRenamed("period", "year")
+    index = cut(_index(spark, folder, F.year("month"))[0]).withColumnRenamed("unit", "district").withColumnRenamed("period", "year")
     rows = compare.compare(index, CUT, rule, TARGET)
     areas = td.areas(spark, folder).select("district", "area")
     return rows.join(F.broadcast(areas), "district")

@@ -7,9 +7,10 @@ tables of any size.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from survperf.functions.session import cut
 from survperf.operators.national import observed_of
 from survperf.operators.simple import simple_annual
 
@@ -57,19 +58,20 @@ def annual(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def panel(spark: SparkSession, folder: str) -> DataFrame:
-    """(district, month, count, pop): a complete monthly grid; populations are yearly."""
-    o = orders(spark, folder)
-    counts = o.groupBy("district", "month").agg(F.count(F.lit(1)).alias("count"))
-    months = o.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
-    yearly = o.groupBy("district", F.year("day").alias("year")).agg(F.round(F.sum("price"), 2).alias("pop"))
+    """(district, month, count, pop): a complete monthly grid; populations are yearly.
+
+    Orders are read once: the grid's months and the populations come from the occupied cells.
+    """
+    cells = cut(orders(spark, folder).groupBy("district", "month").agg(F.count(F.lit(1)).alias("count"), F.sum("price").alias("price")))
+    months = cells.agg(F.min("month").alias("a"), F.max("month").alias("b")).select(F.explode(F.expr("sequence(a, b, interval 1 month)")).alias("month"))
+    yearly = cells.groupBy("district", F.year("month").alias("year")).agg(F.round(F.sum("price"), 2).alias("pop"))
     grid = areas(spark, folder).select("district").join(F.broadcast(months), F.lit(True)).withColumn("year", F.year("month"))
-    full = grid.join(counts, ["district", "month"], "left").join(yearly, ["district", "year"], "left")
+    full = grid.join(cells, ["district", "month"], "left").join(yearly, ["district", "year"], "left")
     return full.select("district", "month", F.coalesce("count", F.lit(0)).cast("long").alias("count"), "pop")
 
 
-def draws(spark: SparkSession, folder: str, n: int = DRAWS, first: int = 1998) -> DataFrame:
-    """(district, month, draw, expected): deterministic draws around each district's mean month."""
-    p = panel(spark, folder)
+def draws(p: DataFrame, n: int = DRAWS, first: int = 1998) -> DataFrame:
+    """(district, month, draw, expected): deterministic draws around each district's mean month of a panel."""
     base = p.groupBy("district").agg(F.avg("count").alias("base"))
     cells = p.filter(F.year("month") >= first).join(F.broadcast(base), "district").select("district", "month", "base")
     noise = F.sin(F.col("draw") * 1.7 + F.col("district").cast("int") + F.month("month"))
@@ -77,9 +79,9 @@ def draws(spark: SparkSession, folder: str, n: int = DRAWS, first: int = 1998) -
     return drawn.select("district", "month", "draw", (F.col("base") * F.exp(F.lit(0.2) * noise)).alias("expected"))
 
 
-def observed(spark: SparkSession, folder: str, period, first: int = 1998, pop: str = "avg") -> DataFrame:
-    """Observed counts of the drawn months by period."""
-    return observed_of(panel(spark, folder).filter(F.year("month") >= first), period, pop=pop)
+def observed(p: DataFrame, period: Column, first: int = 1998, pop: str = "avg") -> DataFrame:
+    """Observed counts of a panel's drawn months by period."""
+    return observed_of(p.filter(F.year("month") >= first), period, pop=pop)
 
 
 def process(spark: SparkSession, folder: str, days: int = -640) -> DataFrame:
