@@ -1,6 +1,6 @@
 """Graded data-quality report: each rule is one row (severity, code, message, n, ids) if it finds anything.
 
-Rules never stop one another; ``abort_on_errors`` raises with all error messages at once. Rules that
+The codes of rules are fixed values that callers match on. Rules never stop one another; ``abort_on_errors`` raises with all error messages at once. Rules that
 need a column that is missing are left out, since the missing column is itself reported.
 """
 

@@ -162,6 +162,7 @@ def explain(summary: DataFrame, labels: dict[str, str] | None = None) -> DataFra
     none, uncounted = words.get("not available", "not available"), words.get("not calculated", "not calculated")
     reason = F.when(F.col("history_check") == "no previous case", words.get("no previous NPAFP case", "no previous NPAFP case")).when(F.col("history_check") == "no previous year", words.get("no previous year of data", "no previous year of data"))
     reason = reason.otherwise(words.get("national observed / expected is unavailable or zero", "national observed / expected is unavailable or zero"))
+    # fixed values: sections and components, in display order
     lines = [
         ("Current reporting", "Observed NPAFP cases", _number(F.col("observed"), 0)),
         ("Current reporting", "Current population under 15", _number(F.col("pop"), 0)),
