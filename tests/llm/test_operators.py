@@ -261,6 +261,7 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 
 def test_html_structure():
     assert html.main_texts([PAGE]) == ["Head & shoulders\n\nFirst para graph goes on\n\nSecond item\n\nLast <one>"]
+    assert html.main_texts(['<div class="page-widget"><article><p>in</p><div class="share">no</div></article></div>', "<article>a</article><aside><article>teaser</article></aside>"]) == ["in", "a"]
     assert html.main_texts(["", "plain", "<p>a<p>b"]) == ["", "plain", "a\n\nb"]
 
 
