@@ -192,6 +192,8 @@ class _Data:
             cols["year"] = np.eye(len(self.years))[self.year]
         cols["space"] = np.eye(len(self.names))[self.place]
         self.sizes = {k: v.shape[1] for k, v in cols.items()}
+        levels = {"year": [str(y) for y in self.years], "space": self.names, "covariates": [c for c, k in zip(given, keep, strict=True) if k]}
+        self.labels = [(k, levels[k][i] if k in levels else str(i + 1)) for k, n in self.sizes.items() for i in range(n)]
         self.a = np.hstack(list(cols.values()))
 
 
@@ -222,8 +224,8 @@ def _laplace(d: _Data, q: np.ndarray, extra: float, start: np.ndarray) -> tuple[
     return x, h, now + 0.5 * np.linalg.slogdet(q)[1] - 0.5 * np.linalg.slogdet(h)[1]
 
 
-def fit_group(pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model, target: int) -> tuple[np.ndarray, dict, np.ndarray]:
-    """Draws (n_draws x cells) of expected counts, criteria of the fit, and the observation PITs."""
+def fit_group(pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model, target: int) -> tuple[np.ndarray, dict, pd.DataFrame]:
+    """Draws (n_draws x cells) of expected counts, criteria of the fit, and the draws of its effects, a column for each (effect, level)."""
     d = _Data(pdf, edges, model)
     if not d.seen.any():
         raise ValueError("no counts to learn from")
@@ -248,9 +250,9 @@ def fit_group(pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model, tar
         noise = rng.standard_normal((d.a.shape[1], own.sum()))
         draws[own] = grid[i][2] + np.linalg.solve(chol.T, noise).T
     expected = np.exp(np.clip(draws @ d.a.T + d.offset, -30, 30))
-    criteria, pit = _criteria(d, expected, hyper, model, rng)
+    criteria, _ = _criteria(d, expected, hyper, model, rng)
     mean = (weight[:, None] * np.array([g[1] for g in grid])).sum(0)
-    return expected, criteria | {"sd_spatial": mean[0], "phi_spatial": mean[1], "sd_extra": mean[3] if model.extra != "none" else None}, pit
+    return expected, criteria | {"sd_spatial": mean[0], "phi_spatial": mean[1], "sd_extra": mean[3] if model.extra != "none" else None}, pd.DataFrame(draws, columns=pd.MultiIndex.from_tuples(d.labels))
 
 
 def _criteria(d: _Data, expected: np.ndarray, hyper: np.ndarray, model: Model, rng: np.random.Generator) -> tuple[dict, np.ndarray]:
@@ -302,6 +304,26 @@ def fit(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -> Da
     return masked_panel.groupBy("target").applyInPandas(run, DRAWS)
 
 
+EFFECTS = "target int, effect string, level string, mean double, q05 double, median double, q95 double"
+
+
+def effects(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -> DataFrame:
+    """(target, effect, level, mean, q05, median, q95) of every effect on the log scale: intercept, season, covariates, years and space.
+
+    exp of a quantile is a rate ratio; the rows of effect "space" are the districts' spatial effects.
+    """
+    links = _small_edges(edges)
+
+    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
+        latent = fit_group(pdf, links, model, int(key[0]))[2]
+        q = latent.quantile([0.05, 0.5, 0.95])
+        names = latent.columns.to_frame(index=False)
+        return pd.DataFrame({"target": int(key[0]), "effect": names[0].astype(object), "level": names[1].astype(object), "mean": latent.mean().to_numpy(), "q05": q.loc[0.05].to_numpy(), "median": q.loc[0.5].to_numpy(), "q95": q.loc[0.95].to_numpy()})
+
+    return masked_panel.groupBy("target").applyInPandas(run, EFFECTS)
+
+
 def compare_overdispersion(masked_panel: DataFrame, edges: DataFrame, specs: tuple[str, ...] = ("none", "iid", "nb"), model: Model = Model(n_draws=200)) -> DataFrame:
     """Criteria of each extra term; all fits run side by side, one group for each target and term."""
     links = _small_edges(edges)

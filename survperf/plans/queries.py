@@ -539,6 +539,11 @@ def expected_fit(spark, folder):
     return drawn.groupBy("target", "district", "month").agg(F.percentile("expected", F.lit(0.5)).alias("expected_median"), F.avg("expected").alias("expected_mean"))
 
 
+@query
+def expected_effects(spark, folder):
+    return expected.effects(_masked(spark, folder, 1999), _edges(spark, folder), _QUICK)
+
+
 @query
 def spi_index_fitted(spark, folder):
     drawn = expected.fit(_masked(spark, folder), _edges(spark, folder), _QUICK)
