@@ -13,7 +13,6 @@ from __future__ import annotations
 import hashlib
 import io
 import wave
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -108,7 +107,3 @@ def with_media(df: DataFrame, text_col: str = "text") -> DataFrame:
 def fingerprint_of(marks: np.ndarray | list[int]) -> str:
     """Short text form of landmarks: their number and a digest."""
     return f"{len(marks)}:{hashlib.sha1(np.asarray(marks, '<i8').tobytes()).hexdigest()}"
-
-
-def crc(data: bytes) -> int:
-    return zlib.crc32(data)
