@@ -18,7 +18,7 @@ from survperf.operators.simple import population_qc, targets
 SCHEMA = "severity string, code string, message string, n long, ids array<string>"
 SEVERITIES = ("error", "warning", "note")
 COVERAGE_ABORT, COVERAGE_WARN = 80.0, 100.0
-#: Ids listed with a rule.
+#: Messages named by an error.
 LISTED = 1000
 
 
@@ -28,11 +28,11 @@ def fact(spark: SparkSession, severity: str, code: str, message: str) -> DataFra
 
 
 def rule(rows: DataFrame, severity: str, code: str, message: str, key: Column | None = None) -> DataFrame:
-    """One row if ``rows`` has any: their number and up to ``LISTED`` of their sorted distinct keys."""
+    """One row if ``rows`` has any: their number and all of their distinct keys, sorted."""
     if key is None:
         counted = rows.agg(F.count(F.lit(1)).alias("n")).withColumn("ids", F.array().cast("array<string>"))
     else:
-        listed = rows.select(key.cast("string").alias("k")).distinct().orderBy("k").limit(LISTED)
+        listed = rows.select(key.cast("string").alias("k")).distinct()
         counted = rows.agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(listed.agg(F.array_sort(F.collect_list("k")).alias("ids"))), F.lit(True))
     return counted.filter("n > 0").select(F.lit(severity).alias("severity"), F.lit(code).alias("code"), F.lit(message).alias("message"), "n", "ids")
 
