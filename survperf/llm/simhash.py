@@ -37,11 +37,11 @@ DISTANCE = 3
 HOT = 256
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
+def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
+    """The bytes of each shingle's hash, a row for each shingle of a text."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not parts:
-        return 0
+        return np.zeros((0, 8), np.uint8)
     joined = b" ".join(parts)
     ends = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
@@ -49,7 +49,12 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     spans = zip(starts[: len(parts) - k + 1].tolist(), ends[k - 1 :].tolist(), strict=True)
     digest = xxhash.xxh64_digest
     hashes = b"".join([digest(joined[a:b], 42) for a, b in spans])
-    rows = np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+    return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
+
+
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    rows = shingle_hashes(text, words)
     votes = np.zeros(64, np.int64)
     for at in range(0, len(rows), 1 << 14):
         votes += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
@@ -166,7 +171,12 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     Rows without an id come last in that order; rows that share an id are told apart by their
     fingerprint, and of rows equal in both one stays.
     """
-    found = cut(grouped(df, id_col, text_col, **options))
+    return one_of_each(df, grouped(df, id_col, text_col, **options), with_fingerprint(df, text_col, options.get("words", WORDS)), id_col)
+
+
+def one_of_each(df: DataFrame, groups: DataFrame, fp: Column, id_col: str) -> DataFrame:
+    """The first row of each root of ``groups`` (id, fp, root); ``fp`` is the column of ``df`` that tells rows of one id apart."""
+    found = cut(groups)
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
     kept = cut(found.groupBy("root").agg(first.alias("k")).select("k.id", "k.fp"))
     repeats = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"))
@@ -175,7 +185,7 @@ def keep_one(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **op
     if repeats.isEmpty():
         return once
     rest = df.join(repeats.select(F.col("id").alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    rest = rest.withColumn("_fp", with_fingerprint(df, text_col, options.get("words", WORDS)))
+    rest = rest.withColumn("_fp", fp)
     want = kept.select(F.col("id").alias("_id"), F.col("fp").alias("_want"))
     rest = rest.join(want, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_want")), "left_semi")
     return once.unionByName(rest.dropDuplicates([id_col, "_fp"]).drop("_fp"))
