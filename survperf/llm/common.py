@@ -24,14 +24,22 @@ def small_batches(spark: SparkSession) -> None:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder that the cluster names; a temporary one only where none is set."""
+    """The shared folder that the cluster names; a temporary one only in a local session that names none."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None)
     if sc._jsc.sc().getCheckpointDir().isEmpty():
+        if named is None and sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or os.path.join(tempfile.gettempdir(), "survperf-checkpoints"))
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+def delete_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise ``df`` in the shared checkpoint folder and cut its lineage."""
     checkpoint_dir(df.sparkSession)
@@ -43,6 +51,54 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def running(values: Column, fold: Callable[[Column, Column], Column], zero: Column, chunk: int = 128) -> Column:
+    """For each of ``values`` the fold of those before it.
+
+    An array that grew by one element at a time would be copied as often; here chunks are folded first, so the
+    work is in proportion to the number of values times the size of a chunk.
+    """
+
+    def inside(v: Column) -> Column:
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / chunk).cast("int")), lambda k: F.slice(v, k * chunk + 1, chunk))
+        return let(parts, lambda ps: let(F.transform(ps, lambda p: F.aggregate(p, zero, fold)), lambda tops: F.flatten(F.transform(ps, lambda p, k: let(F.aggregate(F.slice(tops, F.lit(1), k), zero, fold), lambda base: F.transform(p, lambda _, i: F.aggregate(F.slice(p, F.lit(1), i), base, fold)))))))
+
+    return let(values, lambda v: F.when(F.size(v) > 0, inside(v)).otherwise(F.slice(v, 1, 0)))
+
+
+def at_most(values: Column, limit: Column) -> Column:
+    """How many of the ascending ``values``, a lambda's variable, are not above ``limit``; by bisection."""
+    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(values))))
+
+    def step(acc: Column, _: Column) -> Column:
+        middle = F.shiftright(acc["lo"] + acc["hi"], 1)
+        low = (acc["lo"] < acc["hi"]) & (F.get(values, middle) <= limit)
+        return F.struct(F.when(low, middle + 1).otherwise(acc["lo"]).alias("lo"), F.when(low, acc["hi"]).otherwise(F.greatest(acc["lo"], middle)).alias("hi"))
+
+    return F.aggregate(steps, F.struct(F.lit(0).alias("lo"), F.size(values).alias("hi")), step, lambda acc: acc["lo"])
+
+
+#: Least and most 64-bit numbers of a bit set, and bits for each key: 1 MB at most.
+LEAST_BITS, MOST_BITS, BITS_EACH = 1 << 6, 1 << 17, 16
+
+
+def bit_set(keys: DataFrame, count: int) -> DataFrame:
+    """One row, one array of numbers: a set of the hashes in the only column of ``keys``, with false hits but no misses."""
+    size = min(MOST_BITS, max(LEAST_BITS, 1 << max(1, count * BITS_EACH // 64).bit_length()))
+    place = F.col(keys.columns[0]).bitwiseAND(F.lit(64 * size - 1))
+    # a bit of the number that it is in, made by its place
+    bit = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), place.bitwiseAND(F.lit(63)).cast("int") + 1)
+    held = keys.select(F.shiftright(place, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
+    every = keys.sparkSession.range(size).select(F.col("id").alias("i")).join(held, "i", "left")
+    numbers = F.sort_array(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))
+    return every.agg(F.transform(numbers, lambda x: x["b"]).alias("bits"))
+
+
+def in_bits(bits: Column, key: Column) -> Column:
+    """Whether ``key`` may be in a bit set, a lambda's variable."""
+    place = key.bitwiseAND(F.lit(64) * F.size(bits).cast("bigint") - 1)
+    return F.getbit(F.get(bits, F.shiftright(place, 6).cast("int")), place.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def ascii_lower(text: Column) -> Column:
     """``text`` with A-Z, and no other letter, in lower case."""
     upper = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
