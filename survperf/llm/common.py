@@ -85,8 +85,7 @@ def bit_set(keys: DataFrame, count: int) -> DataFrame:
     """One row, one array of numbers: a set of the hashes in the only column of ``keys``, with false hits but no misses."""
     size = min(MOST_BITS, max(LEAST_BITS, 1 << max(1, count * BITS_EACH // 64).bit_length()))
     place = F.col(keys.columns[0]).bitwiseAND(F.lit(64 * size - 1))
-    # a bit of the number that it is in, made by its place
-    bit = F.element_at(F.array(*[F.lit(1 << i if i < 63 else -(1 << 63)) for i in range(64)]), place.bitwiseAND(F.lit(63)).cast("int") + 1)
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), place.bitwiseAND(F.lit(63)).cast("int"))
     held = keys.select(F.shiftright(place, 6).alias("i"), bit.alias("b")).groupBy("i").agg(F.bit_or("b").alias("b"))
     every = keys.sparkSession.range(size).select(F.col("id").alias("i")).join(held, "i", "left")
     numbers = F.sort_array(F.collect_list(F.struct("i", F.coalesce("b", F.lit(0).cast("bigint")).alias("b"))))

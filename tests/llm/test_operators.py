@@ -37,7 +37,8 @@ ODD = [
 @pytest.fixture(scope="module")
 def odd(spark):
     """Nulls, empty and long texts, repeated rows, and extra columns with the operators' names."""
-    names = ["n_hit", "score", "shard", "slot", "sequence_id", "offset", "media", "secret_spans", "component_id"]
+    names = ["n_hit", "score", "shard", "slot", "sequence_id", "offset", "media", "secret_spans", "component_id", "label", "quality", "row", "id", "h", "w", "n", "fp", "root", "copy", "bucket", "key", "spans"]
+    names += [f"_{c}" for c in ("id", "h", "spans", "strong", "weak", "score", "salt", "r", "p", "l", "s", "n", "m", "t", "fp", "want", "b", "base", "html")]
     return spark.createDataFrame(ODD, DOC).withColumns({n: F.lit("x") for n in names})
 
 
@@ -126,6 +127,19 @@ def test_decontamination_against_brute_force(spark, docs, texts):
         assert tuple(got[k])[1:] == (n, hit, len(found), sha, hit > 0)
 
 
+def test_decontamination_beyond_the_broadcast(spark, docs, monkeypatch):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    want = sorted(map(str, decontaminate.scan(docs, bench).withColumn("items", F.array_sort("items")).collect()))
+    monkeypatch.setattr(decontaminate, "MOST_BROADCAST", 0)
+    monkeypatch.setattr("survperf.llm.common.MOST_BITS", 1 << 1)  # nearly every window passes such a set
+    assert sorted(map(str, decontaminate.scan(docs, bench).withColumn("items", F.array_sort("items")).collect())) == want
+    long = spark.createDataFrame([(1, "a b c d e f " * 100_000)], "doc_id long, text string")
+    row = decontaminate.scan(long, spark.createDataFrame([(1, "f a b"), (2, "x y z")], "item_id long, text string")).first()
+    assert (row.n_words, len(row.spans), row["items"]) == (600_000, 99_999, [1])
+    cut = decontaminate.remove(long, spark.createDataFrame([(1, "f a b")], "item_id long, text string"), "spans").first().text
+    assert words(cut) == ["a", "b"] + ["c", "d", "e"] * 100_000 + ["f"]
+
+
 def test_decontamination_short_items_and_odd_cases(spark, odd):
     bench = [(7, "One"), (8, "ab ÀÉ x1 AB ab ÀÉ x1 ab ab ÀÉ x1 ab"), (9, None), (10, "..."), (None, "words"), (11, "THE the"), (11, "THE the")]
     rows = decontaminate.scan(odd, spark.createDataFrame(bench, "item_id long, text string")).collect()
@@ -249,6 +263,33 @@ def test_weak_candidates_need_a_complement(spark):
     assert clean[1] == "see https://db.example.com/x and [REDACTED]" and clean[5] == "user: bob.k [REDACTED]" and clean[2] == rows[1][1]
 
 
+def test_secrets_of_long_texts(spark):
+    """Prefix sums over many chunks, bisection and redaction in blocks, on texts with thousands of matches."""
+    rng = np.random.default_rng(2)
+    parts = ["user: bob.k", "https://é.example.com/x", "token = abcdefg1", "Aa1" * 12, "deadbeef" * 3, "AKIA" + "A1" * 8, "word " * 50, "\U0001f600 é"]
+    text = " ".join(parts[i] for i in rng.integers(0, len(parts), 6000))
+    df = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    spans = secrets.with_spans(df).first().secret_spans
+    assert [(s.start, s.ord, s.end, s.kind) for s in spans if s.kind in PATTERNS] == brute_secrets(text)
+    # weak spans by the definition: a complementary part within reach
+    found = {kind: [(m.start(), m.end()) for m in re.finditer(p, text)] for kind, p in (("token", secrets.TOKEN), ("user", secrets.USER), ("endpoint", secrets.ENDPOINT))}
+    firm = [(a, b) for a, _, b, _ in brute_secrets(text)]
+    free = {k: [(a, b) for a, b in v if not any(x <= a and b <= y for x, y in firm)] for k, v in found.items()}
+    parts_of = [(a, b, secrets.ROLE[k] == "secret") for a, _, b, k in brute_secrets(text)] + [(a, b, secrets.ROLE[k] == "secret") for k, v in free.items() for a, b in v]
+    at = np.array([(a, b) for a, b, _ in parts_of])
+    role = np.array([c for *_, c in parts_of])
+    near = lambda a, b, secret: bool(((role != secret) & (at[:, 0] - b <= secrets.REACH) & (a - at[:, 1] <= secrets.REACH)).any())
+    want = {(a, b, k) for k, v in free.items() for a, b in v if near(a, b, secrets.ROLE[k] == "secret")}
+    assert {(s.start, s.end, s.kind) for s in spans if s.kind not in PATTERNS} == want and want and sum(map(len, free.values())) > len(want)
+    out, last = [], 0
+    for s in spans:
+        if s.kind in ("assign", "access", "hex", "token"):
+            if s.start >= last:
+                out.append(text[last : s.start] + "[REDACTED]")
+            last = max(last, s.end)
+    assert secrets.redact(df).first().text == "".join(out) + text[last:]
+
+
 def test_secrets_odd_cases(spark, odd):
     assert secrets.with_spans(odd).columns.count("secret_spans") == 1
     assert sorted(map(str, secrets.redact(odd).select("doc_id", "text").collect())) == sorted(map(str, odd.select("doc_id", "text").collect()))
