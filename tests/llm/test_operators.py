@@ -306,14 +306,59 @@ def test_html_structure():
     assert html.main_texts(["", "plain", "<p>a<p>b"]) == ["", "plain", "a\n\nb"]
 
 
-def test_html_repeated_blocks_of_a_host(spark):
+def test_html_slash_at_the_end_of_a_value():
+    assert html.main_texts(["<div><article><div data-href=/news/><p>one</p></div><p>two</p></article></div><p>x"]) == ["one\n\ntwo"]
+    assert html.main_texts(["<article><div/><p>one</p><hr/><p a='1'/>two</article>"]) == ["one\n\ntwo"]
+
+
+def test_html_repeated_blocks_of_a_host(spark, monkeypatch):
     pages = [f"<div>Home News Sport Weather Shop</div><div>story number {i} tells of {'abcdefgh'[i]} things only</div><div>all rights reserved by us</div>" for i in range(6)]
     want = [f"story number {i} tells of {'abcdefgh'[i]} things only" for i in range(6)]
     assert html.main_texts(pages) == want
     assert html.main_texts([pages[0]] * 3) == [f"Home News Sport Weather Shop\n\n{want[0]}\n\nall rights reserved by us"] * 3
     rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)] + [(None, None, None), (9, "x", ""), (9, "x", "")]
-    got = html.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))).collect()
-    assert Counter((r.page_id, r.text) for r in got) == Counter([*enumerate(want), (None, ""), (9, ""), (9, "")])
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("x"))
+    for size in (html.GROUP_BYTES, 64):  # all pages of the host in one task, and nearly each in its own
+        monkeypatch.setattr(html, "GROUP_BYTES", size)
+        assert Counter((r.page_id, r.text) for r in html.extract(df).collect()) == Counter([*enumerate(want), (None, ""), (9, ""), (9, "")])
+    assert html.extract(df.limit(0)).count() == 0
+
+
+def test_html_against_a_naive_search_for_repeats(spark, monkeypatch):
+    """Random pages without an article, of hosts dealt to one task or to many: tokens in repeated runs go, unique runs stay."""
+    rng = np.random.default_rng(4)
+    phrase = [" ".join(f"p{k}{i}" for i in range(12)) for k in range(4)]
+    rows = []
+    for n in range(60):
+        blocks = [" ".join([*(f"W{x}" for x in rng.integers(0, 6, rng.integers(0, 5))), *rng.choice(phrase, rng.integers(0, 2)), *(f"u{n}x{x}" for x in range(rng.integers(0, 4)))]) for _ in range(6)]
+        rows.append((n, f"http://h{n % 2}.example/{n}", "".join(f"<div>{b}</div>" for b in blocks)))
+    rows += [(100, "http://h0.example/m", f"<article>{phrase[0]}</article><div>{phrase[3]}</div>"), (101, *rows[3][1:]), (101, *rows[3][1:])]
+    blocks_of = {r: [t for t in (" ".join(b.split()) for b in re.split("</?div>", r[2])) if t] for r in rows if r[0] != 100}
+
+    def repeats(host, page, low, at):
+        """Whether the run of 8 tokens at ``at``, or the shorter block, is on another page of the host."""
+        some = low[at : at + 8]
+        for other, blocks in blocks_of.items():
+            if other[2] == page[2] or other[1].split("/")[2] != host:
+                continue
+            for b in (b.lower().split() for b in blocks):
+                if b == low if len(low) < 8 else any(b[i : i + 8] == some for i in range(len(b) - 7)):
+                    return True
+        return (phrase[3] if host == "h0.example" else "").split() == some[:12] if len(low) < 8 else host == "h0.example" and " ".join(some) in phrase[3]
+
+    want = []
+    for r, blocks in blocks_of.items():
+        kept = []
+        for text in blocks:
+            words, low = text.split(), text.lower().split()
+            spans = [range(at, at + 8) for at in range(max(1, len(low) - 7)) if repeats(r[1].split("/")[2], r, low, at)]
+            kept.append(" ".join(w for i, w in enumerate(words) if not any(i in s for s in spans)))
+        want += [(r[0], "\n\n".join(k for k in kept if k))] * (2 if r[0] == 101 else 1)
+    want.append((100, phrase[0]))
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (html.GROUP_BYTES, 300):
+        monkeypatch.setattr(html, "GROUP_BYTES", size)
+        assert sorted((r.page_id, r.text) for r in html.extract(df).collect()) == sorted(want)
 
 
 def test_suffix_array_and_repeats():
@@ -321,9 +366,11 @@ def test_suffix_array_and_repeats():
     for n in (1, 2, 7, 60):
         x = rng.integers(0, 3, n)
         assert html.suffix_array(x).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
-    streams = [list("abcdxyz"), list("zzabcdq"), list("abcdabcd"), list("qqqqqqqq")]
-    got = html.repeated(streams, [0, 1, 1, 2], 4)
-    assert [g.tolist() for g in got] == [[True] * 4 + [False] * 3, [False] * 2 + [True] * 4 + [False], [True] * 8, [False] * 8]
+    streams = [list("abcdxyz"), list("zzabcdq"), list("abcdabcd"), list("qqqqqqqq"), list("ab"), list("ab")]
+    got = html.local_runs(streams, ["p", "q", "q", "r", "p", "r"], 4)
+    shared = {k for k, (low, high) in got.items() if low != high}
+    assert shared == {html.run_key(list("abcd"), False), html.run_key(list("ab"), True)}
+    assert [html.unique_runs(" ".join(s).upper(), shared, 4) for s in streams] == ["X Y Z", "Z Z Q", "", "Q Q Q Q Q Q Q Q", "", ""]
 
 
 def test_html_on_the_pages_table(spark):
