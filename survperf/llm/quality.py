@@ -5,8 +5,8 @@ learned transitions; the document's score is the mean of the lines' forward-back
 marginals of "good", weighted by line length.
 
 ``fit`` learns from at most ``sample`` labelled documents of each class (those whose ids have the
-smallest hashes), whole texts; a document's label stands for each of its lines. Scoring covers
-every row, one Arrow batch at a time.
+smallest hashes) with at most ``most_lines`` lines together, whole texts; a document's label stands for each
+of its lines. Scoring covers every row, one Arrow batch at a time.
 
 Defined cases: a null or empty text is one empty line and gets that line's score; rows without
 a label and labels without a row are not learned from, nor are null labels; without labels of both
@@ -20,12 +20,13 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from survperf.llm.common import small_batches
 
-SAMPLE = 1500
+#: Labelled documents of each class, and the lines of each class, that are learned from.
+SAMPLE, MOST_LINES = 1500, 100_000
 STEPS, RATE, RIDGE = 200, 0.1, 1e-3
 
 _CLASSES = {"lower": b"abcdefghijklmnopqrstuvwxyz", "upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "digit": b"0123456789", "space": b" \t\r\x0b\x0c", "stop": b".,;:?'\"()-", "bang": b"!", "bar": b"|", "mark": b"#$%&*@^~<>{}[]\\/=+_`"}
@@ -142,26 +143,36 @@ def train(own: np.ndarray, per_text: np.ndarray, labels: np.ndarray, steps: int
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(text, label) of at most ``sample`` documents of each label, those of the smallest id hashes."""
-    ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).select(F.col(id_col).alias("_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["_id"])
-    ids = ids.withColumn("_h", F.xxhash64("_id"))
-    few = ids.filter("label = 0").orderBy("_h").limit(sample).unionAll(ids.filter("label = 1").orderBy("_h").limit(sample))
-    rows = docs.join(F.broadcast(few), F.col(id_col) == F.col("_id"))  # at most 2 * sample ids
-    return rows.select("_id", F.col(text_col).alias("text"), "label")
+    """(id, text, label, h) of at most ``sample`` documents of each label, those of the smallest id hashes ``h``.
 
+    An id with several labels has the smallest, one with several texts the first in order; ``id`` is the id as text.
+    """
+    ids = labels.filter(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("own")).agg(F.min(F.col(label_col).cast("int")).alias("label"))
+    ids = ids.withColumn("h", F.xxhash64("own"))
+    few = ids.filter("label = 0").orderBy("h").limit(sample).unionAll(ids.filter("label = 1").orderBy("h").limit(sample))
+    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text"))
+    rows = texts.join(F.broadcast(few), F.col("doc") == F.col("own"))  # at most 2 * sample ids
+    return rows.groupBy(F.col("doc").cast("string").alias("id"), "label", "h").agg(F.min("text").alias("text"))
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model | None:
-    """The model learned from a bounded sample of ``labels``; None without both classes."""
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", most_lines: int = MOST_LINES) -> Model | None:
+    """The model learned from a bounded sample of ``labels``; None without both classes.
+
+    Sampled texts are taken in the order of their ids' hashes while those of their label have ``most_lines`` lines together.
+    """
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
+    sizes = rows.withColumn("lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))
+    so_far = F.sum("lines").over(Window.partitionBy("label").orderBy("h", "id"))
+    rows = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= most_lines)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             own, _, per_text = line_features(b["text"].tolist())
             cuts = np.cumsum(per_text)[:-1]
-            yield pd.DataFrame({"id": b["_id"].to_numpy(), "label": b["label"].to_numpy(), "x": [x.astype(np.float32).ravel().tolist() for x in np.split(own, cuts)]})
+            yield pd.DataFrame({"id": b["id"].to_numpy(), "label": b["label"].to_numpy(), "x": [x.astype(np.float32).ravel().tolist() for x in np.split(own, cuts)]})
 
-    got = rows.mapInPandas(features, "id long, label int, x array<float>").toPandas().sort_values("id", kind="stable")
+    got = rows.select("id", "label", "text").mapInPandas(features, "id string, label int, x array<float>").toPandas().sort_values("id", kind="stable")
     if got["label"].nunique() < 2:
         return None
     own = np.concatenate([np.asarray(x, np.float64) for x in got["x"]]).reshape(-1, N_OWN)
@@ -190,3 +201,10 @@ def with_quality(df: DataFrame, model: Model | None, text_col: str = "text", out
             yield pd.Series(scores(texts.tolist(), model) if len(texts) else np.zeros(0))
 
     return df.withColumn(out_col, score(F.col(text_col)))
+
+
+def keep_good(df: DataFrame, model: Model | None, least: float = 0.5, text_col: str = "text") -> DataFrame:
+    """The rows of ``df`` whose quality is ``least`` or more, with its columns."""
+    # the input's columns stay inside a struct, so that none has a name of ours
+    rows = df.select(F.struct("*").alias("row"), F.col(text_col).alias("own_text"))
+    return with_quality(rows, model, "own_text", "score").filter(F.col("score") >= least).select("row.*")

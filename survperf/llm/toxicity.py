@@ -9,8 +9,8 @@ growing function of the words, and for each hundred words.
 ``fit`` starts from a short public list and learns weights (log-odds of an entry among the words of
 toxic and of other texts) of words and stems of at most ``sample`` labelled documents of each
 class. Entries may occur in other texts by chance: what counts is how much is matched. Counting is
-done where the rows are; what reaches the driver is the entries that pass the bounds, at most
-``MOST_ENTRIES``.
+done where the rows are; what reaches the driver is the entries that pass the bounds, which that many
+documents can support.
 
 Defined cases: a null or empty text has no match and the score of none; without labels of both
 classes the list's own weights hold. ``with_toxicity`` keeps all columns and replaces its own names.
@@ -21,9 +21,11 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import ahocorasick
 import numpy as np
@@ -36,9 +38,9 @@ from survperf.llm.quality import labelled_sample
 
 SAMPLE = 4000
 STEM = range(4, 11)
-#: Least log-odds of a learned entry, the most entries, and the least log likelihood ratio of the
-#: split of its documents against chance, above the log of the entries tried.
-ODDS, MOST_ENTRIES, SURPRISE = 2.5, 20_000, 16.0
+#: Least log-odds of a learned entry, and the least log likelihood ratio of the split of its documents
+#: against chance, above the log of the entries tried.
+ODDS, SURPRISE = 2.5, 16.0
 #: Occurrences added on either side, so that few of them weigh little; the largest weight.
 ADDED, HEAVIEST = (1.0, 3.0), 6.0
 #: A longer entry stays beside a stem that starts it if it weighs so much more.
@@ -59,17 +61,23 @@ _TABLE = str.maketrans(_LOOKS)
 #: Digits and marks written for letters.
 _DIGITS = str.maketrans("013457@$", "oieastas")
 _MIXED = re.compile(r"[013457@$]+(?=[^\W\d_])")
+_ENDING = re.compile(r"(?<=[^\W\d_])[013457@$]+(?![^\W_])")
 _WORD = re.compile(r"[^\W\d_]+")
 
 
 def fold(text: str) -> str:
-    """``text`` in lower case, without look-alikes and digits inside words."""
+    """``text`` in lower case, without look-alikes and digits before letters; those at a word's end stay."""
     low = text.lower()
     if not low.isascii() and _OTHER.search(low):
         low = _HIDDEN.sub("", unicodedata.normalize("NFKC", low)).lower().translate(_TABLE)
     return _MIXED.sub(lambda m: m[0].translate(_DIGITS), low)
 
 
+def fold_endings(low: str) -> str:
+    """Folded text with the digits at the ends of words read as letters too; of the same length."""
+    return _ENDING.sub(lambda m: m[0].translate(_DIGITS), low)
+
+
 @dataclass
 class Model:
     entries: dict[str, float] = field(default_factory=lambda: {"=" + w: x for w, x in LEXICON.items()})
@@ -92,18 +100,26 @@ class Model:
 
 
 def matches(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the longest entry at each word start of folded ``text``, less exceptions."""
+    """(start, end, weight) of the longest entry at each word start of folded ``text``, less exceptions.
+
+    Digits at a word's end are read both as they are and as letters.
+    """
     found: dict[int, tuple[int, float]] = {}
     spared: list[tuple[int, int]] = []
-    for last, (n, weight, whole) in auto.iter(text):
-        start, end = last - n + 1, last + 1
-        if start and text[start - 1].isalpha() or whole and end < len(text) and text[end].isalpha():
-            continue
-        if weight is None:
-            spared.append((start, end))
-        elif start not in found or found[start][0] < end:
-            found[start] = (end, weight)
-    return [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in spared)]
+    ended = fold_endings(text)
+    for read in (text,) if ended == text else (text, ended):
+        for last, (n, weight, whole) in auto.iter(read):
+            start, end = last - n + 1, last + 1
+            if start and read[start - 1].isalpha() or whole and end < len(read) and read[end].isalpha():
+                continue
+            if weight is None:
+                spared.append((start, end))
+            elif start not in found or found[start][0] < end:
+                found[start] = (end, weight)
+    spared.sort()
+    ends = list(accumulate((y for _, y in spared), max))
+    covered = lambda a, b: bool(spared) and (i := bisect_right(spared, (a, len(text)))) > 0 and ends[i - 1] >= b
+    return [(a, b, w) for a, (b, w) in sorted(found.items()) if not covered(a, b)]
 
 
 def strength(text: str, auto: ahocorasick.Automaton) -> tuple[float, float, int]:
@@ -162,8 +178,8 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text") -> Model:
     """A lexicon with weights from a bounded sample of ``labels``."""
     small_batches(docs.sparkSession)
-    rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
-    totals = {r["label"]: r["n"] for r in rows.dropDuplicates(["_id"]).groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = cut(labelled_sample(docs, labels, label_col, sample, id_col, text_col).select("id", "label", "text"))
+    totals = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(totals) < 2:
         return Model()
     toxic, clean = totals[1], totals[0]
@@ -189,7 +205,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
     odds = F.log((F.col("to") + ADDED[0]) / every.to) - F.log((F.col("co") + ADDED[1]) / every.co)
     scored = counts.filter("entry <> ''").withColumn("w", F.least(odds, F.lit(HEAVIEST)))
     good = scored.filter((own > share) & (surprise >= SURPRISE) & (F.col("w") >= ODDS))
-    learned = {r.entry: r.w for r in good.orderBy(F.desc(surprise), "entry").limit(MOST_ENTRIES).collect()}
+    learned = {r.entry: r.w for r in good.collect()}
     model = Model()
     poor = {r.entry for r in scored.filter(F.col("entry").isin(*model.entries) & (F.col("w") < ODDS)).collect()}
     model.entries = prune({e: w for e, w in model.entries.items() if e not in poor} | learned)
@@ -198,9 +214,9 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", sample: in
         auto = model.automaton()
         for b in batches:
             got = [strength(t, auto) for t in b["text"]]
-            yield pd.DataFrame({"id": b["_id"], "y": b["label"], "x": [g[0] for g in got], "z": [g[1] for g in got]})
+            yield pd.DataFrame({"id": b["id"], "y": b["label"], "x": [g[0] for g in got], "z": [g[1] for g in got]})
 
-    got = rows.mapInPandas(measure, "id long, y int, x double, z double").toPandas().sort_values("id", kind="stable")
+    got = rows.mapInPandas(measure, "id string, y int, x double, z double").toPandas().sort_values("id", kind="stable")
     model.coefficients = _logistic(got[["x", "z"]].to_numpy(float), got["y"].to_numpy(float))
     return model
 
@@ -216,5 +232,7 @@ def with_toxicity(df: DataFrame, model: Model, text_col: str = "text", out_col:
             got = [strength(t, auto) for t in texts]
             yield pd.DataFrame({"score": model.score([g[:2] for g in got]), "n": [g[2] for g in got]})
 
+    # the input's columns stay inside a struct, so that none has a name of ours
     kept = [c for c in df.columns if c not in (out_col, hits_col)]
-    return df.withColumn("_t", score(F.col(text_col))).select(*kept, F.col("_t.score").alias(out_col), F.col("_t.n").alias(hits_col))
+    rows = df.select(F.struct(*kept).alias("row"), score(F.col(text_col)).alias("found"))
+    return rows.select(*[F.col("row")[c].alias(c) for c in kept], F.col("found.score").alias(out_col), F.col("found.n").alias(hits_col))

@@ -487,5 +487,70 @@ def test_toxicity_folding_and_exceptions():
         assert toxicity.strength(text, auto)[2] == 1, text
     for text in ("a trash can", "idiotic", "the clown fish", "555-1234", "", None):
         assert toxicity.strength(text, auto)[2] == 0, text
+    for text in ("assh0l3", "wh0r3", "$h17", "id1o7!", "idiot1", "idiot 1"):
+        assert toxicity.strength(text, auto)[2] == 1, text
     assert toxicity.strength("trash can of trash", auto)[2] == 1
     assert toxicity.strength("idiot " + "word " * 5000, auto)[0] < toxicity.strength("idiot", auto)[0]
+
+
+def test_toxicity_matches_against_a_naive_search():
+    """Every entry tried at every place, on words of few letters and digits."""
+    rng = np.random.default_rng(7)
+    entries = {"=ab": 1.0, "abo": 2.0, "bo": 1.5, "=oa": 0.5, "a": 0.1}
+    model = toxicity.Model(entries, ("ab bo", "oa a oa"))
+    auto = model.automaton()
+    for _ in range(300):
+        text = "".join(rng.choice(list("aabbo0 4 1"), 40))
+        low = toxicity.fold(text)
+        found, spared = {}, []
+        for read in (low, toxicity.fold_endings(low)):
+            for at in range(len(read)):
+                if at and read[at - 1].isalpha():
+                    continue
+                for name in (*entries, *model.exceptions):
+                    word, whole = name.lstrip("="), name[0] == "=" or name in model.exceptions
+                    end = at + len(word)
+                    if read[at:end] != word or whole and end < len(read) and read[end].isalpha():
+                        continue
+                    if name in model.exceptions:
+                        spared.append((at, end))
+                    elif end > found.get(at, (0,))[0]:
+                        found[at] = (end, entries[name])
+        want = [(a, b, w) for a, (b, w) in sorted(found.items()) if not any(x <= a and b <= y for x, y in spared)]
+        assert toxicity.matches(low, auto) == want
+
+
+def test_classifiers_with_text_ids_and_repeated_rows(spark, docs, texts):
+    """Ids of any type; repeated and contradicting labels or rows do not multiply what is learned from."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    named = docs.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "text")
+    own = labels.select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "quality", "toxic")
+    for operator, label in ((quality, "quality"), (toxicity, "toxic")):
+        once = operator.fit(named, own, label)
+        many = operator.fit(named.unionAll(named).unionAll(named), own.unionAll(own), label)
+        assert once is not None and str(once) == str(many)
+    rows = quality.labelled_sample(named.unionAll(named), own, "quality", 50).collect()
+    assert len(rows) == len({r.id for r in rows}) <= 100
+    assert quality.fit(named, own, "quality", most_lines=0) is None
+
+
+def brute_quality(text, model):
+    """Length-weighted probability of good lines by enumeration of all labellings; few lines."""
+    own, sizes, per_text = quality.line_features([text])
+    emit = model.emissions(own, per_text)
+    n = len(emit)
+    total, good = 0.0, np.zeros(n)
+    for y in itertools.product((0, 1), repeat=n):
+        w = np.exp(sum(emit[i] for i in range(n) if y[i]) + sum(model.moves[y[i], y[i + 1]] for i in range(n - 1)))
+        total += w
+        good += w * np.array(y)
+    return float((good / total * (sizes + 1)).sum() / (sizes + 1).sum())
+
+
+def test_quality_query_against_enumeration(spark, docs, texts):
+    model = quality.fit(docs, Q.learnable(spark, SF), "quality")
+    got = {r.doc_id: r.score for r in Q.op1_quality(spark, SF).collect()}
+    few = {k: t for k, t in texts.items() if (t or "").count("\n") < 9}
+    assert len(few) > 20
+    for k, t in few.items():
+        assert got[k] == pytest.approx(brute_quality(t, model), abs=1e-6), k
