@@ -418,6 +418,26 @@ def test_sharding_odd_cases(spark, odd, tmp_path):
     assert spark.read.parquet(str(tmp_path / "s")).count() == len(ODD)
     a, b = (sharding.shuffle_into_shards(spark.range(2000), seed=s).orderBy("shard", "slot").collect() for s in (1, 2))
     assert [r.id for r in a] != [r.id for r in b]
+    # many copies of one record, and records with nested fields
+    same = spark.range(500).select(F.lit("x" * 100).alias("text"), F.array(F.lit(1)).alias("row"))
+    rows = sharding.shuffle_into_shards(same, bucket_bytes=4096).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((n % 8, n // 8) for n in range(500))
+
+
+def test_sharding_does_not_depend_on_partitions(spark, docs):
+    """One seed gives one order, whatever the partitions of the input and of shuffles; another shuffle of buckets gives another."""
+    rows = docs.select("doc_id", "text")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    got = []
+    try:
+        for partitions, df in (("3", rows), ("11", rows.repartition(5))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got.append(sorted((r.doc_id, r.shard, r.slot) for r in sharding.shuffle_into_shards(df, bucket_bytes=20_000).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    order = [i for i, *_ in sorted(got[0], key=lambda r: (r[2], r[1]))]
+    assert len(order) == len(set(order)) and order != sorted(order)
 
 
 def test_licenses_against_brute_force(spark, docs, odd):
