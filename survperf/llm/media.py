@@ -1,8 +1,12 @@
 """Media columns: texts' bytes as WAV samples, their spectra and spectral-peak fingerprints.
 
 ``to_wav`` stores a payload losslessly as 8-bit mono samples; ``read_wav`` reads it back with
-the wave module; ``landmarks`` are pairs of spectral peaks of neighbouring frames of a
-short-time Fourier transform, each packed with its time into one integer.
+the wave module; ``landmarks`` are pairs of spectral peaks of a short-time Fourier transform, each
+packed with its time into one integer. Frames overlap by half and the samples are padded by half a frame at
+either end, so that every byte lies near the middle of some frame. A frame's peaks are the bins that are
+stronger than both their neighbours and ``ABOVE`` times the frame's mean, the ``PEAKS`` strongest of them; each
+peak is paired with the ``FAN_OUT`` peaks that follow it, in its frame by bin and then in later frames, as far as
+``REACH`` frames.
 
 Defined cases: a null payload is empty; an empty payload is padded to 64 zero bytes; equal
 payloads give equal columns. ``with_media`` replaces input columns of the names it adds.
@@ -24,9 +28,10 @@ from survperf.llm.common import small_batches
 
 BLOCK = 64
 RATE = 8000
-FRAME = 512
-HOP = 512
-FAN_OUT = 2
+FRAME = 256
+HOP = 128
+#: Peaks of a frame, how far above its mean, the partners of a peak, and the frames between them.
+PEAKS, ABOVE, FAN_OUT, REACH = 3, 1.5, 3, 3
 #: Frames transformed at once.
 CHUNK = 4096
 
@@ -53,32 +58,36 @@ def read_wav(media: bytes) -> bytes:
 
 
 def peaks(samples: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Strongest bin above the mean and its strength, of each Hann-windowed frame."""
+    """(frame, bin) of all spectral peaks, in that order."""
     x = np.frombuffer(samples, np.uint8)
-    count = max(1, -(-(len(x) - FRAME) // HOP) + 1)
+    count = -(-len(x) // HOP) + 1
     padded = np.full((count - 1) * HOP + FRAME, 128, np.uint8)
-    padded[: len(x)] = x
+    padded[FRAME // 2 : FRAME // 2 + len(x)] = x
     frames = np.lib.stride_tricks.sliding_window_view(padded, FRAME)[::HOP]
     window = np.hanning(FRAME).astype(np.float32)
-    bins, power = [], []
+    found = []
     for at in range(0, count, CHUNK):
-        spectrum = np.abs(np.fft.rfft((frames[at : at + CHUNK].astype(np.float32) - 128) * window, axis=1))
-        spectrum[:, :2] = 0
-        best = spectrum.argmax(1)
-        bins.append(best)
-        power.append(spectrum[np.arange(len(best)), best])
-    return np.concatenate(bins), np.concatenate(power)
+        # whole numbers, so that equal payloads have equal peaks on every machine
+        power = np.rint(np.abs(np.fft.rfft((frames[at : at + CHUNK].astype(np.float32) - 128) * window, axis=1))[:, 1:]).astype(np.int32)
+        high = power * power.shape[1] > ABOVE * power.sum(1, keepdims=True, dtype=np.int64)
+        high[:, 1:] &= power[:, 1:] > power[:, :-1]
+        high[:, :-1] &= power[:, :-1] >= power[:, 1:]
+        # the strongest, of equal ones the lowest bins
+        rank = np.where(high, power.astype(np.int64) * FRAME + np.arange(power.shape[1], 0, -1), 0)
+        least = np.partition(rank, -PEAKS, axis=1)[:, -PEAKS, None]
+        frame, bin_ = np.nonzero(high & (rank >= least))
+        found.append((frame + at, bin_ + 1))
+    return np.concatenate([f for f, _ in found]).astype(np.int64), np.concatenate([b for _, b in found]).astype(np.int64)
 
 
 def landmarks(samples: bytes) -> list[int]:
-    """(time << 20 | first bin << 11 | second bin << 2 | frames between) of peak pairs, in time order."""
-    bins, _ = peaks(samples)
+    """(frame << 20 | first bin << 12 | second bin << 4 | frames between) of peak pairs, ascending."""
+    frame, bin_ = peaks(samples)
     marks = []
     for step in range(1, FAN_OUT + 1):
-        t = np.arange(len(bins) - step, dtype=np.int64)
-        marks.append((t << 20) | (bins[: len(t)].astype(np.int64) << 11) | (bins[step : step + len(t)].astype(np.int64) << 2) | step)
-    if len(bins) == 1:
-        marks = [bins.astype(np.int64) << 11]
+        apart = frame[step:] - frame[:-step]
+        near = apart <= REACH
+        marks.append(((frame[:-step] << 20) | (bin_[:-step] << 12) | (bin_[step:] << 4) | apart)[near])
     return np.sort(np.concatenate(marks)).tolist()
 
 

@@ -71,7 +71,7 @@ def op6_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     tail = F.expr("substring(payload, -64, 64)")
     return made.select(
         "doc_id", "n_bytes", F.octet_length("payload").cast("long").alias("payload_bytes"), F.sha2("payload", 256).alias("payload_sha256"), F.crc32(tail).alias("tail_crc32"),
-        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature("landmarks").alias("feature"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), feature("landmarks").alias("feature"), "landmarks",
     )
 
 

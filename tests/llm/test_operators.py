@@ -394,9 +394,41 @@ def test_media_round_trip(spark, texts, odd):
     rows = media.with_media(odd).collect()
     assert len(rows) == len(ODD) and all(media.read_wav(bytes(r.media)) == bytes(r.payload) for r in rows)
     assert {bytes(r.payload) for r in rows if not r.text} == {bytes(64)}
-    tone = bytes((128 + 100 * np.sin(2 * np.pi * 40 * np.arange(5120) / 512)).astype(np.uint8))
-    bins, _ = media.peaks(tone)
-    assert set(bins.tolist()) == {40}
+    tone = bytes((128 + 100 * np.sin(2 * np.pi * 40 * np.arange(5120) / 256)).astype(np.uint8))
+    frame, bins = media.peaks(tone)
+    assert set(bins[(frame > 1) & (frame < 39)].tolist()) == {40} and set(frame.tolist()) == set(range(41))
+
+
+def brute_landmarks(payload):
+    """Peaks by a plain Fourier sum over each frame, pairs by a scan of the peaks that follow."""
+    padded = [128] * 128 + list(payload)
+    count = -(-len(payload) // 128) + 1
+    padded += [128] * (count * 128 + 128 - len(padded))
+    k, n = np.arange(1, 129), np.arange(256)
+    turn = np.exp(-2j * np.pi * np.outer(k, n) / 256)
+    found = []
+    for t in range(count):
+        x = (np.array(padded[128 * t : 128 * t + 256]) - 128.0) * (0.5 - 0.5 * np.cos(2 * np.pi * n / 255))
+        p = np.rint(np.abs(turn @ x))
+        own = [i for i in range(128) if p[i] > 1.5 * p.mean() and (i == 0 or p[i] > p[i - 1]) and (i == 127 or p[i] >= p[i + 1])]
+        found += [(t, int(k[i])) for i in sorted(sorted(own, key=lambda i: (-p[i], i))[:3])]
+    return sorted((t << 20) | (b << 12) | (c << 4) | (u - t) for i, (t, b) in enumerate(found) for u, c in found[i + 1 : i + 4] if u - t <= 3)
+
+
+def test_media_landmarks_against_brute_force(spark, texts):
+    got = {r.doc_id: r for r in Q.op6_media(spark, SF).collect()}
+    near, some = 0, [k for k in sorted(texts) if texts[k]][:120]
+    for k in some:
+        own = got[k].landmarks
+        near += own == brute_landmarks(media.payload_of(texts[k]))
+        assert own, "short texts have pairs too"
+    assert near >= 0.95 * len(some)  # single and double precision may round a strength apart
+    # a copy that is shifted shares most pairs, up to their times
+    text = max(texts.values(), key=len)[:20_000].encode()
+    pairs = [Counter(m & 0xFFFFF for m in media.landmarks(x + bytes(-len(x) % 64))) for x in (text, b"x" * 128 + text)]
+    assert sum((pairs[0] & pairs[1]).values()) > 0.9 * sum(pairs[0].values())
+    # different texts have different features
+    assert len({r.feature for r in got.values()}) > 0.97 * len({r.payload_sha256 for r in got.values()})
 
 
 def test_sharding_law(spark, texts):
