@@ -34,6 +34,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return named or sc._jsc.sc().getCheckpointDir().get()
 
 
+_remembered: dict[str, Callable[[], None]] = {}
+
+
+def take_worker(operator: str, forget: Callable[[], None] | None = None) -> None:
+    """Called by an operator's Python code when it starts in a worker: what other operators left in a reused worker is dropped."""
+    for other in [k for k in _remembered if k != operator]:
+        _remembered.pop(other)()
+    if forget:
+        _remembered[operator] = forget
+
+
 def delete_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder of the shared store."""
     at = spark._jvm.org.apache.hadoop.fs.Path(path)

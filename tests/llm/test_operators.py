@@ -198,6 +198,28 @@ def test_packing_is_tight(spark, docs):
     assert fits(rows) <= 1 + 1.01 * total / 2048
 
 
+def fewest(items, capacity):
+    """The least number of sequences, by trying every item in every open sequence."""
+    best = len(items)
+
+    def put(at, gaps):
+        nonlocal best
+        if len(gaps) >= best:
+            return
+        if at == len(items):
+            best = len(gaps)
+            return
+        for g in set(gaps):
+            if g >= items[at]:
+                rest = list(gaps)
+                rest.remove(g)
+                put(at + 1, [*rest, g - items[at]])
+        put(at + 1, [*gaps, capacity - items[at]])
+
+    put(0, [])
+    return best
+
+
 def test_packing_plan_uses_exact_complements():
     counts = {5: 3, 3: 3, 6: 2, 1: 4, 4: 2, 8: 2}
     patterns = packing.plan(counts, 8)
@@ -208,7 +230,17 @@ def test_packing_plan_uses_exact_complements():
             used[n] += k * times
     assert used == Counter(counts)
     assert sum(times for _, times in patterns) == -(-sum(n * k for n, k in counts.items()) // 8)
+    index = packing.SumIndex(np.array(sorted(counts)), 8)
+    assert [list(index.pairs(s)) for s in (4, 6, 7)] == [[(3, 1)], [(5, 1), (3, 3)], [(6, 1), (4, 3)]]
+    for total in range(3, 9):
+        want = {t for t in itertools.combinations_with_replacement(sorted(counts, reverse=True), 3) if sum(t) == total}
+        assert set(index.triples(total)) == want
     rng = np.random.default_rng(1)
+    # small cases against the fewest sequences that any packing needs
+    for _ in range(30):
+        few = Counter(rng.integers(1, 13, 7).tolist())
+        items = sorted(few.elements(), reverse=True)
+        assert sum(t for _, t in packing.plan(few, 12)) <= fewest(items, 12) + 1
     counts = Counter(rng.integers(1, 2049, 5000).tolist())
     patterns = packing.plan(counts)
     total = sum(n * k for n, k in counts.items())
@@ -490,6 +522,45 @@ def test_licenses_against_brute_force(spark, docs, odd):
     assert licenses.scan(df, {}).filter("size(licenses) > 0").count() == 0
 
 
+def test_licenses_shorter_than_their_class_and_recall_of_changed_texts(spark):
+    """Texts that hold 0.8 or a little more of a template: cut at an end, or with words changed all over. Found as the exact share says."""
+
+    def grams(t):
+        w = re.findall(r"[a-z0-9\x80-\U0010ffff]+", t.lower())
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    rng, rows, want = np.random.default_rng(6), [], []
+    for name, template in licenses.TEMPLATES.items():
+        words = template.split()
+        for k in range(12):
+            w = list(words)
+            if k < 4:
+                w = w[: len(w) - k * max(1, len(w) // 20)]
+            elif k < 6:
+                w = w[(k - 3) * max(1, len(w) // 20) :]
+            else:
+                for at in rng.choice(len(w), max(0, min(len(w) // 30, k - 5)), replace=False):
+                    w[at] = "changed"
+            text = " ".join(w)
+            rows.append((len(rows), text if k % 2 else f"lorem ipsum {text} dolor sit amet"))
+            g = grams(rows[-1][1])
+            want.append({n for n, t in licenses.TEMPLATES.items() if len(grams(t) & g) >= 0.8 * len(grams(t))})
+    got = {r.id: {x.template for x in r.licenses} for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[i] <= w for i, w in enumerate(want))
+    found, every = sum(len(got[i]) for i in got), sum(map(len, want))
+    assert every > 200 and found >= 0.99 * every, (found, every)
+    short = "This work is licensed under the GNU General Public License, version"
+    assert licenses.scan(spark.createDataFrame([(1, short)], "doc_id long, text string")).first().licenses[0].template == "GPL-3.0"
+
+
+def test_license_anchors_lose_nothing():
+    templates = [re.findall(r"[a-z0-9]+", t.lower()) for t in licenses.TEMPLATES.values()]
+    chosen = set(licenses.anchors(templates))
+    for words in templates:
+        grams = {tuple(words[i : i + 5]) for i in range(len(words) - 4)}
+        assert sum(not chosen & set(g) for g in grams) < 0.8 * len(grams)
+
+
 def accuracy(spark, query, label, sf="/root/testdata/sf0.01"):
     labels = {r.doc_id: r[label] for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
     rows = [(r.predicted, labels[r.doc_id]) for r in query(spark, sf).collect() if r.held_out and r.doc_id in labels]
