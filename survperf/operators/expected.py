@@ -1,31 +1,40 @@
 """Expected counts from a Bayesian spatio-temporal count model, fitted in grouped Spark tasks.
 
-Counts are Poisson (optionally with a Gamma or log-normal extra term) around
+Counts are Poisson, optionally with a Gamma ("nb") or a log-normal ("iid") term of each observation, around
 population x exp(intercept + season + year effect + spatial effect [+ covariates]). The spatial
 effect mixes a scaled graph effect and an independent one; the posterior is approximated by Laplace's
-method at a small grid of hyperparameters, with the penalised-complexity priors below, and draws come
-from the resulting mixture. Each assessment year is one group: it sees only months up to its close,
-with the counts of its own window hidden, and its draws carry the same draw numbers for all
+method at a grid of hyperparameters, with the penalised-complexity priors below, and draws come
+from the resulting mixture. The log-normal term is integrated out of the likelihood by adaptive quadrature
+and drawn anew for each cell; the Gamma term has a closed form. Each assessment year sees only months up to its
+close, with the counts of its own window hidden, and its draws carry the same draw numbers for all
 districts, so that what districts share cancels when draws are centred.
 
-Inside a group the number of districts bounds the work (dense matrices of that size); groups are
-independent and run side by side.
+Three steps, all of Spark groups: parts of the grid are fitted side by side for each year and kind of term; the
+grid points' weights of a year, one small row each, are turned into numbers of draws; blocks of ``BLOCK`` draws
+are made side by side. Year and district effects are sums over codes, so a group's arrays have as many entries
+as the panel has cells, times the few other effects, and as the square of the number of districts.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
+from copy import copy
 from dataclasses import dataclass, replace
 from datetime import date
-from itertools import product
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from survperf.functions.session import cut
+
 N_DRAWS, QUICK_DRAWS, SEED = 1000, 100, 42
 MIN_HISTORY = 3
+#: Draws made in one task.
+BLOCK = 50
+_NODES, _WEIGHTS = np.polynomial.hermite.hermgauss(9)
 P_EFF_SHARE, CPO_SHARE, PHI_LOW, PHI_HIGH = 0.2, 0.5, 0.02, 0.98
 DRAWS = "target int, district string, month date, draw int, expected double"
 FIT = "target int, spec string, n_obs long, dic double, waic double, p_eff double, sd_spatial double, phi_spatial double, sd_extra double, cpo_valid double, pit_ks double"
@@ -148,14 +157,31 @@ def _log_prior(model: Model, sd: float, phi: float, sd_year: float, extra: float
     return out
 
 
-def _terms(y: np.ndarray, eta: np.ndarray, extra: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Log likelihood, its gradient and its expected curvature; the extra term adds variance extra^2 x mean^2."""
+def _terms(y: np.ndarray, eta: np.ndarray, extra: float, kind: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Log likelihood, its gradient and its curvature. "nb" adds variance extra^2 x mean^2, "iid" a normal term of that deviation."""
     mu = np.exp(np.clip(eta, -30, 30))
-    if extra <= 0:
+    if kind == "none":
         return y * eta - mu - _lgamma(y + 1), y - mu, mu
-    r = 1 / extra**2
-    ll = _lgamma(y + r) - math.lgamma(r) - _lgamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
-    return ll, (y - mu) * r / (r + mu), mu * r / (r + mu)
+    if kind == "nb":
+        r = 1 / extra**2
+        ll = _lgamma(y + r) - math.lgamma(r) - _lgamma(y + 1) + r * np.log(r / (r + mu)) + y * np.log(mu / (r + mu))
+        return ll, (y - mu) * r / (r + mu), mu * r / (r + mu)
+    # the mode of the normal term of each observation, then quadrature around it
+    z = np.clip((np.log(y + 0.5) - eta) * extra * y / (1 + extra**2 * y), -6, 6)
+    for _ in range(8):
+        at = np.exp(np.clip(eta + extra * z, -30, 30))
+        z = z + np.clip((extra * (y - at) - z) / (extra**2 * at + 1), -2, 2)
+    at = np.exp(np.clip(eta + extra * z, -30, 30))
+    wide = 1 / np.sqrt(extra**2 * at + 1)
+    nodes = z[:, None] + math.sqrt(2) * wide[:, None] * _NODES
+    inner = eta[:, None] + extra * nodes
+    means = np.exp(np.clip(inner, -30, 30))
+    logs = y[:, None] * inner - means - nodes**2 / 2 + _NODES**2 + np.log(_WEIGHTS)
+    top = logs.max(1)
+    parts = np.exp(logs - top[:, None])
+    total = parts.sum(1)
+    ll = top + np.log(total) + np.log(wide) - 0.5 * math.log(math.pi) - _lgamma(y + 1)
+    return ll, y - (parts * means).sum(1) / total, at / (1 + extra**2 * at)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -171,105 +197,220 @@ def _lgamma(x: np.ndarray) -> np.ndarray:
 
 
 class _Data:
-    """Design of one group's panel; effects are few, cells are many, and only cell x effect products are formed."""
+    """Design of one year's panel: a few dense columns, and codes of years and districts."""
 
     def __init__(self, pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model):
         month = pd.to_datetime(pdf["month"])
-        self.names = sorted(pdf["district"].unique())
-        self.years = sorted(month.dt.year.unique())
-        self.place = pd.Categorical(pdf["district"], self.names).codes
-        self.year = pd.Categorical(month.dt.year, self.years).codes
+        names, years = sorted(pdf["district"].unique()), sorted(month.dt.year.unique())
         self.offset = np.log(np.maximum(pdf["pop"].to_numpy(float) / 12, 0.5))
         self.y = pdf["count"].to_numpy(float)
         self.seen = np.isfinite(self.y)
-        self.cov = graph_precision(self.names, edges)
+        self.cov = graph_precision(names, edges)
         cols = {"intercept": np.ones((len(pdf), 1)), "season": season_design(month.dt.month.to_numpy(), model.season)}
         given = [c for c in pdf.columns if c.startswith("x_")]
         x = pdf[given].to_numpy(float) if given else np.zeros((len(pdf), 0))
-        keep = x[self.seen].std(0) > 1e-10 if len(given) else np.zeros(0, bool)
+        keep = x[self.seen].std(0) > 1e-10 if len(given) and self.seen.any() else np.zeros(len(given), bool)
         cols["covariates"] = (x[:, keep] - x[self.seen][:, keep].mean(0)) / x[self.seen][:, keep].std(0) if keep.any() else np.zeros((len(pdf), 0))
-        if model.year_effect != "none":
-            cols["year"] = np.eye(len(self.years))[self.year]
-        cols["space"] = np.eye(len(self.names))[self.place]
+        self.dense = np.hstack(list(cols.values()))
         self.sizes = {k: v.shape[1] for k, v in cols.items()}
-        levels = {"year": [str(y) for y in self.years], "space": self.names, "covariates": [c for c, k in zip(given, keep, strict=True) if k]}
+        self.codes: list[tuple[int, int, np.ndarray]] = []  # first effect, effects, the effect of each cell
+        if model.year_effect != "none":
+            self._add("year", pd.Categorical(month.dt.year, years).codes, len(years))
+        self._add("space", pd.Categorical(pdf["district"], names).codes, len(names))
+        levels = {"year": [str(y) for y in years], "space": names, "covariates": [c for c, k in zip(given, keep, strict=True) if k]}
         self.labels = [(k, levels[k][i] if k in levels else str(i + 1)) for k, n in self.sizes.items() for i in range(n)]
-        self.a = np.hstack(list(cols.values()))
-
 
-def _laplace(d: _Data, q: np.ndarray, extra: float, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Mode, precision there, and the log marginal likelihood but for the hyperparameters' prior."""
-    a, y, off = d.a[d.seen], d.y[d.seen], d.offset[d.seen]
+    def _add(self, name: str, codes: np.ndarray, size: int) -> None:
+        self.codes.append((sum(self.sizes.values()), size, codes.astype(np.int64)))
+        self.sizes[name] = size
+
+    @property
+    def size(self) -> int:
+        return sum(self.sizes.values())
+
+    def cells(self, which: np.ndarray) -> _Data:
+        """The design of some cells alone."""
+        part = copy(self)
+        part.offset, part.y, part.seen, part.dense = self.offset[which], self.y[which], self.seen[which], self.dense[which]
+        part.codes = [(at, n, c[which]) for at, n, c in self.codes]
+        return part
+
+    def log_mean(self, effects: np.ndarray) -> np.ndarray:
+        """Log of the mean of each cell; ``effects`` is a vector, or has a row for each draw."""
+        out = self.offset + effects[..., : self.dense.shape[1]] @ self.dense.T
+        for at, n, codes in self.codes:
+            out = out + effects[..., at : at + n][..., codes]
+        return out
+
+    def sums(self, g: np.ndarray) -> np.ndarray:
+        """Of each effect, the sum of ``g`` over its cells."""
+        return np.concatenate([self.dense.T @ g, *[np.bincount(codes, g, n) for _, n, codes in self.codes]])
+
+    def curvature(self, w: np.ndarray) -> np.ndarray:
+        """Of each pair of effects, the sum of ``w`` over the cells of both."""
+        k = self.dense.shape[1]
+        h = np.zeros((self.size, self.size))
+        h[:k, :k] = self.dense.T @ (self.dense * w[:, None])
+        for i, (at, n, codes) in enumerate(self.codes):
+            h[np.arange(at, at + n), np.arange(at, at + n)] = np.bincount(codes, w, n)
+            for j in range(k):
+                h[j, at : at + n] = h[at : at + n, j] = np.bincount(codes, w * self.dense[:, j], n)
+            for at2, n2, codes2 in self.codes[:i]:
+                both = np.bincount(codes * n2 + codes2, w, n * n2).reshape(n, n2)
+                h[at : at + n, at2 : at2 + n2], h[at2 : at2 + n2, at : at + n] = both, both.T
+        return h
+
+
+def _laplace(d: _Data, q: np.ndarray, extra: float, kind: str, start: np.ndarray) -> tuple[np.ndarray, float]:
+    """Mode, and the log marginal likelihood but for the hyperparameters' prior; ``d`` has cells with counts alone."""
     x = start.copy()
 
     def value(v: np.ndarray) -> float:
-        return _terms(y, off + a @ v, extra)[0].sum() - 0.5 * v @ q @ v
+        return _terms(d.y, d.log_mean(v), extra, kind)[0].sum() - 0.5 * v @ q @ v
 
     now = value(x)
     for _ in range(60):
-        _, g, w = _terms(y, off + a @ x, extra)
-        h = a.T @ (a * w[:, None]) + q
-        step = np.linalg.solve(h, a.T @ g - q @ x)
+        _, g, w = _terms(d.y, d.log_mean(x), extra, kind)
+        step = np.linalg.solve(d.curvature(w) + q, d.sums(g) - q @ x)
         size = 1.0
-        while size > 1e-4 and not value(x + size * step) >= now - 1e-9:
+        while size > 1e-4 and not (new := value(x + size * step)) >= now - 1e-9:
             size /= 2
         x = x + size * step
-        new = value(x)
         if abs(new - now) < 1e-8 * (1 + abs(new)):
             now = new
             break
         now = new
-    _, _, w = _terms(y, off + a @ x, extra)
-    h = a.T @ (a * w[:, None]) + q
-    return x, h, now + 0.5 * np.linalg.slogdet(q)[1] - 0.5 * np.linalg.slogdet(h)[1]
-
-
-def fit_group(pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model, target: int) -> tuple[np.ndarray, dict, pd.DataFrame]:
-    """Draws (n_draws x cells) of expected counts, criteria of the fit, and the draws of its effects, a column for each (effect, level)."""
-    d = _Data(pdf, edges, model)
-    if not d.seen.any():
-        raise ValueError("no counts to learn from")
-    start = np.zeros(d.a.shape[1])
-    start[0] = math.log(max(d.y[d.seen].sum(), 0.5)) - math.log(np.exp(d.offset[d.seen]).sum())
+    h = d.curvature(_terms(d.y, d.log_mean(x), extra, kind)[2]) + q
+    return x, now + 0.5 * np.linalg.slogdet(q)[1] - 0.5 * np.linalg.slogdet(h)[1]
+
+
+def grid(model: Model) -> list[list[tuple[float, float, float, float]]]:
+    """Parts of the grid, each a list of (sd, phi, sd_year, extra); a part is fitted in one task, each point from the last one's mode."""
+    years = (0.05, 0.2, 0.5) if model.year_effect != "none" else (0.2,)
     extras = (0.0,) if model.extra == "none" else (0.1, 0.25, 0.5, 0.9)
-    grid = []
-    for sd, phi, sd_year, extra in product((0.1, 0.25, 0.5, 1.0), (0.1, 0.5, 0.9), (0.05, 0.2, 0.5) if model.year_effect != "none" else (0.2,), extras):
-        x, h, lml = _laplace(d, _prior_blocks(d.sizes, model, d.cov, sd, phi, sd_year), extra, start)
-        start = x
-        grid.append((lml + _log_prior(model, sd, phi, sd_year, extra), (sd, phi, sd_year, extra), x, h))
-    top = max(g[0] for g in grid)
-    weight = np.array([math.exp(g[0] - top) for g in grid])
-    weight /= weight.sum()
-    rng = np.random.Generator(np.random.PCG64([model.seed, target]))
-    which = rng.choice(len(grid), model.n_draws, p=weight)
-    draws = np.empty((model.n_draws, d.a.shape[1]))
-    hyper = np.array([grid[i][1] for i in which])
-    for i in np.unique(which):
-        own = which == i
-        chol = np.linalg.cholesky(grid[i][3])
-        noise = rng.standard_normal((d.a.shape[1], own.sum()))
-        draws[own] = grid[i][2] + np.linalg.solve(chol.T, noise).T
-    expected = np.exp(np.clip(draws @ d.a.T + d.offset, -30, 30))
-    criteria, _ = _criteria(d, expected, hyper, model, rng)
-    mean = (weight[:, None] * np.array([g[1] for g in grid])).sum(0)
-    return expected, criteria | {"sd_spatial": mean[0], "phi_spatial": mean[1], "sd_extra": mean[3] if model.extra != "none" else None}, pd.DataFrame(draws, columns=pd.MultiIndex.from_tuples(d.labels))
-
-
-def _criteria(d: _Data, expected: np.ndarray, hyper: np.ndarray, model: Model, rng: np.random.Generator) -> tuple[dict, np.ndarray]:
-    """DIC, WAIC, effective parameters, the share of usable CPOs and the distance of PITs from uniform."""
-    y, mu = d.y[d.seen], expected[:, d.seen]
-    ll = np.stack([_terms(y, np.log(m), h)[0] for m, h in zip(mu, hyper[:, 3], strict=True)])
-    top = ll.max(0)
-    lppd = top + np.log(np.exp(ll - top).mean(0))
-    p_waic = ll.var(0, ddof=1).sum() if len(ll) > 1 else 0.0
-    dbar = -2 * ll.sum(1).mean()
-    dhat = -2 * _terms(y, np.log(mu).mean(0), float(hyper[:, 3].mean()))[0].sum()
-    low = (-ll).max(0)
-    cpo = np.exp(-(low + np.log(np.exp(-ll - low).mean(0))))
-    rate = mu if model.extra == "none" else mu * rng.gamma(1 / hyper[:, 3:] ** 2, hyper[:, 3:] ** 2, mu.shape)
-    seen = rng.poisson(rate)
-    pit = (seen < y).mean(0) + rng.random(len(y)) * (seen == y).mean(0)
-    return {"n_obs": int(d.seen.sum()), "dic": dbar + (dbar - dhat), "waic": -2 * (lppd.sum() - p_waic), "p_eff": dbar - dhat, "cpo_valid": float((np.isfinite(cpo) & (cpo > 0)).mean()), "pit_ks": ks_uniform(pit)}, pit
+    return [[(sd, phi, sd_year, extra) for sd_year in years for extra in extras] for sd in (0.1, 0.25, 0.5, 1.0) for phi in (0.1, 0.5, 0.9)]
+
+
+POINTS = "target int, spec string, part int, point int, weight double, mode array<double>"
+BLOCKS = "target int, spec string, block int, part int, point int, first int, n int, mode array<double>, sd_spatial double, phi_spatial double, sd_extra double"
+
+
+def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
+    return pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
+
+
+def posterior(masked_panel: DataFrame, edges: list[tuple[str, str]], models: dict[str, Model]) -> DataFrame:
+    """Blocks of draws of each target and spec: which grid point, its mode, the first draw and their number."""
+    parts = [(s, i) for s, m in models.items() for i in range(len(grid(m)))]
+    rows = masked_panel.withColumn("x", F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(i).alias("part")) for s, i in parts])))
+    rows = rows.select(*masked_panel.columns, "x.spec", "x.part")
+
+    def fit_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        target, spec, part = int(key[0]), key[1], int(key[2])
+        model, whole = models[spec], _Data(_sorted(pdf), edges, models[spec])
+        if not whole.seen.any():
+            raise ValueError("no counts to learn from")
+        d, out = whole.cells(whole.seen), []
+        mode = np.zeros(d.size)
+        mode[0] = math.log(max(d.y.sum(), 0.5)) - math.log(np.exp(d.offset).sum())
+        for point, (sd, phi, sd_year, extra) in enumerate(grid(model)[part]):
+            mode, lml = _laplace(d, _prior_blocks(d.sizes, model, d.cov, sd, phi, sd_year), extra, model.extra, mode)
+            out.append((target, spec, part, point, lml + _log_prior(model, sd, phi, sd_year, extra), mode))
+        return pd.DataFrame(out, columns=["target", "spec", "part", "point", "weight", "mode"])
+
+    def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        """Which grid point each draw comes from, by weight; draws of one point are consecutive."""
+        model = models[key[1]]
+        pdf = pdf.sort_values(["part", "point"]).reset_index(drop=True)
+        weight = np.exp(pdf["weight"] - pdf["weight"].max()).to_numpy()
+        weight /= weight.sum()
+        hyper = np.array([grid(model)[p][i] for p, i in zip(pdf["part"], pdf["point"], strict=True)])
+        mean = weight @ hyper
+        dealt = np.random.Generator(np.random.PCG64([model.seed, int(key[0])])).multinomial(model.n_draws, weight)
+        out, first = [], 1
+        for i in np.flatnonzero(dealt).tolist():
+            for at in range(0, int(dealt[i]), BLOCK):
+                n = min(BLOCK, int(dealt[i]) - at)
+                out.append((int(key[0]), key[1], len(out), int(pdf["part"][i]), int(pdf["point"][i]), first, n, pdf["mode"][i], mean[0], mean[1], mean[3] if model.extra != "none" else None))
+                first += n
+        return pd.DataFrame(out, columns=[f.split()[0] for f in BLOCKS.split(", ")])
+
+    points = cut(rows.groupBy("target", "spec", "part").applyInPandas(fit_part, POINTS))
+    return cut(points.groupBy("target", "spec").applyInPandas(deal, BLOCKS))
+
+
+def _drawn(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model], edges: list[tuple[str, str]], schema: str, result: Callable[[int, str, pd.DataFrame, _Data, np.ndarray, int, float, np.random.Generator], pd.DataFrame]) -> DataFrame:
+    """``result`` of each block of draws; blocks are few for each target, so their names are broadcast."""
+    names = blocks.select(F.col("target").alias("own"), F.col("spec").alias("spec"), F.col("block").alias("block"))
+    rows = masked_panel.join(F.broadcast(names), F.col("target") == F.col("own")).drop("own")
+
+    def draw(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        target, spec, block = int(key[0]), key[1], own.iloc[0]
+        model = models[spec]
+        pdf = _sorted(pdf)
+        d = _Data(pdf, edges, model)
+        sd, phi, sd_year, extra = grid(model)[int(block["part"])][int(block["point"])]
+        mode = np.asarray(block["mode"], float)
+        seen = d.cells(d.seen)
+        h = seen.curvature(_terms(seen.y, seen.log_mean(mode), extra, model.extra)[2]) + _prior_blocks(d.sizes, model, d.cov, sd, phi, sd_year)
+        rng = np.random.Generator(np.random.PCG64([model.seed, target, int(key[2]) + 1]))
+        draws = mode + np.linalg.solve(np.linalg.cholesky(h).T, rng.standard_normal((d.size, int(block["n"])))).T
+        return result(target, spec, pdf, d, draws, int(block["first"]), extra, rng)
+
+    return rows.groupBy("target", "spec", "block").cogroup(blocks.groupBy("target", "spec", "block")).applyInPandas(draw, schema)
+
+
+CELLS = "target int, spec string, district string, month date, y double, n long, extra double, top double, up double, low double, down double, s double, ss double, logs double, below double, equal double"
+
+
+def _cell_sums(models: dict[str, Model]) -> Callable[..., pd.DataFrame]:
+    """What a block of draws adds to the criteria of each cell with a count."""
+
+    def sums(target: int, spec: str, pdf: pd.DataFrame, whole: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
+        d, kind = whole.cells(whole.seen), models[spec].extra
+        eta = d.log_mean(draws)
+        ll = np.stack([_terms(d.y, e, extra, kind)[0] for e in eta])
+        top, low = ll.max(0), (-ll).max(0)
+        rate = np.exp(np.clip(eta, -30, 30))
+        if kind == "nb":
+            rate = rate * rng.gamma(1 / extra**2, extra**2, rate.shape)
+        elif kind == "iid":
+            rate = rate * np.exp(extra * rng.standard_normal(rate.shape))
+        made = rng.poisson(rate)
+        own = pdf[whole.seen]
+        return pd.DataFrame({"target": target, "spec": spec, "district": own["district"].to_numpy(object), "month": own["month"].to_numpy(object), "y": d.y, "n": len(draws), "extra": extra * len(draws), "top": top, "up": np.exp(ll - top).sum(0), "low": low, "down": np.exp(-ll - low).sum(0), "s": ll.sum(0), "ss": (ll**2).sum(0), "logs": eta.sum(0), "below": (made < d.y).sum(0).astype(float), "equal": (made == d.y).sum(0).astype(float)})
+
+    return sums
+
+
+def criteria(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model], edges: list[tuple[str, str]]) -> DataFrame:
+    """DIC, WAIC, effective parameters, the share of usable CPOs and the distance of PITs from uniform, of each target and spec."""
+    parts = cut(_drawn(masked_panel, blocks, models, edges, CELLS, _cell_sums(models)))
+    high = parts.withColumns({"mt": F.max("top").over(Window.partitionBy("target", "spec", "district", "month")), "ml": F.max("low").over(Window.partitionBy("target", "spec", "district", "month"))})
+    up, down = F.sum(F.col("up") * F.exp(F.col("top") - F.col("mt"))), F.sum(F.col("down") * F.exp(F.col("low") - F.col("ml")))
+    sums = [F.sum(c).alias(c) for c in ("n", "extra", "s", "ss", "logs", "below", "equal")]
+    cells = high.groupBy("target", "spec", "district", "month").agg(F.max("y").alias("y"), *sums, (F.max("mt") + F.log(up)).alias("lse"), (F.max("ml") + F.log(down)).alias("nlse"))
+    n = F.col("n")
+    # a uniform number of the cell's own
+    chance = F.pmod(F.xxhash64("target", "district", "month"), F.lit(1 << 40)) / float(1 << 40)
+    cells = cut(cells.select("target", "spec", "y", (F.col("extra") / n).alias("extra"), (F.col("s") / n).alias("mean"), F.when(n > 1, (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)).otherwise(0.0).alias("var"), (F.col("logs") / n).alias("eta"), (F.col("lse") - F.log(n)).alias("lppd"), F.exp(F.log(n) - F.col("nlse")).alias("cpo"), ((F.col("below") + chance * F.col("equal")) / n).alias("pit")))
+
+    @F.pandas_udf("double")
+    def at_mean(y: pd.Series, eta: pd.Series, extra: pd.Series, spec: pd.Series) -> pd.Series:
+        out = np.zeros(len(y))
+        for name in spec.unique():
+            for e in extra[spec == name].unique():
+                own = ((spec == name) & (extra == e)).to_numpy()
+                out[own] = _terms(y.to_numpy(float)[own], eta.to_numpy(float)[own], float(e), models[name].extra)[0]
+        return pd.Series(out)
+
+    rows = cells.withColumn("hat", at_mean("y", "eta", F.round("extra", 9), "spec"))
+    dbar, dhat = -2 * F.sum("mean"), -2 * F.sum("hat")
+    usable = F.avg((F.col("cpo") > 0).cast("double") * F.when(F.isnan("cpo"), 0.0).otherwise(1.0))
+    found = rows.groupBy("target", "spec").agg(F.count(F.lit(1)).alias("n_obs"), (2 * dbar - dhat).alias("dic"), (-2 * (F.sum("lppd") - F.sum("var"))).alias("waic"), (dbar - dhat).alias("p_eff"), usable.alias("cpo_valid"))
+    means = blocks.select("target", "spec", "sd_spatial", "phi_spatial", "sd_extra").distinct()
+    done = found.join(means, ["target", "spec"]).join(pit_distance(cells, keys=("target", "spec")).select("target", "spec", "pit_ks"), ["target", "spec"], "left")
+    return done.select(*[f.split()[0] for f in FIT.split(", ")])
 
 
 def ks_uniform(x: np.ndarray, least: int = 100) -> float | None:
@@ -291,20 +432,21 @@ def _small_edges(edges: DataFrame, most: int = 1_000_000) -> list[tuple[str, str
 
 
 def fit(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -> DataFrame:
-    """(target, district, month, draw, expected) of every masked cell, one group for each target."""
-    links = _small_edges(edges)
+    """(target, district, month, draw, expected) of every masked cell."""
+    links, models = _small_edges(edges), {model.extra: model}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
-        expected, _, _ = fit_group(pdf, links, model, int(key[0]))
+    def cells(target: int, spec: str, pdf: pd.DataFrame, d: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
         own = pdf["inside"].to_numpy(bool)
-        cells, n = pdf[own], model.n_draws
-        return pd.DataFrame({"target": int(key[0]), "district": np.tile(cells["district"].to_numpy(object), n), "month": np.tile(cells["month"].to_numpy(object), n), "draw": np.repeat(np.arange(1, n + 1), len(cells)), "expected": expected[:, own].ravel()})
+        eta = d.cells(own).log_mean(draws)
+        if spec == "iid":
+            eta = eta + extra * rng.standard_normal(eta.shape)
+        inside, n = pdf[own], len(draws)
+        return pd.DataFrame({"target": target, "district": np.tile(inside["district"].to_numpy(object), n), "month": np.tile(inside["month"].to_numpy(object), n), "draw": np.repeat(np.arange(first, first + n), len(inside)), "expected": np.exp(np.clip(eta, -30, 30)).ravel()})
 
-    return masked_panel.groupBy("target").applyInPandas(run, DRAWS)
+    return _drawn(masked_panel, posterior(masked_panel, links, models), models, links, DRAWS, cells)
 
 
-EFFECTS = "target int, effect string, level string, mean double, q05 double, median double, q95 double"
+LATENT = "target int, effect string, level string, draw int, value double"
 
 
 def effects(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -> DataFrame:
@@ -312,30 +454,22 @@ def effects(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -
 
     exp of a quantile is a rate ratio; the rows of effect "space" are the districts' spatial effects.
     """
-    links = _small_edges(edges)
+    links, models = _small_edges(edges), {model.extra: model}
 
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
-        latent = fit_group(pdf, links, model, int(key[0]))[2]
-        q = latent.quantile([0.05, 0.5, 0.95])
-        names = latent.columns.to_frame(index=False)
-        return pd.DataFrame({"target": int(key[0]), "effect": names[0].astype(object), "level": names[1].astype(object), "mean": latent.mean().to_numpy(), "q05": q.loc[0.05].to_numpy(), "median": q.loc[0.5].to_numpy(), "q95": q.loc[0.95].to_numpy()})
+    def latent(target: int, spec: str, pdf: pd.DataFrame, d: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
+        n = len(draws)
+        names = [np.tile(np.array([label[i] for label in d.labels], object), n) for i in (0, 1)]
+        return pd.DataFrame({"target": target, "effect": names[0], "level": names[1], "draw": np.repeat(np.arange(first, first + n), d.size), "value": draws.ravel()})
 
-    return masked_panel.groupBy("target").applyInPandas(run, EFFECTS)
+    rows = _drawn(masked_panel, posterior(masked_panel, links, models), models, links, LATENT, latent)
+    q = {name: F.percentile("value", F.lit(p)).alias(name) for name, p in (("q05", 0.05), ("median", 0.5), ("q95", 0.95))}
+    return rows.groupBy("target", "effect", "level").agg(F.avg("value").alias("mean"), *q.values())
 
 
 def compare_overdispersion(masked_panel: DataFrame, edges: DataFrame, specs: tuple[str, ...] = ("none", "iid", "nb"), model: Model = Model(n_draws=200)) -> DataFrame:
-    """Criteria of each extra term; all fits run side by side, one group for each target and term."""
-    links = _small_edges(edges)
-    table = F.broadcast(masked_panel.sparkSession.createDataFrame([(s,) for s in specs], "spec string"))
-    rows = masked_panel.join(table, F.lit(True))
-
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
-        _, c, _ = fit_group(pdf.drop(columns="spec"), links, replace(model, extra=key[1]), int(key[0]))
-        return pd.DataFrame([{"target": int(key[0]), "spec": key[1], **c}])[[f.split()[0] for f in FIT.split(", ")]]
-
-    return rows.groupBy("target", "spec").applyInPandas(run, FIT)
+    """Criteria of each extra term; all fits run side by side."""
+    links, models = _small_edges(edges), {s: replace(model, extra=s) for s in specs}
+    return criteria(masked_panel, posterior(masked_panel, links, models), models, links)
 
 
 def recommend(criteria: DataFrame) -> DataFrame:
@@ -356,18 +490,19 @@ def covariate_standardise(panel: DataFrame, names: list[str], log_names: tuple[s
     return out.withColumns(scaled).drop(*stats.columns)
 
 
-def pit_distance(pits: DataFrame, value: str = "pit", least: int = 100) -> DataFrame:
-    """One row (n, pit_ks): the distance of a column from uniform without sorting it in one task.
+def pit_distance(pits: DataFrame, value: str = "pit", least: int = 100, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(keys, n, pit_ks): the distance of a column from uniform without sorting it in one task.
 
-    Values are ranked inside fixed ranges of the unit interval; a range's start is the number of values
-    before it.
+    Equal values are counted first; values are ranked inside fixed ranges of the unit interval; a range's start is the
+    number of values before it.
     """
-    from pyspark.sql import Window
-
-    rows = pits.select(F.col(value).alias("x")).filter("x >= 0 and x <= 1").withColumn("cell", F.floor(F.col("x") * 1024))
-    sizes = rows.groupBy("cell").agg(F.count(F.lit(1)).alias("k"))
-    starts = sizes.select("cell", F.coalesce(F.sum("k").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"), F.sum("k").over(Window.partitionBy()).alias("n"))
-    ranked = rows.withColumn("r", F.row_number().over(Window.partitionBy("cell").orderBy("x"))).join(F.broadcast(starts), "cell")
-    i = F.col("base") + F.col("r")
-    gap = F.greatest(i / F.col("n") - F.col("x"), F.col("x") - (i - 1) / F.col("n"))
-    return ranked.agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max(gap).alias("d")).select("n", F.when(F.col("n") >= least, F.col("d")).alias("pit_ks"))
+    rows = pits.select(*keys, F.col(value).alias("x")).filter("x >= 0 and x <= 1").groupBy(*keys, "x").agg(F.count(F.lit(1)).alias("c")).withColumn("cell", F.floor(F.col("x") * 1024))
+    sizes = rows.groupBy(*keys, "cell").agg(F.sum("c").alias("many"))
+    before = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select(*keys, "cell", F.coalesce(F.sum("many").over(before), F.lit(0)).alias("base"), F.sum("many").over(Window.partitionBy(*keys)).alias("n"))
+    upto = F.sum("c").over(Window.partitionBy(*keys, "cell").orderBy("x"))
+    ranked = rows.withColumn("upto", upto).join(starts, [*keys, "cell"])
+    i = F.col("base") + F.col("upto")
+    gap = F.greatest(i / F.col("n") - F.col("x"), F.col("x") - (i - F.col("c")) / F.col("n"))
+    found = ranked.groupBy(*keys).agg(F.coalesce(F.max("n"), F.lit(0)).alias("n"), F.max(gap).alias("d"))
+    return found.select(*keys, "n", F.when(F.col("n") >= least, F.col("d")).alias("pit_ks"))

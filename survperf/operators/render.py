@@ -34,7 +34,8 @@ def dropped_zeros(summary: DataFrame) -> DataFrame:
 
 def funnel(comparison: DataFrame, seed: int = 1) -> DataFrame:
     """(district, year, expected_total, expected_jittered, spi_median, npafp_adequate): jitter hashed from the key."""
-    unit = (F.pmod(F.xxhash64(F.lit(seed), "district", "year"), F.lit(1_000_003)) / 1_000_003) - 0.5
+    key = F.concat_ws("|", F.lit(seed).cast("string"), "district", F.col("year").cast("string"))
+    unit = F.conv(F.substring(F.md5(key.cast("binary")), 1, 6), 16, 10).cast("long") / float(1 << 24) - 0.5
     return comparison.filter("expected_total > 0").select("district", "year", "expected_total", (F.col("expected_total") * (1 + 0.1 * unit)).alias("expected_jittered"), "spi_median", "npafp_adequate")
 
 

@@ -90,7 +90,7 @@ def r(*names: str) -> str:
 
 
 # preparation
-POP = "SELECT district, year, pop FROM annual WHERE (CAST(district AS INTEGER) + year) % 6 <> 0"
+POP = "SELECT district, year, pop FROM annual"
 SQL["case_date"] = build("SELECT case_id, date FROM cases", "cases")
 SQL["case_records"] = build("SELECT unit, polio, month FROM records", "records")
 SQL["panel_months"] = build("SELECT month FROM allmonths", "allmonths")
@@ -326,6 +326,19 @@ SQL["fg_trajectory"] = guide(
     f"SELECT district, year, {r('slope')}, CASE WHEN slope IS NULL THEN NULL WHEN slope <= -0.01 THEN 'falling' WHEN slope >= 0.01 THEN 'rising' ELSE 'flat' END AS trajectory FROM t",
     extra={"t": "SELECT district, year, CASE WHEN count(*) OVER w >= 2 THEN regr_slope(spi_median, year) OVER w END AS slope FROM cmp WINDOW w AS (PARTITION BY district ORDER BY year RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)"},
 )
+#: p of a slope in closed form: a trend of five years leaves one to three degrees of freedom.
+SQL["trajectory_pvalue"] = guide(
+    "SELECT district, year, round(p, 6) AS slope_p, CASE WHEN slope IS NULL THEN NULL WHEN slope <= -0.01 AND coalesce(p < 0.1, FALSE) THEN 'falling' WHEN slope >= 0.01 AND coalesce(p < 0.1, FALSE) THEN 'rising' ELSE 'flat' END AS trajectory FROM p",
+    extra={
+        "s": "SELECT district, year, count(spi_median) OVER w AS n, regr_sxx(spi_median, year) OVER w AS sxx, regr_syy(spi_median, year) OVER w AS syy, regr_sxy(spi_median, year) OVER w AS sxy FROM cmp WINDOW w AS (PARTITION BY district ORDER BY year RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)",
+        "u": "SELECT district, year, n, syy, CASE WHEN n >= 2 AND sxx > 0 THEN sxy / sxx END AS slope, greatest(syy - sxy * sxy / nullif(sxx, 0), 0) AS rest, sxx FROM s",
+        "v": "SELECT *, CASE WHEN n >= 3 AND rest > 1e-14 * syy THEN abs(slope) / sqrt(rest / (n - 2) / sxx) END AS t FROM u",
+        "p": "SELECT district, year, slope, CASE WHEN n < 3 OR slope IS NULL THEN NULL WHEN t IS NULL THEN 0.0 WHEN n = 3 THEN 1 - 2 / pi() * atan(t) WHEN n = 4 THEN 1 - t / sqrt(2 + t * t) ELSE 1 - 2 / pi() * (atan(t / sqrt(3)) + t / sqrt(3) / (1 + t * t / 3)) END AS p FROM v",
+    },
+)
+SQL["plot_funnel"] = build(
+    "SELECT district, year, round(expected_total, 6) AS expected_total, round(expected_total * (1 + 0.1 * (CAST('0x' || substr(md5('1|' || district || '|' || year), 1, 6) AS BIGINT) / 16777216.0 - 0.5)), 6) AS expected_jittered, round(spi_median, 6) AS spi_median, npafp_adequate FROM cmp WHERE expected_total > 0", "draws", extra=CMP
+)
 SQL["fg_neighbour"] = guide(
     f"SELECT district, year, {r('neighbour_spi')}, district NOT IN (SELECT focal FROM rook) AS island, coalesce(neighbour_spi >= 1 AND spi_median < 1, FALSE) AS neighbour_discordant, coalesce(neighbour_spi < 1 AND spi_median < 1, FALSE) AS neighbourhood_shortfall FROM n",
     "rook", extra={"n": "SELECT c.*, neighbour_spi FROM cmp c LEFT JOIN (SELECT focal, year AS y, median(spi_median) AS neighbour_spi FROM rook JOIN cmp ON neighbour = district GROUP BY 1, 2) m ON m.focal = c.district AND m.y = c.year"},

@@ -44,9 +44,8 @@ def _records(spark: SparkSession, folder: str, unit: str = "district") -> DataFr
 
 
 def _population(spark: SparkSession, folder: str) -> DataFrame:
-    """Yearly populations with gaps."""
-    rows = td.annual(spark, folder).filter((F.col("district").cast("int") + F.col("year")) % 6 != 0)
-    return rows.select(F.col("district").alias("adm2_guid"), "year", F.col("pop").alias("u15_pop"))
+    """Yearly populations."""
+    return td.annual(spark, folder).select(F.col("district").alias("adm2_guid"), "year", F.col("pop").alias("u15_pop"))
 
 
 @query
@@ -520,8 +519,9 @@ def pit_ks(spark, folder):
 # model
 
 
-def _masked(spark: SparkSession, folder: str, last: int = 2000) -> DataFrame:
-    return expected.masked(td.panel(spark, folder), expected.windows(1999, last))
+def _masked(spark: SparkSession, folder: str) -> DataFrame:
+    """All years of the data that have the history a fit needs."""
+    return expected.masked(td.panel(spark, folder), expected.windows(FIRST, AS_OF.year))
 
 
 @query
@@ -530,28 +530,25 @@ def assessment_windows(spark, folder):
     return rows.groupBy("target").agg(F.min("month").alias("training_start"), F.min(F.when(F.col("inside"), F.col("month"))).alias("opens"), F.max("month").alias("closes"), F.count("count").alias("known"), F.sum(F.col("inside").cast("long")).alias("hidden"))
 
 
-_QUICK = expected.Model(n_draws=60)
-
-
 @query
 def expected_fit(spark, folder):
-    drawn = expected.fit(_masked(spark, folder), _edges(spark, folder), _QUICK)
+    drawn = expected.fit(_masked(spark, folder), _edges(spark, folder))
     return drawn.groupBy("target", "district", "month").agg(F.percentile("expected", F.lit(0.5)).alias("expected_median"), F.avg("expected").alias("expected_mean"))
 
 
 @query
 def expected_effects(spark, folder):
-    return expected.effects(_masked(spark, folder, 1999), _edges(spark, folder), _QUICK)
+    return expected.effects(_masked(spark, folder), _edges(spark, folder))
 
 
 @query
 def spi_index_fitted(spark, folder):
-    drawn = expected.fit(_masked(spark, folder), _edges(spark, folder), _QUICK)
-    panel = td.panel(spark, folder).filter(F.year("month").between(1999, 2000))
+    drawn = expected.fit(_masked(spark, folder), _edges(spark, folder))
+    panel = td.panel(spark, folder).filter(F.year("month") >= FIRST)
     return national.summarise(national.cells(drawn, F.year("month")), national.observed_of(panel, F.year("month")))[0]
 
 
 @query
 def compare_overdispersion(spark, folder):
-    rows = expected.compare_overdispersion(_masked(spark, folder, 1999), _edges(spark, folder), model=_QUICK)
+    rows = expected.compare_overdispersion(_masked(spark, folder), _edges(spark, folder))
     return expected.recommend(rows)

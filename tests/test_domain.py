@@ -1,9 +1,11 @@
 """Hand-checkable cases and algebraic identities of the surveillance operators."""
 
 import math
+import struct
 from datetime import date
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -291,11 +293,64 @@ def test_fit_recovers_planted_shortfalls(spark):
     inside = panel.filter(F.year("month") == 2020)
     summary, _ = national.summarise(national.cells(drawn, F.year("month")), national.observed_of(inside, F.year("month")))
     got = {r.unit: r.spi_median for r in summary.collect()}
-    assert sorted(got, key=got.get)[:2] == low and all(got[d] < 0.6 for d in low) and all(v > 0.75 for d, v in got.items() if d not in low)
+    assert sorted(got, key=got.get)[:2] == low and all(got[d] < 0.6 for d in low)
+    # each index against the counts over what the planted rates expect
+    seen = {r.district: r.n for r in inside.groupBy("district").agg(F.sum("count").alias("n")).collect()}
+    pops = {r.district: r["pop"] for r in inside.select("district", "pop").distinct().collect()}
+    true = {d: seen[d] / pops[d] for d in seen}
+    level = np.median([true[d] / got[d] for d in true])
+    assert all(abs(got[d] / (true[d] / level) - 1) < 0.2 for d in true if d not in low)
     again = expected.fit(masked.repartition(5), edges, model).agg(F.sum("expected")).first()[0]
     assert again == pytest.approx(drawn.agg(F.sum("expected")).first()[0], rel=1e-9)
 
 
+def test_terms_of_the_likelihoods():
+    """The log-normal term against a sum over a fine grid; gradients against differences."""
+    y, eta = np.array([0, 1, 5, 50, 1000.0]), np.array([0.1, -1, 2, 3, 6.5])
+    z = np.linspace(-9, 9, 100_001)
+    for sd in (0.1, 0.5, 0.9):
+        ll, g, w = expected._terms(y, eta, sd, "iid")
+        for i in range(len(y)):
+            logs = y[i] * (eta[i] + sd * z) - np.exp(eta[i] + sd * z) - math.lgamma(y[i] + 1) - z * z / 2 - 0.5 * math.log(2 * math.pi)
+            assert ll[i] == pytest.approx(logs.max() + math.log(np.exp(logs - logs.max()).sum() * (z[1] - z[0])), abs=1e-4)
+        for kind in ("iid", "nb", "none"):
+            up, down = (expected._terms(y, eta + e, sd, kind)[0] for e in (1e-4, -1e-4))
+            assert expected._terms(y, eta, sd, kind)[1] == pytest.approx((up - down) / 2e-4, abs=1e-3, rel=1e-4)
+        assert (w > 0).all() and not np.allclose(ll, expected._terms(y, eta, sd, "nb")[0], atol=1e-3)
+
+
+def test_design_by_codes_is_the_dense_one(spark):
+    rng = np.random.default_rng(8)
+    months = [D(y, m, 1) for y in (2019, 2020) for m in range(1, 13)]
+    pdf = pd.DataFrame([(d, m, 3.0 if m.year < 2020 else np.nan, 1e5, rng.normal()) for d in "abc" for m in months], columns=["district", "month", "count", "pop", "x_a"])
+    d = expected._Data(pdf, [("a", "b")], expected.Model())
+    years, places = pd.to_datetime(pdf["month"]).dt.year - 2019, pdf["district"].map("abc".index)
+    dense = np.hstack([d.dense, np.eye(2)[years], np.eye(3)[places]])
+    x, w = rng.normal(size=(2, dense.shape[1])), rng.random(len(pdf))
+    assert np.allclose(d.log_mean(x), x @ dense.T + d.offset) and np.allclose(d.sums(w), dense.T @ w)
+    assert np.allclose(d.curvature(w), dense.T @ (dense * w[:, None])) and len(d.labels) == d.size == dense.shape[1]
+    assert np.allclose(d.cells(d.seen).log_mean(x[0]), (x[0] @ dense.T + d.offset)[d.seen])
+
+
+def test_criteria_tell_likelihoods_apart(spark):
+    """Counts with a strong extra term: no term fits worst by DIC and WAIC, and the two kinds of term differ."""
+    rng = np.random.default_rng(9)
+    rows = [(f"d{i}", D(y, m, 1), int(rng.poisson(20 * math.exp(0.8 * rng.standard_normal()))), 1e6) for i in range(6) for y in range(2016, 2021) for m in range(1, 13)]
+    panel = spark.createDataFrame(rows, "district string, month date, count long, pop double")
+    edges = spark.createDataFrame([(f"d{i}", f"d{j}") for i in range(6) for j in (i - 1, i + 1) if 0 <= j < 6], "focal string, neighbour string")
+    got = {r.spec: r for r in expected.compare_overdispersion(expected.masked(panel, expected.windows(2020, 2020)), edges).collect()}
+    assert got["none"].dic > got["iid"].dic + 100 and got["none"].waic > got["nb"].waic + 100
+    assert abs(got["iid"].waic - got["nb"].waic) > 1 and got["iid"].waic < got["nb"].waic
+    assert got["none"].pit_ks > 2 * got["iid"].pit_ks and all(r.n_obs == 288 and r.cpo_valid == 1 for r in got.values()) and got["iid"].sd_extra > 0.5
+
+
+def test_distance_from_uniform_by_group(spark):
+    rng = np.random.default_rng(1)
+    values = [(k, float(v)) for k in ("a", "b") for v in np.round(rng.random(500) ** (1 if k == "a" else 2), 2)]
+    got = {r.k: r.pit_ks for r in expected.pit_distance(spark.createDataFrame(values, "k string, pit double"), keys=("k",)).collect()}
+    assert got == {k: pytest.approx(expected.ks_uniform(np.array([v for g, v in values if g == k]))) for k in "ab"}
+
+
 def test_overdispersion_rule(spark):
     rows = [(1, "none", 1000, 0.0, 0.0, 50.0, 0.1, 0.5, None, 0.9, 0.10), (1, "iid", 1000, 0.0, 0.0, 50.0, 0.1, 0.5, 0.1, 0.9, 0.05), (1, "nb", 1000, 0.0, 0.0, 500.0, 0.1, 0.99, 0.1, 0.3, 0.01), (2, "nb", 1000, 0.0, 0.0, 500.0, 0.1, 0.5, 0.1, 0.9, 0.01)]
     got = {(r.target, r.spec): (r.excluded, r.recommended) for r in expected.recommend(spark.createDataFrame(rows, expected.FIT)).collect()}
@@ -341,3 +396,22 @@ def test_streaming_panel(spark, tmp_path):
     finally:
         q.stop()
     assert got == {("A", D(2024, 1, 1)): 3, ("A", D(2024, 2, 1)): 1, ("B", D(2024, 1, 1)): 1}
+
+
+def test_invalid_geometries(spark):
+    def wkb(*rings):
+        return bytearray(b"\x01" + struct.pack("<II", 3, len(rings)) + b"".join(struct.pack(f"<I{2 * len(r)}d", len(r), *[v for p in r for v in p]) for r in rings))
+
+    square = [(0, 0), (2, 0), (2, 2), (0, 2), (0, 0)]
+    hole = [(0.5, 0.5), (1, 0.5), (1, 1), (0.5, 0.5)]
+    many = [(math.cos(t), math.sin(t)) for t in np.linspace(0, 2 * math.pi, 1500, endpoint=False)]
+    rows = {
+        "ok": wkb(square, hole), "bow": wkb([(0, 0), (2, 2), (2, 0), (0, 2), (0, 0)]), "open": wkb(square[:-1]), "short": wkb([(0, 0), (1, 1), (0, 0)]), "touch": wkb([(0, 0), (4, 0), (4, 4), (2, 0), (0, 4), (0, 0)]),
+        "nan": wkb([(0, 0), (math.nan, 0), (1, 1), (0, 0)]), "none": None, "round": wkb([*many, many[0]]), "twisted": wkb([*many[:700], many[720], many[710], *many[730:], many[0]]), "twice": wkb([square[0], *square]),
+    }
+    df = spark.createDataFrame(list(rows.items()), "district string, geometry binary")
+    got = dict(map(tuple, graph.invalid_geometries(df, "district").collect()))
+    assert got == {"bow": "crossing", "open": "open", "short": "short", "touch": "crossing", "nan": "not finite", "none": "missing", "twisted": "crossing"}
+    cases = spark.createDataFrame([("ok", D(2020, 1, 1), 1)], "district string, month date, count int")
+    issue = {r.code: r for r in checks.check_model_inputs(cases, regions=df).collect()}["geometry_invalid"]
+    assert issue.n == 7 and issue.ids == sorted(got)
