@@ -72,13 +72,14 @@ def table_html(rows: list[dict], columns: list[str], shade: str | None = None, c
 
 
 def guide_table(focal: DataFrame, layout: str = "scan", max_rows: int = MAX_ROWS, simple: bool = False, file: str | None = None) -> str:
-    """The ranked table of a year, or the worked examples side by side; at most ``max_rows`` rows are fetched."""
+    """The ranked table of a year, or the worked examples side by side; at most ``max_rows`` rows are fetched, and the caption says how many are left out."""
     if layout not in ("scan", "worked"):
         raise ValueError("layout is 'scan' or 'worked'")
     table = scan_table(focal, simple)
     if layout == "scan":
         rows = [r.asDict() for r in table.orderBy("verdict_order", F.col("spi").asc_nulls_last(), "district").limit(max_rows).collect()]
-        out = table_html(rows, [c for c in table.columns if c != "verdict_order"], "verdict", "Districts by review label")
+        left = focal.count() - len(rows) if len(rows) == max_rows else 0
+        out = table_html(rows, [c for c in table.columns if c != "verdict_order"], "verdict", "Districts by review label" + (f"; {left} more are left out" if left else ""))
     else:
         picked = worked_examples(focal).join(table, "district").orderBy("example").collect()
         facts = [c for c in table.columns if c not in ("district", "verdict_order")]
@@ -188,9 +189,35 @@ HELP = {
 }
 
 
-def help_text(topic: str = "all") -> str:
-    """The guide's words on a topic: signals, verdict, misreadings or all."""
+#: What each worked example shows.
+EXAMPLES = ("a passed rate target without indication", "a low index whose interval reaches 1", "a priority that passes the rate target", "a low index that persists without extent")
+
+
+def example_text(focal: DataFrame) -> str:
+    """The worked examples of a guide's year in words; up to four districts."""
+    out = []
+    for r in worked_examples(focal).join(focal, "district").orderBy("example").collect():
+        got = r.asDict().get  # a guide may lack the parts that it was given no data for
+        facts = [f"its index was {_text(got('spi_median'))}, {'below' if got('spi_below') else 'not below'} the cut"]
+        if got("spi_previous") is None:
+            facts.append("there is no index of the year before")
+        else:
+            facts.append(f"the year before it was {_text(got('spi_previous'))}, {'also below' if got('persistence_concern') else 'at or above'} the cut")
+        area, national = got("extent_pct"), got("national_pct")
+        if area is not None and national is not None:
+            digits = 1 if round(area) == round(national) else 0  # never the same number on either side
+            facts.append(f"{area:.{digits}f}% of the area's other districts were low against {national:.{digits}f}% nationally")
+        out.append(f"{r.district} - {EXAMPLES[r.example - 1]}\n  {'; '.join(facts)}.\n  Review label: {r.verdict}")
+    return "\n".join(out)
+
+
+def help_text(topic: str = "all", focal: DataFrame | None = None) -> str:
+    """The guide's words on a topic: signals, verdict, misreadings, all, or the worked examples of a guide's rows ``focal`` ("example")."""
+    if topic == "example":
+        if focal is None:
+            raise ValueError("topic 'example' needs the rows of a guide")
+        return example_text(focal)
     if topic != "all" and topic not in HELP:
-        raise ValueError(f"topic is all or one of {', '.join(HELP)}")
+        raise ValueError(f"topic is all, example or one of {', '.join(HELP)}")
     parts = HELP if topic == "all" else {topic: HELP[topic]}
     return "\n".join(f"{name.capitalize()}\n" + "\n".join(f"  {k}: {v}" for k, v in lines.items()) for name, lines in parts.items())

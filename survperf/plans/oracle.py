@@ -326,6 +326,8 @@ SQL["fg_trajectory"] = guide(
     f"SELECT district, year, {r('slope')}, CASE WHEN slope IS NULL THEN NULL WHEN slope <= -0.01 THEN 'falling' WHEN slope >= 0.01 THEN 'rising' ELSE 'flat' END AS trajectory FROM t",
     extra={"t": "SELECT district, year, CASE WHEN count(*) OVER w >= 2 THEN regr_slope(spi_median, year) OVER w END AS slope FROM cmp WINDOW w AS (PARTITION BY district ORDER BY year RANGE BETWEEN 4 PRECEDING AND CURRENT ROW)"},
 )
+SQL["labelled_years"] = build("SELECT adm1_name, adm2_name, district, year, round(observed, 6) AS observed, round(pop, 6) AS pop FROM annual JOIN (SELECT CAST(n_nationkey AS VARCHAR) AS d, CAST(n_regionkey AS VARCHAR) AS adm1_name, n_name AS adm2_name FROM nation) ON d = district", "annual")
+SQL["closed_panel"] = build("SELECT district, month, count(*) AS count FROM ord GROUP BY 1, 2", "ord")
 #: p of a slope in closed form: a trend of five years leaves one to three degrees of freedom.
 SQL["trajectory_pvalue"] = guide(
     "SELECT district, year, round(p, 6) AS slope_p, CASE WHEN slope IS NULL THEN NULL WHEN slope <= -0.01 AND coalesce(p < 0.1, FALSE) THEN 'falling' WHEN slope >= 0.01 AND coalesce(p < 0.1, FALSE) THEN 'rising' ELSE 'flat' END AS trajectory FROM p",

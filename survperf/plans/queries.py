@@ -12,6 +12,7 @@ from survperf.functions.expr import window_year
 from survperf.functions.session import cut
 from survperf.operators import checks, compare, expected, graph, guide, national, prepare, render, rolling, simple
 from survperf.sources import testdata as td
+from survperf.streaming import panel as stream
 
 AS_OF, START = date(2001, 9, 15), 1995
 WINDOW = prepare.window(date(2000, 1, 20), 12, 1)
@@ -487,6 +488,22 @@ def province_outline(spark, folder):
     return graph.province_outline(td.vertices(spark, folder), areas)
 
 
+# labels and streams
+
+
+@query
+def labelled_years(spark, folder):
+    names = td.areas(spark, folder).select("district", F.col("area").alias("adm1_name"), F.col("name").alias("adm2_name"))
+    return checks.attach_labels(td.annual(spark, folder), names)
+
+
+@query
+def closed_panel(spark, folder):
+    """The daily counts of a stream, here of all days at once, and the months made of them."""
+    daily = stream.monthly_counts(td.orders(spark, folder).select("district", F.col("day").alias("case_date")))
+    return stream.closed_panel(daily)
+
+
 # plot data
 
 

@@ -374,7 +374,10 @@ def test_reports(spark, tmp_path):
     assert "Name &lt;D1, 2024" in page and "Monitor" in page and (tmp_path / "p.html").exists()
     table = render.guide_table(focal)
     assert table.index("D0") < table.index("D1") < table.index("D2") and "Worked examples" in render.guide_table(focal, "worked")
-    for bad in (lambda: render.pager(focal, "zz", 2024, "name"), lambda: render.pager(focal, "D1", 2000), lambda: render.save("x", "a.png"), lambda: render.help_text("x")):
+    assert "more are left out" not in table and "; 2 more are left out" in render.guide_table(focal, max_rows=focal.count() - 2)
+    told = render.help_text("example", focal)
+    assert "Review label: " in told and " - " in told.splitlines()[0]
+    for bad in (lambda: render.help_text("example"), lambda: render.pager(focal, "zz", 2024, "name"), lambda: render.pager(focal, "D1", 2000), lambda: render.save("x", "a.png"), lambda: render.help_text("x")):
         with pytest.raises(ValueError):
             bad()
     assert "Persistence" in render.help_text() and render.file_name("A / b", 2024) == "./a-b-2024.html"
