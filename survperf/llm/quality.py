@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survperf.llm.common import small_batches
+from survperf.llm.common import small_batches, take_worker
 
 #: Labelled documents of each class, and the lines of each class, that are learned from.
 SAMPLE, MOST_LINES = 1500, 100_000
@@ -197,6 +197,7 @@ def with_quality(df: DataFrame, model: Model | None, text_col: str = "text", out
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_worker("quality")
         for texts in batches:
             yield pd.Series(scores(texts.tolist(), model) if len(texts) else np.zeros(0))
 

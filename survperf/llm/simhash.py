@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import cut, small_batches
+from survperf.llm.common import cut, small_batches, take_worker
 
 WORDS = 3
 DISTANCE = 3
@@ -67,6 +67,7 @@ def with_fingerprint(df: DataFrame, text_col: str, words: int = WORDS) -> Column
 
     @F.pandas_udf(T.LongType())
     def fp(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        take_worker("simhash")
         for texts in batches:
             yield pd.Series(np.array([fingerprint(t, words) for t in texts], np.uint64).view(np.int64))
 
@@ -180,12 +181,11 @@ def one_of_each(df: DataFrame, groups: DataFrame, fp: Column, id_col: str) -> Da
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
     kept = cut(found.groupBy("root").agg(first.alias("k")).select("k.id", "k.fp"))
     repeats = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"))
-    plain = kept.join(repeats, kept.id.eqNullSafe(repeats.id), "left_anti").select(F.col("id").alias("_id"))
-    once = df.join(plain, F.col(id_col) == F.col("_id"), "left_semi")
+    # the input's columns stay inside a struct, so that none has a name of ours
+    rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"))
+    once = rows.join(kept.join(repeats, kept.id.eqNullSafe(repeats.id), "left_anti").select("id"), F.col("own") == F.col("id"), "left_semi").select("row.*")
     if repeats.isEmpty():
         return once
-    rest = df.join(repeats.select(F.col("id").alias("_id")), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
-    rest = rest.withColumn("_fp", fp)
-    want = kept.select(F.col("id").alias("_id"), F.col("fp").alias("_want"))
-    rest = rest.join(want, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_fp") == F.col("_want")), "left_semi")
-    return once.unionByName(rest.dropDuplicates([id_col, "_fp"]).drop("_fp"))
+    rest = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), fp.alias("own_fp")).join(repeats, F.col("own").eqNullSafe(F.col("id")), "left_semi")
+    rest = rest.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("own_fp") == F.col("fp")), "left_semi")
+    return once.unionByName(rest.dropDuplicates(["own", "own_fp"]).select("row.*"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 corpus_pipeline = pytest.importorskip("corpus_pipeline")
 
 from survperf.llm import queries as Q  # noqa: E402
-from tests.llm.test_operators import DOC, ODD, brute_components, brute_fp, brute_hits, brute_secrets, fits  # noqa: E402
+from tests.llm.test_operators import DOC, ODD, brute_hits, brute_secrets, fits  # noqa: E402
+from tests.llm.test_similar import brute_kept  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -41,9 +42,11 @@ def test_quality_stage_keeps_what_the_query_predicts_good(spark, stages):
 
 
 def test_near_copies_stage(stages):
+    """Five-word shingles and a similarity of 0.8 or more, against brute force over all pairs."""
     before = texts(stages[1])
-    component = brute_components({k: brute_fp(t) for k, t in before.items()})
-    assert texts(stages[2]) == {k: before[k] for k in set(component.values())}
+    kept, far = brute_kept(before)
+    assert texts(stages[2]) == {k: before[k] for k in kept}
+    assert far  # pairs that the fingerprints of op9's contract do not link
 
 
 def test_decontamination_stage(spark, stages):
