@@ -254,16 +254,22 @@ class SumIndex:
             rest = total - lengths
             self.triple[total] = lengths[(rest >= 2) & self.pair[np.maximum(rest, 0)]]
 
-    def pairs(self, total: int) -> zip:
-        """Pairs (larger, smaller) with that sum, the most unequal first."""
+    def pairs(self, total: int, left: np.ndarray) -> list[tuple[int, int]]:
+        """Pairs (larger, smaller) with that sum whose lengths are ``left``, the most unequal first."""
         own = slice(self.start[total], self.start[total + 1])
-        return zip(self.first[own].tolist(), self.second[own].tolist(), strict=True)
-
-    def triples(self, total: int) -> Iterator[tuple[int, int, int]]:
+        a, b = self.first[own], self.second[own]
+        known = (left[a] > 0) & (left[b] > 0)
+        return list(zip(a[known].tolist(), b[known].tolist(), strict=True))
+
+    def triples(self, total: int, left: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """Triples with that sum whose lengths are ``left``, by their largest."""
+        have = left[:total] > 0
+        pair = np.convolve(have, have)[:total] > 0  # sums of two that are left
         for a in self.triple[total].tolist():
-            for b, c in self.pairs(total - a):
-                if b <= a:
-                    yield a, b, c
+            if have[a] and pair[total - a]:
+                for b, c in self.pairs(total - a, left):
+                    if b <= a:
+                        yield a, b, c
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
@@ -295,12 +301,12 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> list[Pattern]:
             continue
         if index.single[gap]:
             consume(length, gap)
-        for combinations in (index.pairs(gap), index.triples(gap)):
-            for combination in combinations:
-                if not c[length]:
-                    break
+        for find in (index.pairs, index.triples):
+            for combination in find(gap, c) if c[length] else ():
                 if all(c[x] for x in combination):
                     consume(length, *combination)
+                if not c[length]:
+                    break
     open_bins: dict[int, list[list]] = defaultdict(list)
     for length in range(capacity, 0, -1):
         left = int(c[length])

@@ -231,10 +231,13 @@ def test_packing_plan_uses_exact_complements():
     assert used == Counter(counts)
     assert sum(times for _, times in patterns) == -(-sum(n * k for n, k in counts.items()) // 8)
     index = packing.SumIndex(np.array(sorted(counts)), 8)
-    assert [list(index.pairs(s)) for s in (4, 6, 7)] == [[(3, 1)], [(5, 1), (3, 3)], [(6, 1), (4, 3)]]
+    left = np.array([counts.get(i, 0) for i in range(9)])
+    assert [index.pairs(s, left) for s in (4, 6, 7)] == [[(3, 1)], [(5, 1), (3, 3)], [(6, 1), (4, 3)]]
     for total in range(3, 9):
         want = {t for t in itertools.combinations_with_replacement(sorted(counts, reverse=True), 3) if sum(t) == total}
-        assert set(index.triples(total)) == want
+        assert set(index.triples(total, left)) == want
+    left[5] = 0
+    assert index.pairs(6, left) == [(3, 3)] and set(index.triples(7, left)) == {(3, 3, 1), (5, 1, 1)} - {(5, 1, 1)}
     rng = np.random.default_rng(1)
     # small cases against the fewest sequences that any packing needs
     for _ in range(30):
