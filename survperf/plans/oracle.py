@@ -422,5 +422,5 @@ SQL["plot_calibration"] = build(f"SELECT unit, period, {r('expected_total')}, ob
 SQL["pit_ks"] = build("SELECT max(n) AS n, round(max(greatest(i / n - x, x - (i - 1) / n)), 6) AS pit_ks FROM (SELECT dayofyear(day) / 366 AS x, row_number() OVER (ORDER BY dayofyear(day)) AS i, count(*) OVER () AS n FROM ord)", "ord")
 SQL["assessment_windows"] = build(
     """SELECT target, min(month) AS training_start, CAST(make_date(target, 1, 1) AS DATE) AS opens, max(month) AS closes, count(*) FILTER (year(month) < target) AS known, count(*) FILTER (year(month) = target) AS hidden
-    FROM panel, (SELECT unnest([1999, 2000]) AS target) WHERE year(month) <= target GROUP BY target""", "panel"
+    FROM panel, (SELECT unnest([1998, 1999, 2000, 2001]) AS target) WHERE year(month) <= target GROUP BY target""", "panel"
 )
