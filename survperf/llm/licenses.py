@@ -142,7 +142,8 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, id_col: str =
         side = side.unionAll(more)
     # the first element, a null, stands for the row itself
     own_row = F.array(F.lit(None).cast("struct<c:int,band:int,low:bigint>"))
-    probes = rows.select("id", "text_hash", "h", F.explode(F.when(F.arrays_overlap("h", known), F.concat(own_row, *keys)).otherwise(own_row)).alias("k"))
+    # outer, or a filter on the size of the array would compute all of it once more
+    probes = rows.select("id", "text_hash", "h", F.explode_outer(F.when(F.arrays_overlap("h", known), F.concat(own_row, *keys)).otherwise(own_row)).alias("k"))
     got = probes.join(F.broadcast(side), (F.col("k.c") == side.c) & (F.col("k.band") == side.band) & (F.col("k.low") == side.low), "left")
     share = F.size(F.array_intersect("shingles", "h")) / F.size("shingles")
     verified = F.when(F.col("template").isNotNull() & (share >= CONTAINED), F.struct("template", share.alias("share")))
