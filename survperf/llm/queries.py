@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from survperf.llm import decontaminate, html, licenses, media, packing, quality, secrets, sharding, simhash, toxicity
+from survperf.llm import decontaminate, html, licenses, media, packing, quality, secrets, sharding, simhash, toxicity, trie
 from survperf.llm.common import held_out, table
 
 
@@ -99,5 +99,12 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")
 
 
+def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    conv = F.col("conv")
+    turns = trie.ordered(table(spark, sf_dir, "conversations"))
+    rebuilt, convs = trie.borrowed(turns, conv - conv % 20, F.crc32(conv.cast("string").cast("binary")) % 4, 3)
+    return trie.prefix_trie(rebuilt, convs)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_packing, op4_secrets, op5_html, op6_media, op7_sharding, op8_licenses, op9_simhash, op10_toxicity)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_packing, op4_secrets, op5_html, op6_media, op7_sharding, op8_licenses, op9_simhash, op10_toxicity, op13_trie)}

@@ -73,5 +73,35 @@ FROM d LEFT JOIN (SELECT doc_id, count(*) AS n, string_agg(name, ',' ORDER BY na
 """
 
 
+def _crc32(text: str) -> str:
+    """Unsigned crc32 of a UTF-8 string, a step a bit."""
+    byte = "list_reduce(list_prepend(xor(c, b), CAST(range(8) AS BIGINT[])), lambda v, i: xor(v >> 1, 3988292384 * (v & 1)))"
+    octets = f"list_transform(regexp_extract_all(hex(encode({text})), '..'), lambda o: CAST('0x' || o AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(4294967295, {octets}), lambda c, b: {byte}), 4294967295)"
+
+
+def _trie_sql() -> str:
+    return f"""
+WITH raw AS (
+  SELECT conv_id AS c, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS j, coalesce(role, '') AS role, coalesce(text, '') AS text
+  FROM conversations WHERE conv_id IS NOT NULL
+),
+sizes AS (SELECT c, max(j) AS n FROM raw GROUP BY 1),
+convs AS (SELECT s.c, s.c - s.c % 20 AS b, {_crc32("CAST(s.c AS VARCHAR)")} % 4 AS h FROM sizes s),
+took AS (SELECT convs.*, least(h, coalesce(n, 0)) AS k FROM convs LEFT JOIN sizes s ON s.c = b),
+turns AS (
+  SELECT t.c, j AS d, role, text FROM took t JOIN raw r ON r.c = b AND j <= k
+  UNION ALL SELECT t.c, j - h + k, role, text FROM took t JOIN raw r ON r.c = t.c AND j > h
+),
+paths AS (SELECT c, d, text, string_agg(md5(role) || md5(text), '') OVER (PARTITION BY c ORDER BY d) AS p FROM turns UNION ALL SELECT c, 0, '', '' FROM convs),
+ends AS (SELECT p, string_agg(CAST(c AS VARCHAR), ',' ORDER BY c) AS ids FROM (SELECT c, max_by(p, d) AS p FROM paths GROUP BY c) GROUP BY p),
+nodes AS (SELECT p, d, min(c) AS c, count(*) AS n, (count(*) - 1) * len(regexp_extract_all(min(text), '[^\x20\x09-\x0D]+')) AS own FROM paths GROUP BY p, d),
+kids AS (SELECT p[1:64 * (d - 1)] AS p, count(*) AS kids FROM nodes WHERE d > 0 GROUP BY 1),
+below AS (SELECT n.p[1:64 * i] AS p, sum(CAST(kids IS NULL AS BIGINT)) AS leaves, sum(own) AS saved FROM (SELECT *, unnest(range(0, d + 1)) AS i FROM nodes) n LEFT JOIN kids k ON k.p = n.p GROUP BY 1)
+SELECT n.c AS conv_id, n.d AS depth, u.c AS parent_conv_id, n.n AS n_convs, coalesce(kids, 0) AS n_children, CAST(leaves AS BIGINT) AS n_leaves, CAST(saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.p = n.p[1:64 * (n.d - 1)] LEFT JOIN kids k ON k.p = n.p LEFT JOIN ends e ON e.p = n.p JOIN below b ON b.p = n.p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_decontaminate": _DECONTAMINATE, "op4_secrets": _secret_sql(), "op8_licenses": _license_sql()}
+    return {"op13_trie": _trie_sql(), "op2_decontaminate": _DECONTAMINATE, "op4_secrets": _secret_sql(), "op8_licenses": _license_sql()}
