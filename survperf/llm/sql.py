@@ -103,5 +103,34 @@ FROM nodes n LEFT JOIN nodes u ON n.d > 0 AND u.d = n.d - 1 AND u.p = n.p[1:64 *
 """
 
 
+def _spelling_sql() -> str:
+    return f"""
+WITH RECURSIVE runs AS (
+  SELECT d, translate(r, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS r
+  FROM (SELECT coalesce(CAST(doc_id AS VARCHAR), '') AS d, unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')) AS r FROM documents)
+),
+once AS (SELECT d, r, count(*) AS n FROM runs GROUP BY ALL),
+hashed AS (SELECT *, {_crc32("d || ':' || r")} AS h FROM once),
+spelled AS (SELECT CASE WHEN h % 97 = 0 THEN r[1:h % length(r)] || r[h % length(r) + 2:] ELSE r END AS word, n FROM hashed),
+words AS (SELECT word, CAST(sum(n) AS BIGINT) AS n FROM spelled WHERE length(word) >= 5 GROUP BY word HAVING sum(n) >= 3),
+places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+blanks AS (SELECT word, n, i, word[1:i - 1] AS a, word[i + 1:] AS b FROM places),
+shorter AS (SELECT DISTINCT x.word AS long, x.n AS long_n, w.word AS short, w.n AS short_n FROM blanks x JOIN words w ON w.word = x.a || x.b),
+near AS (
+  SELECT x.word, y.word AS other, y.n AS other_n FROM blanks x JOIN blanks y USING (i, a, b) WHERE x.word <> y.word
+  UNION ALL SELECT long, short, short_n FROM shorter UNION ALL SELECT short, long, long_n FROM shorter
+),
+best AS (SELECT word, count(*) AS n_near, max(other_n) AS top_n FROM near GROUP BY word),
+forms AS (
+  SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN top_n >= 2 * w.n THEN top_n END AS form_n,
+    (SELECT min(other) FROM near WHERE near.word = w.word AND other_n = top_n AND top_n >= 2 * w.n) AS form
+  FROM words w LEFT JOIN best b ON b.word = w.word
+),
+chain AS (SELECT word, word AS stop FROM forms UNION ALL SELECT c.word, f.form FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NOT NULL),
+ends AS (SELECT c.word, c.stop FROM chain c JOIN forms f ON f.word = c.stop WHERE f.form IS NULL)
+SELECT f.word, form, stop AS root, n, n_near, form_n FROM forms f JOIN ends USING (word)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op13_trie": _trie_sql(), "op2_decontaminate": _DECONTAMINATE, "op4_secrets": _secret_sql(), "op8_licenses": _license_sql()}
+    return {"op12_spelling": _spelling_sql(), "op13_trie": _trie_sql(), "op2_decontaminate": _DECONTAMINATE, "op4_secrets": _secret_sql(), "op8_licenses": _license_sql()}
