@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from survperf.llm import decontaminate, html, licenses, media, packing, quality, secrets, sharding, simhash, spelling, toxicity, trie
+from survperf.llm import decontaminate, html, licenses, media, packing, quality, secrets, sharding, simhash, spelling, suffix, toxicity, trie
 from survperf.llm.common import held_out, table
 
 
@@ -99,6 +99,11 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"), "n_matches")
 
 
+def op11_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix.remove(table(spark, sf_dir, "documents"), digest=True)
+    return found.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.col("kept").alias("kept_sha256"))
+
+
 def op12_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.variants(spelling.word_counts(table(spark, sf_dir, "documents"), misspell=97))
 
@@ -111,4 +116,4 @@ def op13_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_packing, op4_secrets, op5_html, op6_media, op7_sharding, op8_licenses, op9_simhash, op10_toxicity, op12_spelling, op13_trie)}
+    return {f.__name__: f for f in (op1_quality, op2_decontaminate, op3_packing, op4_secrets, op5_html, op6_media, op7_sharding, op8_licenses, op9_simhash, op10_toxicity, op11_suffix, op12_spelling, op13_trie)}
