@@ -12,6 +12,8 @@ from pyspark.sql import functions as F
 from survperf.functions.session import cut
 
 SNAP = 1e-5
+#: Side of a cell in snaps.
+CELL = 8
 
 
 def wkb_vertices(boundaries: DataFrame, id_col: str, wkb_col: str = "geometry") -> DataFrame:
@@ -113,18 +115,33 @@ def invalid_geometries(boundaries: DataFrame, id_col: str, wkb_col: str = "geome
     return boundaries.select(F.col(id_col).cast("string").alias("id"), F.col(wkb_col).alias("wkb")).mapInPandas(parse, f"{id_col} string, fault string")
 
 
+def meeting(points: DataFrame, snap: float = SNAP) -> DataFrame:
+    """(p, q): structs of all rows of ``points`` (x, y, ...) and those at most ``snap`` away, a point and itself included.
+
+    A spatial hash: a point lies in one cell of ``CELL`` snaps and looks into each that a square around it touches, most often one;
+    what meets there is measured. Points without finite coordinates meet none.
+    """
+    if snap < 0:
+        raise ValueError("snap is not negative")
+    size, reach = CELL * snap or 1.0, 1.5 * snap
+    cell = lambda c, by: F.floor((F.col(c) + by) / size)
+    rows = points.filter("abs(x) < 1e300 and abs(y) < 1e300")
+    home = rows.select(F.struct("*").alias("q"), cell("x", 0.0).alias("gx"), cell("y", 0.0).alias("gy"))
+    looks = rows.select(F.struct("*").alias("p"), F.explode(F.sequence(cell("x", -reach), cell("x", reach))).alias("gx"), F.sequence(cell("y", -reach), cell("y", reach)).alias("ys"))
+    met = looks.select("p", "gx", F.explode("ys").alias("gy")).join(home, ["gx", "gy"])
+    dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
+    return met.filter(dx * dx + dy * dy <= snap * snap).select("p", "q")
+
+
 def contiguity(vertices: DataFrame, rule: str = "queen", snap: float = SNAP) -> DataFrame:
-    """(focal, neighbour): districts that share a vertex (queen) or two (rook), in both directions.
+    """(focal, neighbour): districts with a pair of vertices at most ``snap`` apart (queen), or two such pairs (rook), in both directions.
 
-    Vertices are snapped to a grid, so a shared border needs shared vertices: a border that meets
-    another in mid-segment is not seen.
+    A shared border needs shared vertices: one that meets another in mid-segment is not seen.
     """
     if rule not in ("queen", "rook"):
         raise ValueError("rule is 'queen' or 'rook'")
-    points = vertices.select("district", F.round(F.col("x") / snap).cast("long").alias("gx"), F.round(F.col("y") / snap).cast("long").alias("gy")).distinct()
-    other = points.withColumnRenamed("district", "neighbour")
-    pairs = points.join(other, ["gx", "gy"]).filter("district <> neighbour")
-    shared = pairs.groupBy(F.col("district").alias("focal"), "neighbour").agg(F.count(F.lit(1)).alias("n"))
+    pairs = meeting(vertices.select("district", "x", "y").distinct(), snap).filter("p.district <> q.district")
+    shared = pairs.groupBy(F.col("p.district").alias("focal"), F.col("q.district").alias("neighbour")).agg(F.count(F.lit(1)).alias("n"))
     return shared.filter(F.col("n") >= (1 if rule == "queen" else 2)).select("focal", "neighbour")
 
 

@@ -7,7 +7,14 @@ SQL: dict[str, str] = {}
 WINDOW = "month BETWEEN DATE '1999-01-01' AND DATE '1999-12-01'"
 FIRST = "year(month) >= 1998"
 
+PARCELS = """SELECT CAST(k AS VARCHAR) AS district, seq, k % 40 + dx + OFF + 6e-6 * sin(k * 12.9898 + (seq % 4) * 78.233) AS x, k // 40 + dy + 2 * OFF + 6e-6 * cos(k * 12.9898 + (seq % 4) * 78.233) AS y
+        FROM (SELECT c_custkey AS k FROM customer), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy)"""
+
 CTE: dict[str, str] = {
+    "parcels": PARCELS.replace("OFF", "0"),
+    "corners": "SELECT DISTINCT district, x, y FROM parcels",
+    "snapped": """SELECT a.district AS focal, b.district AS neighbour, count(*) AS n FROM corners a JOIN corners b
+        ON abs(a.x - b.x) <= 1e-5 AND a.district <> b.district AND (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) <= 1e-5 * 1e-5 GROUP BY 1, 2""",
     "ord": """SELECT CAST(c_nationkey AS VARCHAR) AS district, o_orderkey AS orderkey, CAST(o_orderdate AS DATE) AS day, CAST(date_trunc('month', o_orderdate) AS DATE) AS month,
         o_totalprice AS price, o_orderstatus AS status FROM orders JOIN customer ON o_custkey = c_custkey""",
     "areas": "SELECT CAST(n_nationkey AS VARCHAR) AS district, CAST(n_regionkey AS VARCHAR) AS area FROM nation",
@@ -63,7 +70,7 @@ CTE: dict[str, str] = {
     "queen": "SELECT focal, neighbour FROM shared",
     "rook": "SELECT focal, neighbour FROM shared WHERE n >= 2",
 }
-NEEDS = {
+NEEDS = {"corners": ["parcels"], "snapped": ["corners"], 
     "annual": ["ord"], "records": ["cases"], "stool": ["records"], "months": ["ord"], "panel": ["areas", "months", "annual"], "draws": ["panel"], "hist": ["annual"], "exp": ["hist"], "nat": ["exp"], "steps": ["annual"], "devs": ["steps"],
     "fences": ["devs"], "flagged": ["devs", "fences"], "ahead": ["flagged"], "upto": ["annual"], "screened": ["ahead", "upto"], "qc": ["screened", "upto", "annual"], "simple": ["exp", "nat", "qc"], "process": ["ord"], "shared": ["verts"], "queen": ["shared"], "rook": ["shared"],
 }
@@ -394,6 +401,8 @@ SQL["adjacency_queen"] = build("SELECT focal, neighbour FROM queen", "queen")
 SQL["adjacency_rook"] = build("SELECT focal, neighbour FROM rook", "rook")
 _FAR = "SELECT CAST(n_nationkey AS VARCHAR) AS district, seq, n_nationkey % 5 + dx + CASE WHEN n_nationkey >= 23 THEN 100.0 * (n_nationkey - 22) ELSE 0 END AS x, n_nationkey // 5 + dy + CASE WHEN n_nationkey >= 23 THEN 100.0 * (n_nationkey - 22) ELSE 0 END AS y FROM nation, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy)"
 _NEAREST = "SELECT focal, arg_min(neighbour, struct_pack(d := d, n := neighbour)) AS neighbour FROM (SELECT a.district AS focal, b.district AS neighbour, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM mid a, mid b WHERE a.district <> b.district AND a.district NOT IN (SELECT focal FROM queen)) GROUP BY 1"
+SQL["adjacency_snap_queen"] = build("SELECT focal, neighbour FROM snapped", "snapped")
+SQL["adjacency_snap_rook"] = build("SELECT focal, neighbour FROM snapped WHERE n >= 2", "snapped")
 SQL["adjacency_islands"] = build(
     "SELECT focal, neighbour FROM queen UNION SELECT focal, neighbour FROM near UNION SELECT neighbour, focal FROM near", "queen", replace={"verts": _FAR},
     extra={"mid": "SELECT district, avg(x) FILTER (seq < 4) AS x, avg(y) FILTER (seq < 4) AS y FROM verts GROUP BY 1", "near": _NEAREST},

@@ -455,6 +455,16 @@ def adjacency_rook(spark, folder):
     return _edges(spark, folder, "rook")
 
 
+@query
+def adjacency_snap_queen(spark, folder):
+    return graph.contiguity(td.parcels(spark, folder))
+
+
+@query
+def adjacency_snap_rook(spark, folder):
+    return graph.contiguity(td.parcels(spark, folder), "rook")
+
+
 @query
 def adjacency_islands(spark, folder):
     corners = td.vertices(spark, folder, shift_from=23)

@@ -243,6 +243,34 @@ def test_graph_of_squares(spark):
     assert graph.province_outline(v.filter("district in ('A', 'B')"), nodes.withColumn("province", F.lit("p"))).count() == 6
 
 
+@pytest.mark.parametrize("snap", [1e-5, 3e-4, 0.0])
+def test_snap_by_distance(spark, snap):
+    """Vertices meet if and only if they are at most the snap apart, also across borders of the hash's cells."""
+    rng = np.random.default_rng(4)
+    side = 8 * (snap or 1e-5)
+    base = rng.integers(-4, 4, (150, 2)) * side + rng.choice([0.0, 1e-7, -1e-7, side / 3], (150, 2))
+    points = np.vstack([base, base + rng.uniform(-1.5, 1.5, (150, 2)) * snap, base + [snap, 0]])
+    rows = [(f"d{i % 60}", 0, 0, i, float(x), float(y)) for i, (x, y) in enumerate(points)] + [("far", 0, 0, 0, float("inf"), 0.0), ("nan", 0, 0, 0, float("nan"), 0.0)]
+    n = {}
+    once = {(r[0], r[4], r[5]) for r in rows if math.isfinite(r[4])}
+    for a, x, y in once:
+        for b, u, v in once:
+            if a != b and (x - u) * (x - u) + (y - v) * (y - v) <= snap * snap:
+                n[a, b] = n.get((a, b), 0) + 1
+    df = spark.createDataFrame(rows, "district string, part int, ring int, seq int, x double, y double")
+    assert {tuple(r) for r in graph.contiguity(df, "queen", snap).collect()} == set(n)
+    assert {tuple(r) for r in graph.contiguity(df, "rook", snap).collect()} == {k for k, c in n.items() if c > 1}
+    with pytest.raises(ValueError, match="not negative"):
+        graph.contiguity(df, snap=-1.0)
+
+
+def test_snap_joins_borders_that_lie_side_by_side(spark):
+    v = squares(spark, {"A": (0, 0), "B": (1, 0)})
+    for gap, linked in ((2e-9, True), (9e-6, True), (1.1e-5, False)):
+        moved = v.withColumn("x", F.when(F.col("district") == "B", F.col("x") + gap).otherwise(F.col("x")))
+        assert (graph.contiguity(moved).count() == 2) == linked
+
+
 def test_wkb_polygons(spark):
     import struct
 
