@@ -2,17 +2,19 @@
 
 Counts are Poisson, optionally with a Gamma ("nb") or a log-normal ("iid") term of each observation, around
 population x exp(intercept + season + year effect + spatial effect [+ covariates]). The spatial
-effect mixes a scaled graph effect and an independent one; the posterior is approximated by Laplace's
-method at a grid of hyperparameters, with the penalised-complexity priors below, and draws come
-from the resulting mixture. The log-normal term is integrated out of the likelihood by adaptive quadrature
+effect mixes a scaled graph effect and an independent one; the graph effect sums to zero in each component of the map, and so do
+random-walk effects of years and of the season. The posterior of the effects is Laplace's; that of the
+hyperparameters is explored from its mode by a design of few points along its axes, and draws come
+from the resulting mixture. Standard deviations have exponential priors, the share of structure the prior of ``field.SharePrior``.
+The log-normal term is integrated out of the likelihood by adaptive quadrature
 and drawn anew for each cell; the Gamma term has a closed form. Each assessment year sees only months up to its
 close, with the counts of its own window hidden, and its draws carry the same draw numbers for all
 districts, so that what districts share cancels when draws are centred.
 
-Three steps, all of Spark groups: parts of the grid are fitted side by side for each year and kind of term; the
-grid points' weights of a year, one small row each, are turned into numbers of draws; blocks of ``BLOCK`` draws
-are made side by side. Year and district effects are sums over codes, so a group's arrays have as many entries
-as the panel has cells, times the few other effects, and as the square of the number of districts.
+Steps, all of Spark groups: the mode of the hyperparameters of each year and kind of term gives the points of its design; the
+points are fitted side by side in parts; their weights, one small row each, are turned into numbers of draws; blocks of
+``BLOCK`` draws are made side by side. Year and district effects are sums over codes and the map's matrices are sparse (``field``), so a
+group's arrays have as many entries as the panel has cells, times the few other effects.
 """
 
 from __future__ import annotations
@@ -22,6 +24,7 @@ from collections.abc import Callable
 from copy import copy
 from dataclasses import dataclass, replace
 from datetime import date
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -29,11 +32,21 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from survperf.functions.session import cut
+from survperf.operators.field import Field, Precision, SharePrior
 
 N_DRAWS, QUICK_DRAWS, SEED = 1000, 100, 42
 MIN_HISTORY = 3
 #: Draws made in one task.
-BLOCK = 50
+BLOCK = 100
+#: Groups that a design's points are fitted in.
+PARTS = 6
+#: Bounds of the hyperparameters on their own scales: logs of deviations and of the share's odds.
+BOUNDS = {"sd": (-5.0, 2.0), "phi": (-6.0, 6.0), "sd_year": (-5.0, 1.5), "sd_season": (-5.0, 1.5), "extra": (-4.0, 1.0)}
+START = {"sd": -1.2, "phi": 0.0, "sd_year": -2.0, "sd_season": -1.5, "extra": -1.4}
+#: Radius of the design's points in deviations, over the root of their number of axes.
+RADIUS = 1.1
+#: Tail shape of importance weights beyond which a left-out density is not usable.
+TAIL = 0.7
 _NODES, _WEIGHTS = np.polynomial.hermite.hermgauss(9)
 P_EFF_SHARE, CPO_SHARE, PHI_LOW, PHI_HIGH = 0.2, 0.5, 0.02, 0.98
 DRAWS = "target int, district string, month date, draw int, expected double"
@@ -89,32 +102,6 @@ def masked(panel: DataFrame, years: list[tuple[int, date, date]]) -> DataFrame:
     return rows.select("target", "district", "month", F.when(F.col("month") < F.col("opens"), F.col("count")).alias("count"), "pop", (F.col("month") >= F.col("opens")).alias("inside"), *[c for c in panel.columns if c.startswith("x_")])
 
 
-def graph_precision(names: list[str], edges: list[tuple[str, str]]) -> np.ndarray:
-    """Generalised inverse of the graph Laplacian, scaled in each component to a geometric mean variance of 1."""
-    at = {n: i for i, n in enumerate(names)}
-    n = len(names)
-    w = np.zeros((n, n))
-    for a, b in edges:
-        if a in at and b in at and a != b:
-            w[at[a], at[b]] = w[at[b], at[a]] = 1
-    label = np.arange(n)
-    for _ in range(n):
-        new = np.minimum(label, np.where(w > 0, label[None, :], n).min(1, initial=n))
-        if (new == label).all():
-            break
-        label = new
-    cov = np.zeros((n, n))
-    for c in np.unique(label):
-        own = np.flatnonzero(label == c)
-        if len(own) == 1:
-            cov[own, own] = 1.0
-            continue
-        part = w[np.ix_(own, own)]
-        inv = np.linalg.pinv(np.diag(part.sum(1)) - part, hermitian=True)
-        cov[np.ix_(own, own)] = inv / np.exp(np.log(np.maximum(np.diag(inv), 1e-12)).mean())
-    return cov
-
-
 def season_design(month: np.ndarray, kind: str) -> np.ndarray:
     m = month.astype(float)
     if kind == "harmonic":
@@ -124,36 +111,65 @@ def season_design(month: np.ndarray, kind: str) -> np.ndarray:
     return np.zeros((len(m), 0))
 
 
-def _prior_blocks(design_cols: dict[str, int], model: Model, cov: np.ndarray, sd: float, phi: float, sd_year: float) -> np.ndarray:
-    """Prior precision of all effects."""
-    size = sum(design_cols.values())
+def walk(n: int, order: int, cyclic: bool) -> np.ndarray:
+    """The precision of a random walk, scaled to a geometric mean variance of 1."""
+    d = np.eye(n)
+    for _ in range(order):
+        d = d - np.roll(d, 1, 1) if cyclic else np.diff(d, axis=0)
+    q = d.T @ d
+    return q * math.exp(np.log(np.maximum(np.diag(np.linalg.pinv(q, hermitian=True)), 1e-12)).mean())
+
+
+def _effect_prior(sizes: dict[str, int], model: Model, hyper: dict[str, float]) -> np.ndarray:
+    """Prior precision of the effects that all districts share; what a walk leaves free, its level, is held at zero and has a precision for the factor's sake."""
+    size = sum(sizes.values())
     q, at = np.zeros((size, size)), 0
-    for name, n in design_cols.items():
+    for name, n in sizes.items():
         own = slice(at, at + n)
-        if name == "space":
-            q[own, own] = np.linalg.inv(sd**2 * (phi * cov + (1 - phi) * np.eye(n)) + 1e-6 * np.eye(n))
-        elif name == "year" and model.year_effect == "rw1" and n > 1:
-            d = np.diff(np.eye(n), axis=0)
-            q[own, own] = d.T @ d / sd_year**2 + 1e-3 * np.eye(n)
-        elif name == "year":
-            q[own, own] = np.eye(n) / sd_year**2
+        if name == "year":
+            q[own, own] = walk(n, 1, False) / hyper["sd_year"] ** 2 + 1 / n if model.year_effect == "rw1" and n > 1 else np.eye(n) / hyper["sd_year"] ** 2
         elif name == "season" and model.season == "rw2":
-            d = np.eye(n) - 2 * np.roll(np.eye(n), 1, 1) + np.roll(np.eye(n), 2, 1)
-            q[own, own] = d.T @ d / 0.25 + 1e-2 * np.eye(n)
+            q[own, own] = walk(n, 2, True) / hyper["sd_season"] ** 2 + 1 / n
         else:
             q[own, own] = np.eye(n) * (1e-6 if name == "intercept" else 0.1)
         at += n
     return q
 
 
-def _log_prior(model: Model, sd: float, phi: float, sd_year: float, extra: float) -> float:
-    """Exponential priors on standard deviations by P(sd > U) = alpha, and a falling one on phi."""
-    rate = lambda p: -math.log(p[1]) / p[0]
-    out = math.log(sd) - rate(model.prior_sd) * sd + math.log(sd_year) - rate(model.prior_sd_year) * sd_year
-    shape = math.log(model.prior_phi[1]) / math.log(model.prior_phi[0])
-    out += (shape - 1) * math.log(phi)
-    if model.extra != "none":
-        out += math.log(extra) - rate((1.0, 0.01)) * extra
+def _effect_sums(sizes: dict[str, int], model: Model) -> np.ndarray:
+    """The sums of effects that are held at zero: those of the random walks."""
+    out, at = [], 0
+    for name, n in sizes.items():
+        if name == "year" and model.year_effect == "rw1" and n > 1 or name == "season" and model.season == "rw2":
+            out.append(np.zeros(sum(sizes.values())))
+            out[-1][at : at + n] = 1.0
+        at += n
+    return np.array(out).reshape(-1, sum(sizes.values()))
+
+
+def hyper_names(model: Model) -> list[str]:
+    asked = {"sd": True, "phi": True, "sd_year": model.year_effect != "none", "sd_season": model.season == "rw2", "extra": model.extra != "none"}
+    return [k for k, v in asked.items() if v]
+
+
+def hyper_of(model: Model, theta: np.ndarray) -> dict[str, float]:
+    """Hyperparameters from their unbounded scales."""
+    out = {"sd_year": 0.2, "sd_season": 0.5, "extra": 0.0}
+    for name, t in zip(hyper_names(model), theta, strict=True):
+        out[name] = 1 / (1 + math.exp(-t)) if name == "phi" else math.exp(t)
+    return out
+
+
+def log_prior(model: Model, share: SharePrior, theta: np.ndarray) -> float:
+    """Exponential priors on standard deviations by P(sd > U) = alpha, and the share's; on the unbounded scales."""
+    prior = {"sd": model.prior_sd, "sd_year": model.prior_sd_year, "sd_season": model.prior_sd, "extra": (1.0, 0.01)}
+    out = 0.0
+    for name, t in zip(hyper_names(model), theta, strict=True):
+        if name == "phi":
+            out += share.log_density(t)
+        else:
+            rate = -math.log(prior[name][1]) / prior[name][0]
+            out += math.log(rate) + t - rate * math.exp(t)
     return out
 
 
@@ -185,19 +201,19 @@ def _terms(y: np.ndarray, eta: np.ndarray, extra: float, kind: str) -> tuple[np.
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
-    """Log gamma by Stirling's series after shifting to arguments of 8 or more."""
-    x = np.asarray(x, float)
+    """Log gamma by Stirling's series after shifting to arguments of 8 or more; counts repeat, so each value is worked out once."""
+    x, back = np.unique(np.asarray(x, float), return_inverse=True)
     shift = np.zeros_like(x)
     z = x.copy()
     for _ in range(8):
         low = z < 8
         shift = np.where(low, shift - np.log(np.where(low, z, 1)), shift)
         z = np.where(low, z + 1, z)
-    return shift + (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5)
+    return (shift + (z - 0.5) * np.log(z) - z + 0.9189385332046727 + 1 / (12 * z) - 1 / (360 * z**3) + 1 / (1260 * z**5))[back]
 
 
 class _Data:
-    """Design of one year's panel: a few dense columns, and codes of years and districts."""
+    """Design of one year's panel: a few dense columns, codes of years, and each cell's district in the field's order."""
 
     def __init__(self, pdf: pd.DataFrame, edges: list[tuple[str, str]], model: Model):
         month = pd.to_datetime(pdf["month"])
@@ -205,7 +221,7 @@ class _Data:
         self.offset = np.log(np.maximum(pdf["pop"].to_numpy(float) / 12, 0.5))
         self.y = pdf["count"].to_numpy(float)
         self.seen = np.isfinite(self.y)
-        self.cov = graph_precision(names, edges)
+        self.field = Field(names, edges)
         cols = {"intercept": np.ones((len(pdf), 1)), "season": season_design(month.dt.month.to_numpy(), model.season)}
         given = [c for c in pdf.columns if c.startswith("x_")]
         x = pdf[given].to_numpy(float) if given else np.zeros((len(pdf), 0))
@@ -213,133 +229,240 @@ class _Data:
         cols["covariates"] = (x[:, keep] - x[self.seen][:, keep].mean(0)) / x[self.seen][:, keep].std(0) if keep.any() else np.zeros((len(pdf), 0))
         self.dense = np.hstack(list(cols.values()))
         self.sizes = {k: v.shape[1] for k, v in cols.items()}
-        self.codes: list[tuple[int, int, np.ndarray]] = []  # first effect, effects, the effect of each cell
+        self.year = None
         if model.year_effect != "none":
-            self._add("year", pd.Categorical(month.dt.year, years).codes, len(years))
-        self._add("space", pd.Categorical(pdf["district"], names).codes, len(names))
-        levels = {"year": [str(y) for y in years], "space": names, "covariates": [c for c, k in zip(given, keep, strict=True) if k]}
-        self.labels = [(k, levels[k][i] if k in levels else str(i + 1)) for k, n in self.sizes.items() for i in range(n)]
-
-    def _add(self, name: str, codes: np.ndarray, size: int) -> None:
-        self.codes.append((sum(self.sizes.values()), size, codes.astype(np.int64)))
-        self.sizes[name] = size
+            self.year = pd.Categorical(month.dt.year, years).codes.astype(np.int64)
+            self.sizes["year"] = len(years)
+        self.place = self.field.place[pd.Categorical(pdf["district"], names).codes]
+        levels = {"year": [str(y) for y in years], "covariates": [c for c, k in zip(given, keep, strict=True) if k]}
+        self.labels = [(k, levels[k][i] if k in levels else str(i + 1)) for k, n in self.sizes.items() for i in range(n)] + [("space", names[i]) for i in self.field.order]
 
     @property
     def size(self) -> int:
+        """Number of effects that all districts share."""
         return sum(self.sizes.values())
 
     def cells(self, which: np.ndarray) -> _Data:
         """The design of some cells alone."""
         part = copy(self)
-        part.offset, part.y, part.seen, part.dense = self.offset[which], self.y[which], self.seen[which], self.dense[which]
-        part.codes = [(at, n, c[which]) for at, n, c in self.codes]
+        part.offset, part.y, part.seen, part.dense, part.place = self.offset[which], self.y[which], self.seen[which], self.dense[which], self.place[which]
+        part.year = None if self.year is None else self.year[which]
         return part
 
-    def log_mean(self, effects: np.ndarray) -> np.ndarray:
-        """Log of the mean of each cell; ``effects`` is a vector, or has a row for each draw."""
-        out = self.offset + effects[..., : self.dense.shape[1]] @ self.dense.T
-        for at, n, codes in self.codes:
-            out = out + effects[..., at : at + n][..., codes]
-        return out
-
-    def sums(self, g: np.ndarray) -> np.ndarray:
-        """Of each effect, the sum of ``g`` over its cells."""
-        return np.concatenate([self.dense.T @ g, *[np.bincount(codes, g, n) for _, n, codes in self.codes]])
-
-    def curvature(self, w: np.ndarray) -> np.ndarray:
-        """Of each pair of effects, the sum of ``w`` over the cells of both."""
+    def log_mean(self, f: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """Log of the mean of each cell; the effects are vectors, or have a row for each draw."""
         k = self.dense.shape[1]
-        h = np.zeros((self.size, self.size))
+        out = self.offset + f[..., :k] @ self.dense.T + u[..., self.place]
+        return out if self.year is None else out + f[..., k:][..., self.year]
+
+    def sums(self, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of each shared effect and of each district, the sum of ``g`` over its cells."""
+        shared = [self.dense.T @ g] + ([] if self.year is None else [np.bincount(self.year, g, self.sizes["year"])])
+        return np.concatenate(shared), np.bincount(self.place, g, self.field.n)
+
+    def curvature(self, w: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The sums of ``w`` over the cells of two shared effects, of a district and a shared effect, and of a district."""
+        k, n = self.dense.shape[1], self.field.n
+        h, cross = np.zeros((self.size, self.size)), np.zeros((n, self.size))
         h[:k, :k] = self.dense.T @ (self.dense * w[:, None])
-        for i, (at, n, codes) in enumerate(self.codes):
-            h[np.arange(at, at + n), np.arange(at, at + n)] = np.bincount(codes, w, n)
+        for j in range(k):
+            cross[:, j] = np.bincount(self.place, w * self.dense[:, j], n)
+        if self.year is not None:
+            m = self.sizes["year"]
+            h[np.arange(k, k + m), np.arange(k, k + m)] = np.bincount(self.year, w, m)
             for j in range(k):
-                h[j, at : at + n] = h[at : at + n, j] = np.bincount(codes, w * self.dense[:, j], n)
-            for at2, n2, codes2 in self.codes[:i]:
-                both = np.bincount(codes * n2 + codes2, w, n * n2).reshape(n, n2)
-                h[at : at + n, at2 : at2 + n2], h[at2 : at2 + n2, at : at + n] = both, both.T
-        return h
+                h[j, k:] = h[k:, j] = np.bincount(self.year, w * self.dense[:, j], m)
+            cross[:, k:] = np.bincount(self.place * m + self.year, w, n * m).reshape(n, m)
+        return h, cross, np.bincount(self.place, w, n)
+
+    def precision(self, model: Model, hyper: dict[str, float], w: np.ndarray) -> Precision:
+        h, cross, weight = self.curvature(w)
+        return Precision(self.field, hyper["sd"], hyper["phi"], h + _effect_prior(self.sizes, model, hyper), cross, weight, _effect_sums(self.sizes, model))
+
 
+Effects = tuple[np.ndarray, np.ndarray, np.ndarray]
 
-def _laplace(d: _Data, q: np.ndarray, extra: float, kind: str, start: np.ndarray) -> tuple[np.ndarray, float]:
-    """Mode, and the log marginal likelihood but for the hyperparameters' prior; ``d`` has cells with counts alone."""
-    x = start.copy()
 
-    def value(v: np.ndarray) -> float:
-        return _terms(d.y, d.log_mean(v), extra, kind)[0].sum() - 0.5 * v @ q @ v
+def start_of(d: _Data) -> Effects:
+    """The mean rate for all cells."""
+    f = np.zeros(d.size)
+    f[0] = math.log(max(d.y.sum(), 0.5)) - math.log(np.exp(d.offset).sum())
+    return np.zeros(d.field.n), np.zeros(d.field.n), f
 
-    now = value(x)
+
+def laplace(d: _Data, model: Model, hyper: dict[str, float], start: Effects) -> tuple[Effects, float]:
+    """The mode (u, s, f), and the log marginal likelihood but for what hyperparameters do not change; ``d`` has cells with counts alone."""
+    q = _effect_prior(d.sizes, model, hyper)
+    scale = hyper["sd"] * math.sqrt(hyper["phi"])
+    a = 1 / (hyper["sd"] ** 2 * (1 - hyper["phi"]))
+
+    def value(u: np.ndarray, s: np.ndarray, f: np.ndarray) -> float:
+        own = u - scale * s
+        return float(_terms(d.y, d.log_mean(f, u), hyper["extra"], model.extra)[0].sum() - 0.5 * (a * own @ own + s @ d.field.precision(s) + f @ q @ f))
+
+    x = start
+    now = value(*x)
     for _ in range(60):
-        _, g, w = _terms(d.y, d.log_mean(x), extra, kind)
-        step = np.linalg.solve(d.curvature(w) + q, d.sums(g) - q @ x)
+        u, s, f = x
+        _, g, w = _terms(d.y, d.log_mean(f, u), hyper["extra"], model.extra)
+        p = d.precision(model, hyper, w)
+        gf, gu = d.sums(g)
+        own = u - scale * s
+        step = p.solve(gu - a * own, a * scale * own - d.field.precision(s), gf - q @ f)
+        step = tuple(y - o for y, o in zip(p.hold(*(o + z for o, z in zip(x, step, strict=True))), x, strict=True))
         size = 1.0
-        while size > 1e-4 and not (new := value(x + size * step)) >= now - 1e-9:
+        while size > 1e-4 and not (new := value(*(o + size * z for o, z in zip(x, step, strict=True)))) >= now - 1e-9:
             size /= 2
-        x = x + size * step
+        x = tuple(o + size * z for o, z in zip(x, step, strict=True))
         if abs(new - now) < 1e-8 * (1 + abs(new)):
             now = new
             break
         now = new
-    h = d.curvature(_terms(d.y, d.log_mean(x), extra, kind)[2]) + q
-    return x, now + 0.5 * np.linalg.slogdet(q)[1] - 0.5 * np.linalg.slogdet(h)[1]
+    p = d.precision(model, hyper, _terms(d.y, d.log_mean(x[2], x[0]), hyper["extra"], model.extra)[2])
+    prior = 0.5 * d.field.n * math.log(a)
+    if m := d.sizes.get("year"):
+        prior -= (m - (model.year_effect == "rw1" and m > 1)) * math.log(hyper["sd_year"])
+    if model.season == "rw2":
+        prior -= (d.sizes["season"] - 1) * math.log(hyper["sd_season"])
+    return x, now + prior - 0.5 * p.logdet - 0.5 * p.logdet_held
+
+
+def climb(f: Callable[[np.ndarray], float], x: np.ndarray, rounds: int = 40, h: float = 0.02) -> tuple[np.ndarray, np.ndarray]:
+    """The top of ``f`` by quasi-Newton steps, and the curvature there: minus the second differences, made positive."""
+    n = len(x)
+    unit = np.eye(n) * h
+    slope = lambda v: np.array([(f(v + e) - f(v - e)) / (2 * h) for e in unit])
+    inverse, now, g = np.eye(n) * 0.1, f(x), slope(x)
+    for _ in range(rounds):
+        step = inverse @ g
+        step *= min(1.0, 1.0 / max(np.abs(step).max(), 1e-12))
+        size = 1.0
+        while size > 1e-3 and f(x + size * step) < now + 1e-4 * size * (g @ step):
+            size /= 2
+        if size <= 1e-3:
+            break
+        x_new = x + size * step
+        g_new, new = slope(x_new), f(x_new)
+        d, y = x_new - x, g - g_new
+        if d @ y > 1e-10:
+            r = np.eye(n) - np.outer(d, y) / (d @ y)
+            inverse = r @ inverse @ r.T + np.outer(d, d) / (d @ y)
+        done = abs(new - now) < 1e-3 and np.abs(d).max() < 1e-2
+        x, g, now = x_new, g_new, new
+        if done:
+            break
+    wide = np.eye(n) * 0.1
+    top, up, down = f(x), [f(x + e) for e in wide], [f(x - e) for e in wide]
+    curve = np.diag([(2 * top - u - v) / 0.01 for u, v in zip(up, down, strict=True)])
+    for i in range(n):
+        for j in range(i):
+            curve[i, j] = curve[j, i] = -(f(x + wide[i] + wide[j]) - up[i] - up[j] + top) / 0.01
+    values, axes = np.linalg.eigh(curve)
+    # an axis that the data say little about is followed for two deviations of one, no further
+    return x, (axes * np.maximum(values, 0.25)) @ axes.T
 
 
-def grid(model: Model) -> list[list[tuple[float, float, float, float]]]:
-    """Parts of the grid, each a list of (sd, phi, sd_year, extra); a part is fitted in one task, each point from the last one's mode."""
-    years = (0.05, 0.2, 0.5) if model.year_effect != "none" else (0.2,)
-    extras = (0.0,) if model.extra == "none" else (0.1, 0.25, 0.5, 0.9)
-    return [[(sd, phi, sd_year, extra) for sd_year in years for extra in extras] for sd in (0.1, 0.25, 0.5, 1.0) for phi in (0.1, 0.5, 0.9)]
+def design(m: int) -> tuple[np.ndarray, np.ndarray]:
+    """Points in ``m`` standardised axes and their weights: the centre, two on each axis, and corners of a cube, all at one distance.
+
+    With the density of a normal distribution at the points, the weights give its mean and its variances.
+    """
+    corners = [c if m < 5 else (*c, math.prod(c)) for c in product((-1.0, 1.0), repeat=min(m, 4))] if m > 1 else []
+    ring = [RADIUS * np.array(c) for c in corners] + [v * RADIUS * math.sqrt(m) * np.eye(m)[i] for i in range(m) for v in (-1.0, 1.0)]
+    weight = math.exp(m * RADIUS**2 / 2) / (len(ring) * (RADIUS**2 - 1))
+    return np.array([np.zeros(m), *ring]), np.array([1.0, *[weight] * len(ring)])
 
 
-POINTS = "target int, spec string, part int, point int, weight double, mode array<double>"
-BLOCKS = "target int, spec string, block int, part int, point int, first int, n int, mode array<double>, sd_spatial double, phi_spatial double, sd_extra double"
+PLANS = "target int, spec string, part int, point int, theta array<double>, prior double"
+POINTS = "target int, spec string, part int, point int, theta array<double>, weight double, mode array<double>"
+BLOCKS = "target int, spec string, block int, theta array<double>, first int, n int, mode array<double>, sd_spatial double, phi_spatial double, sd_extra double"
 
 
 def _sorted(pdf: pd.DataFrame) -> pd.DataFrame:
     return pdf.sort_values(["district", "month"], kind="stable").reset_index(drop=True)
 
 
+def _columns(schema: str) -> list[str]:
+    return [f.split()[0] for f in schema.split(", ")]
+
+
+def _split(mode: np.ndarray, d: _Data) -> Effects:
+    n = d.field.n
+    return mode[:n], mode[n : 2 * n], mode[2 * n :]
+
+
+def planned(d: _Data, model: Model) -> list[tuple[list[float], float]]:
+    """(theta, log prior and weight) of the design's points around the mode of the hyperparameters."""
+    names = hyper_names(model)
+    low, high = np.array([BOUNDS[k] for k in names]).T
+    share = SharePrior(d.field, *model.prior_phi)
+    last = [start_of(d)]
+
+    def value(theta: np.ndarray) -> float:
+        inside = np.clip(theta, low, high)
+        last[0], lml = laplace(d, model, hyper_of(model, inside), last[0])
+        return lml + log_prior(model, share, inside) - 10 * float(((theta - inside) ** 2).sum())
+
+    centre, curve = climb(value, np.array([START[k] for k in names]))
+    values, axes = np.linalg.eigh(curve)
+    points, weights = design(len(names))
+    out = []
+    for z, w in zip(points, weights, strict=True):
+        theta = np.clip(centre + axes @ (z / np.sqrt(values)), low, high)
+        out.append((theta.tolist(), log_prior(model, share, theta) + math.log(w)))
+    return out
+
+
 def posterior(masked_panel: DataFrame, edges: list[tuple[str, str]], models: dict[str, Model]) -> DataFrame:
-    """Blocks of draws of each target and spec: which grid point, its mode, the first draw and their number."""
-    parts = [(s, i) for s, m in models.items() for i in range(len(grid(m)))]
-    rows = masked_panel.withColumn("x", F.explode(F.array(*[F.struct(F.lit(s).alias("spec"), F.lit(i).alias("part")) for s, i in parts])))
-    rows = rows.select(*masked_panel.columns, "x.spec", "x.part")
-
-    def fit_part(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        target, spec, part = int(key[0]), key[1], int(key[2])
-        model, whole = models[spec], _Data(_sorted(pdf), edges, models[spec])
+    """Blocks of draws of each target and spec: the hyperparameters of a point, its mode, the first draw and their number."""
+    specs = F.explode(F.array(*[F.lit(s) for s in models])).alias("spec")
+    rows = masked_panel.select("*", specs)
+
+    def data_of(pdf: pd.DataFrame, model: Model) -> _Data:
+        whole = _Data(_sorted(pdf), edges, model)
         if not whole.seen.any():
             raise ValueError("no counts to learn from")
-        d, out = whole.cells(whole.seen), []
-        mode = np.zeros(d.size)
-        mode[0] = math.log(max(d.y.sum(), 0.5)) - math.log(np.exp(d.offset).sum())
-        for point, (sd, phi, sd_year, extra) in enumerate(grid(model)[part]):
-            mode, lml = _laplace(d, _prior_blocks(d.sizes, model, d.cov, sd, phi, sd_year), extra, model.extra, mode)
-            out.append((target, spec, part, point, lml + _log_prior(model, sd, phi, sd_year, extra), mode))
-        return pd.DataFrame(out, columns=["target", "spec", "part", "point", "weight", "mode"])
+        return whole.cells(whole.seen)
+
+    def plan(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        points = planned(data_of(pdf, models[key[1]]), models[key[1]])
+        return pd.DataFrame([(int(key[0]), key[1], i % PARTS, i, t, p) for i, (t, p) in enumerate(points)], columns=_columns(PLANS))
+
+    def fit_part(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
+        model, out = models[key[1]], []
+        if not len(own):
+            return pd.DataFrame(columns=_columns(POINTS))
+        d = data_of(pdf, model)
+        mode = start_of(d)
+        for p in own.sort_values("point").itertuples(index=False):
+            mode, lml = laplace(d, model, hyper_of(model, np.asarray(p.theta)), mode)
+            out.append((p.target, p.spec, p.part, p.point, p.theta, lml + p.prior, np.concatenate(mode)))
+        return pd.DataFrame(out, columns=_columns(POINTS))
 
     def deal(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        """Which grid point each draw comes from, by weight; draws of one point are consecutive."""
+        """Which point each draw comes from, by weight; draws of one point are consecutive."""
         model = models[key[1]]
-        pdf = pdf.sort_values(["part", "point"]).reset_index(drop=True)
+        pdf = pdf.sort_values("point").reset_index(drop=True)
         weight = np.exp(pdf["weight"] - pdf["weight"].max()).to_numpy()
         weight /= weight.sum()
-        hyper = np.array([grid(model)[p][i] for p, i in zip(pdf["part"], pdf["point"], strict=True)])
-        mean = weight @ hyper
+        hyper = [hyper_of(model, np.asarray(t)) for t in pdf["theta"]]
+        mean = {k: float(weight @ [h[k] for h in hyper]) for k in ("sd", "phi", "extra")}
         dealt = np.random.Generator(np.random.PCG64([model.seed, int(key[0])])).multinomial(model.n_draws, weight)
         out, first = [], 1
         for i in np.flatnonzero(dealt).tolist():
             for at in range(0, int(dealt[i]), BLOCK):
                 n = min(BLOCK, int(dealt[i]) - at)
-                out.append((int(key[0]), key[1], len(out), int(pdf["part"][i]), int(pdf["point"][i]), first, n, pdf["mode"][i], mean[0], mean[1], mean[3] if model.extra != "none" else None))
+                out.append((int(key[0]), key[1], len(out), pdf["theta"][i], first, n, pdf["mode"][i], mean["sd"], mean["phi"], mean["extra"] if model.extra != "none" else None))
                 first += n
-        return pd.DataFrame(out, columns=[f.split()[0] for f in BLOCKS.split(", ")])
+        return pd.DataFrame(out, columns=_columns(BLOCKS))
 
-    points = cut(rows.groupBy("target", "spec", "part").applyInPandas(fit_part, POINTS))
+    plans = cut(rows.groupBy("target", "spec").applyInPandas(plan, PLANS))
+    parts = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))).alias("part"))
+    points = cut(parts.groupBy("target", "spec", "part").cogroup(plans.groupBy("target", "spec", "part")).applyInPandas(fit_part, POINTS))
     return cut(points.groupBy("target", "spec").applyInPandas(deal, BLOCKS))
 
 
-def _drawn(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model], edges: list[tuple[str, str]], schema: str, result: Callable[[int, str, pd.DataFrame, _Data, np.ndarray, int, float, np.random.Generator], pd.DataFrame]) -> DataFrame:
+def _drawn(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model], edges: list[tuple[str, str]], schema: str, result: Callable[[int, str, pd.DataFrame, _Data, np.ndarray, np.ndarray, int, float, np.random.Generator], pd.DataFrame]) -> DataFrame:
     """``result`` of each block of draws; blocks are few for each target, so their names are broadcast."""
     names = blocks.select(F.col("target").alias("own"), F.col("spec").alias("spec"), F.col("block").alias("block"))
     rows = masked_panel.join(F.broadcast(names), F.col("target") == F.col("own")).drop("own")
@@ -349,51 +472,120 @@ def _drawn(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model],
         model = models[spec]
         pdf = _sorted(pdf)
         d = _Data(pdf, edges, model)
-        sd, phi, sd_year, extra = grid(model)[int(block["part"])][int(block["point"])]
-        mode = np.asarray(block["mode"], float)
+        hyper = hyper_of(model, np.asarray(block["theta"], float))
+        u, s, f = _split(np.asarray(block["mode"], float), d)
         seen = d.cells(d.seen)
-        h = seen.curvature(_terms(seen.y, seen.log_mean(mode), extra, model.extra)[2]) + _prior_blocks(d.sizes, model, d.cov, sd, phi, sd_year)
+        p = seen.precision(model, hyper, _terms(seen.y, seen.log_mean(f, u), hyper["extra"], model.extra)[2])
         rng = np.random.Generator(np.random.PCG64([model.seed, target, int(key[2]) + 1]))
-        draws = mode + np.linalg.solve(np.linalg.cholesky(h).T, rng.standard_normal((d.size, int(block["n"])))).T
-        return result(target, spec, pdf, d, draws, int(block["first"]), extra, rng)
+        du, _, df = p.draw(rng, int(block["n"]))
+        return result(target, spec, pdf, d, f + df.T, u + du.T, int(block["first"]), hyper["extra"], rng)
 
     return rows.groupBy("target", "spec", "block").cogroup(blocks.groupBy("target", "spec", "block")).applyInPandas(draw, schema)
 
 
-CELLS = "target int, spec string, district string, month date, y double, n long, extra double, top double, up double, low double, down double, s double, ss double, logs double, below double, equal double"
+CELLS = "target int, spec string, district string, month date, y double, n long, extra double, logs double, below double, equal double, ll array<double>"
 
 
-def _cell_sums(models: dict[str, Model]) -> Callable[..., pd.DataFrame]:
-    """What a block of draws adds to the criteria of each cell with a count."""
+def _cell_terms(models: dict[str, Model]) -> Callable[..., pd.DataFrame]:
+    """What a block of draws says of each cell with a count."""
 
-    def sums(target: int, spec: str, pdf: pd.DataFrame, whole: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
-        d, kind = whole.cells(whole.seen), models[spec].extra
-        eta = d.log_mean(draws)
-        ll = np.stack([_terms(d.y, e, extra, kind)[0] for e in eta])
-        top, low = ll.max(0), (-ll).max(0)
-        rate = np.exp(np.clip(eta, -30, 30))
-        if kind == "nb":
-            rate = rate * rng.gamma(1 / extra**2, extra**2, rate.shape)
-        elif kind == "iid":
-            rate = rate * np.exp(extra * rng.standard_normal(rate.shape))
-        made = rng.poisson(rate)
+    def terms(target: int, spec: str, pdf: pd.DataFrame, whole: _Data, f: np.ndarray, u: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
+        d, kind, n = whole.cells(whole.seen), models[spec].extra, len(f)
+        ll = np.empty((len(d.y), n))
+        logs, below, equal = (np.zeros(len(d.y)) for _ in range(3))
+        for i in range(n):
+            eta = d.log_mean(f[i], u[i])
+            ll[:, i] = _terms(d.y, eta, extra, kind)[0]
+            rate = np.exp(np.clip(eta, -30, 30))
+            if kind == "nb":
+                rate = rate * rng.gamma(1 / extra**2, extra**2, rate.shape)
+            elif kind == "iid":
+                rate = rate * np.exp(extra * rng.standard_normal(rate.shape))
+            made = rng.poisson(rate)
+            logs, below, equal = logs + eta, below + (made < d.y), equal + (made == d.y)
         own = pdf[whole.seen]
-        return pd.DataFrame({"target": target, "spec": spec, "district": own["district"].to_numpy(object), "month": own["month"].to_numpy(object), "y": d.y, "n": len(draws), "extra": extra * len(draws), "top": top, "up": np.exp(ll - top).sum(0), "low": low, "down": np.exp(-ll - low).sum(0), "s": ll.sum(0), "ss": (ll**2).sum(0), "logs": eta.sum(0), "below": (made < d.y).sum(0).astype(float), "equal": (made == d.y).sum(0).astype(float)})
+        return pd.DataFrame({"target": target, "spec": spec, "district": own["district"].to_numpy(object), "month": own["month"].to_numpy(object), "y": d.y, "n": n, "extra": extra * n, "logs": logs, "below": below, "equal": equal, "ll": list(ll)})
+
+    return terms
+
 
-    return sums
+def pareto_shape(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(shape, scale) of generalised Pareto distributions fitted to the rows of ``x``, ascending excesses: an empirical Bayes estimate over a grid."""
+    rows, n = x.shape
+    m = 30 + int(math.sqrt(n))
+    quarter = np.maximum(x[:, int(n / 4 + 0.5) - 1], 1e-300)
+    theta = (1 - np.sqrt(m / (np.arange(1, m + 1) - 0.5))) / (3 * quarter[:, None]) + 1 / np.maximum(x[:, -1:], 1e-300)
+    k = np.stack([np.log1p(-theta[:, j : j + 1] * x).mean(1) for j in range(m)], 1)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        fit = n * (np.log(-theta / k) - k - 1)
+    fit = np.where(np.isfinite(fit), fit, -np.inf)
+    weight = np.exp(fit - fit.max(1, keepdims=True))
+    best = (theta * weight).sum(1) / weight.sum(1)
+    shape = np.log1p(-best[:, None] * x).mean(1)
+    return (shape * n + 5) / (n + 10), -shape / best
+
+
+def left_out(ll: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(log density of each row's observation without it, tail shape) from its log likelihoods under draws, a column each.
+
+    The weights 1 / likelihood are smoothed: the largest are replaced by quantiles of the tail fitted to them. A large
+    shape says that no number of draws like these would do.
+    """
+    rows, n = ll.shape
+    log_w = -ll - (-ll).max(1, keepdims=True)
+    tail = min(n // 5, int(3 * math.sqrt(n)))
+    shape = np.full(rows, np.inf if n < 25 else -np.inf)
+    if n >= 25:
+        order = np.argsort(log_w, 1)
+        high = np.take_along_axis(log_w, order[:, -tail:], 1)
+        cut_at = np.exp(np.take_along_axis(log_w, order[:, -tail - 1 : -tail], 1))
+        excess = np.exp(high) - cut_at
+        some = excess[:, -1] > 1e-12
+        if some.any():
+            k, scale = pareto_shape(np.maximum(excess[some], 1e-300))
+            p = (np.arange(1, tail + 1) - 0.5) / tail
+            flat = np.abs(k) < 1e-9
+            safe = np.where(flat, 1.0, k)[:, None]
+            quantile = np.where(flat[:, None], -scale[:, None] * np.log1p(-p), scale[:, None] * np.expm1(-safe * np.log1p(-p)) / safe)
+            smooth = np.minimum(np.log(quantile + cut_at[some]), 0.0)
+            fixed = log_w[some]
+            np.put_along_axis(fixed, order[some][:, -tail:], smooth, 1)
+            log_w[some], shape[some] = fixed, k
+    both = log_w + ll
+    top = both.max(1)
+    loo = top + np.log(np.exp(both - top[:, None]).sum(1)) - np.log(np.exp(log_w).sum(1))
+    return loo, shape
+
+
+def left_out_cells(parts: DataFrame) -> DataFrame:
+    """Of each cell, from the draws of all its blocks: mean and variance of its log likelihood, its log predictive density, that without it, and the tail shape."""
+    sums = [F.sum(c).alias(c) for c in ("n", "extra", "logs", "below", "equal")]
+    cells = parts.groupBy("target", "spec", "district", "month").agg(F.max("y").alias("y"), *sums, F.flatten(F.collect_list("ll")).alias("ll"))
+
+    @F.pandas_udf("mean double, var double, lppd double, loo double, khat double")
+    def told(column: pd.Series) -> pd.DataFrame:
+        out = np.zeros((len(column), 5))
+        for at in range(0, len(column), 2048):
+            ll = np.sort(np.stack(column.iloc[at : at + 2048]), 1)
+            top = ll.max(1)
+            lppd = top + np.log(np.exp(ll - top[:, None]).mean(1))
+            out[at : at + 2048] = np.column_stack((ll.mean(1), ll.var(1, ddof=1) if ll.shape[1] > 1 else top * 0, lppd, *left_out(ll)))
+        return pd.DataFrame(out, columns=["mean", "var", "lppd", "loo", "khat"])
+
+    return cells.withColumn("x", told("ll")).select("target", "spec", "district", "month", "y", *[c for c in ("n", "extra", "logs", "below", "equal")], "x.*")
 
 
 def criteria(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model], edges: list[tuple[str, str]]) -> DataFrame:
     """DIC, WAIC, effective parameters, the share of usable CPOs and the distance of PITs from uniform, of each target and spec."""
-    parts = cut(_drawn(masked_panel, blocks, models, edges, CELLS, _cell_sums(models)))
-    high = parts.withColumns({"mt": F.max("top").over(Window.partitionBy("target", "spec", "district", "month")), "ml": F.max("low").over(Window.partitionBy("target", "spec", "district", "month"))})
-    up, down = F.sum(F.col("up") * F.exp(F.col("top") - F.col("mt"))), F.sum(F.col("down") * F.exp(F.col("low") - F.col("ml")))
-    sums = [F.sum(c).alias(c) for c in ("n", "extra", "s", "ss", "logs", "below", "equal")]
-    cells = high.groupBy("target", "spec", "district", "month").agg(F.max("y").alias("y"), *sums, (F.max("mt") + F.log(up)).alias("lse"), (F.max("ml") + F.log(down)).alias("nlse"))
+    return summed_criteria(left_out_cells(_drawn(masked_panel, blocks, models, edges, CELLS, _cell_terms(models))), blocks, models)
+
+
+def summed_criteria(told: DataFrame, blocks: DataFrame, models: dict[str, Model]) -> DataFrame:
+    """The criteria from those of cells. A CPO is usable if the tail shape of its weights is at most ``TAIL``."""
     n = F.col("n")
     # a uniform number of the cell's own
     chance = F.pmod(F.xxhash64("target", "district", "month"), F.lit(1 << 40)) / float(1 << 40)
-    cells = cut(cells.select("target", "spec", "y", (F.col("extra") / n).alias("extra"), (F.col("s") / n).alias("mean"), F.when(n > 1, (F.col("ss") - F.col("s") * F.col("s") / n) / (n - 1)).otherwise(0.0).alias("var"), (F.col("logs") / n).alias("eta"), (F.col("lse") - F.log(n)).alias("lppd"), F.exp(F.log(n) - F.col("nlse")).alias("cpo"), ((F.col("below") + chance * F.col("equal")) / n).alias("pit")))
+    cells = cut(told.select("target", "spec", "y", "mean", "var", "lppd", "khat", "loo", (F.col("extra") / n).alias("extra"), (F.col("logs") / n).alias("eta"), ((F.col("below") + chance * F.col("equal")) / n).alias("pit")))
 
     @F.pandas_udf("double")
     def at_mean(y: pd.Series, eta: pd.Series, extra: pd.Series, spec: pd.Series) -> pd.Series:
@@ -406,11 +598,11 @@ def criteria(masked_panel: DataFrame, blocks: DataFrame, models: dict[str, Model
 
     rows = cells.withColumn("hat", at_mean("y", "eta", F.round("extra", 9), "spec"))
     dbar, dhat = -2 * F.sum("mean"), -2 * F.sum("hat")
-    usable = F.avg((F.col("cpo") > 0).cast("double") * F.when(F.isnan("cpo"), 0.0).otherwise(1.0))
+    usable = F.avg(((F.col("khat") <= TAIL) & ~F.isnan("loo")).cast("double"))
     found = rows.groupBy("target", "spec").agg(F.count(F.lit(1)).alias("n_obs"), (2 * dbar - dhat).alias("dic"), (-2 * (F.sum("lppd") - F.sum("var"))).alias("waic"), (dbar - dhat).alias("p_eff"), usable.alias("cpo_valid"))
     means = blocks.select("target", "spec", "sd_spatial", "phi_spatial", "sd_extra").distinct()
     done = found.join(means, ["target", "spec"]).join(pit_distance(cells, keys=("target", "spec")).select("target", "spec", "pit_ks"), ["target", "spec"], "left")
-    return done.select(*[f.split()[0] for f in FIT.split(", ")])
+    return done.select(*_columns(FIT))
 
 
 def ks_uniform(x: np.ndarray, least: int = 100) -> float | None:
@@ -435,12 +627,12 @@ def fit(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -> Da
     """(target, district, month, draw, expected) of every masked cell."""
     links, models = _small_edges(edges), {model.extra: model}
 
-    def cells(target: int, spec: str, pdf: pd.DataFrame, d: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
+    def cells(target: int, spec: str, pdf: pd.DataFrame, d: _Data, f: np.ndarray, u: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
         own = pdf["inside"].to_numpy(bool)
-        eta = d.cells(own).log_mean(draws)
+        eta = d.cells(own).log_mean(f, u)
         if spec == "iid":
             eta = eta + extra * rng.standard_normal(eta.shape)
-        inside, n = pdf[own], len(draws)
+        inside, n = pdf[own], len(f)
         return pd.DataFrame({"target": target, "district": np.tile(inside["district"].to_numpy(object), n), "month": np.tile(inside["month"].to_numpy(object), n), "draw": np.repeat(np.arange(first, first + n), len(inside)), "expected": np.exp(np.clip(eta, -30, 30)).ravel()})
 
     return _drawn(masked_panel, posterior(masked_panel, links, models), models, links, DRAWS, cells)
@@ -456,10 +648,10 @@ def effects(masked_panel: DataFrame, edges: DataFrame, model: Model = Model()) -
     """
     links, models = _small_edges(edges), {model.extra: model}
 
-    def latent(target: int, spec: str, pdf: pd.DataFrame, d: _Data, draws: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
-        n = len(draws)
+    def latent(target: int, spec: str, pdf: pd.DataFrame, d: _Data, f: np.ndarray, u: np.ndarray, first: int, extra: float, rng: np.random.Generator) -> pd.DataFrame:
+        n, draws = len(f), np.hstack((f, u))
         names = [np.tile(np.array([label[i] for label in d.labels], object), n) for i in (0, 1)]
-        return pd.DataFrame({"target": target, "effect": names[0], "level": names[1], "draw": np.repeat(np.arange(first, first + n), d.size), "value": draws.ravel()})
+        return pd.DataFrame({"target": target, "effect": names[0], "level": names[1], "draw": np.repeat(np.arange(first, first + n), draws.shape[1]), "value": draws.ravel()})
 
     rows = _drawn(masked_panel, posterior(masked_panel, links, models), models, links, LATENT, latent)
     q = {name: F.percentile("value", F.lit(p)).alias(name) for name, p in (("q05", 0.05), ("median", 0.5), ("q95", 0.95))}
