@@ -158,13 +158,14 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label_col: str, sample:
 def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", most_lines: int = MOST_LINES) -> Model | None:
     """The model learned from a bounded sample of ``labels``; None without both classes.
 
-    Sampled texts are taken in the order of their ids' hashes while those of their label have ``most_lines`` lines together.
+    Sampled texts are taken in the order of their ids' hashes while those of their label have ``most_lines`` lines together;
+    a text with more lines than that is passed over.
     """
     small_batches(docs.sparkSession)
     rows = labelled_sample(docs, labels, label_col, sample, id_col, text_col)
     sizes = rows.withColumn("lines", F.size(F.split(F.coalesce("text", F.lit("")), "\n", -1)))
     so_far = F.sum("lines").over(Window.partitionBy("label").orderBy("h", "id"))
-    rows = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= most_lines)
+    rows = sizes.filter(F.col("lines") <= most_lines).withColumn("so_far", so_far).filter(F.col("so_far") <= most_lines)
 
     def features(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
