@@ -89,18 +89,22 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(b[0] + x @ np.array(b[1:]), -60, 60)))
 
     def automaton(self) -> ahocorasick.Automaton:
-        auto = ahocorasick.Automaton()
+        """Each word with what it stands for: a stem, a whole word, an exception, or several of them."""
+        held: dict[str, list[tuple[int, float | None, bool]]] = {}
         for entry, weight in self.entries.items():
             word = entry.lstrip("=")
-            auto.add_word(word, (len(word), weight, entry[0] == "="))
+            held.setdefault(word, []).append((len(word), weight, entry[0] == "="))
         for phrase in self.exceptions:
-            auto.add_word(phrase, (len(phrase), None, True))
+            held.setdefault(phrase, []).append((len(phrase), None, True))
+        auto = ahocorasick.Automaton()
+        for word, meant in held.items():
+            auto.add_word(word, meant)
         auto.make_automaton()
         return auto
 
 
 def matches(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, float]]:
-    """(start, end, weight) of the longest entry at each word start of folded ``text``, less exceptions.
+    """(start, end, weight) of the longest entry at each word start of folded ``text``, the heavier of equal ones, less exceptions.
 
     Digits at a word's end are read both as they are and as letters.
     """
@@ -108,13 +112,13 @@ def matches(text: str, auto: ahocorasick.Automaton) -> list[tuple[int, int, floa
     spared: list[tuple[int, int]] = []
     ended = fold_endings(text)
     for read in (text,) if ended == text else (text, ended):
-        for last, (n, weight, whole) in auto.iter(read):
+        for last, (n, weight, whole) in ((last, m) for last, meant in auto.iter(read) for m in meant):
             start, end = last - n + 1, last + 1
             if start and read[start - 1].isalpha() or whole and end < len(read) and read[end].isalpha():
                 continue
             if weight is None:
                 spared.append((start, end))
-            elif start not in found or found[start][0] < end:
+            elif start not in found or found[start] < (end, weight):
                 found[start] = (end, weight)
     spared.sort()
     ends = list(accumulate((y for _, y in spared), max))
