@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import struct
 
 import numpy as np
@@ -9,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from survperf.functions.session import cut
+from survperf.functions.session import cut, written
 
 SNAP = 1e-5
 #: Side of a cell in snaps.
@@ -155,38 +156,76 @@ def centroids(vertices: DataFrame) -> DataFrame:
     return sums.select("district", F.when(flat, F.col("mx")).otherwise(F.try_divide("sx", 3 * F.col("a"))).alias("cx"), F.when(flat, F.col("my")).otherwise(F.try_divide("sy", 3 * F.col("a"))).alias("cy"))
 
 
-def attach_islands(edges: DataFrame, centres: DataFrame, most_islands: int = 10_000) -> DataFrame:
-    """``edges`` with each district that has none linked, both ways, to the one of the nearest centroid.
+def nearest(seekers: DataFrame, centres: DataFrame, leaf: int = 8) -> DataFrame:
+    """(focal, neighbour): the district of ``centres`` (district, cx, cy) nearest to each of ``seekers``, itself apart; of equally near ones the smallest.
 
-    The islands are counted: up to ``most_islands`` of them are broadcast against all centroids,
-    a larger number is an error of the boundaries.
+    Centres are held in squares of a quadtree, each with the box of its centres and two of them. A seeker goes down from the
+    whole map and takes along the squares whose boxes are no farther than the nearest centre known so far: few on
+    each level, so no seeker is held against all centres.
     """
-    islands = centres.join(edges.select(F.col("focal").alias("district")).distinct(), "district", "left_anti")
-    found = islands.limit(most_islands + 1).count()
-    if found == 0:
+    points = cut(centres.filter("abs(cx) < 1e300 and abs(cy) < 1e300").select("district", "cx", "cy"))
+    b = points.agg(F.count(F.lit(1)).alias("n"), F.min("cx").alias("x"), F.min("cy").alias("y"), F.max("cx").alias("x2"), F.max("cy").alias("y2")).first()
+    depth = max(0, math.ceil(math.log(max(b.n, 1) / leaf, 4)))
+    side = max((b.x2 or 0) - (b.x or 0), (b.y2 or 0) - (b.y or 0)) or 1.0
+    cell = lambda c, low: F.least(F.floor((F.col(c) - low) / side * 2**depth), F.lit(2**depth - 1)).cast("long")
+    placed = points.select("*", cell("cx", b.x or 0.0).alias("gx"), cell("cy", b.y or 0.0).alias("gy"))
+    own = F.struct("district", "cx", "cy")
+    leaves = placed.groupBy("gx", "gy").agg(*[f(c).alias(n) for c, f, n in (("cx", F.min, "x1"), ("cx", F.max, "x2"), ("cy", F.min, "y1"), ("cy", F.max, "y2"))], F.min(own).alias("lo"), F.max(own).alias("hi"))
+    up = leaves.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(depth)))).withColumns({g: F.expr(f"shiftright({g}, {depth} - level)") for g in ("gx", "gy")})
+    boxes = cut(up.groupBy("level", "gx", "gy").agg(*[f(n).alias(n) for n, f in (("x1", F.min), ("x2", F.max), ("y1", F.min), ("y2", F.max), ("lo", F.min), ("hi", F.max))]))
+    here = F.lit(0).cast("long")
+    now = seekers.select(F.col("district").alias("focal"), F.col("cx").alias("x"), F.col("cy").alias("y"), here.alias("gx"), here.alias("gy"), F.lit(float("inf")).alias("known"))
+    for level in range(depth + 1):
+        held = boxes.filter(F.col("level") == level).drop("level")
+        met = now.join(F.broadcast(held) if level < 6 else held, ["gx", "gy"])  # at most 4^level squares
+        beside = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
+        other = F.when(F.col("lo.district") != F.col("focal"), F.col("lo")).otherwise(F.col("hi"))
+        away = F.when(other["district"] != F.col("focal"), F.hypot(other["cx"] - F.col("x"), other["cy"] - F.col("y"))).otherwise(F.lit(float("inf")))
+        far = met.select("focal", "x", "y", "gx", "gy", F.hypot(beside("x", "x1", "x2"), beside("y", "y1", "y2")).alias("least"), F.least("known", away).alias("known"))
+        far = far.withColumn("known", F.min("known").over(Window.partitionBy("focal"))).filter(F.col("least") <= F.col("known") * (1 + 1e-12)).drop("least")
+        if level < depth:
+            steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
+            far = far.select("*", F.explode(steps).alias("s")).withColumns({"gx": F.col("gx") * 2 + F.col("s.i"), "gy": F.col("gy") * 2 + F.col("s.j")}).drop("s")
+        now = cut(far)
+    found = now.join(placed, ["gx", "gy"]).filter("district <> focal").groupBy("focal").agg(F.min(F.struct(F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("d"), "district")).alias("m"))
+    return found.select("focal", F.col("m.district").alias("neighbour"))
+
+
+def attach_islands(edges: DataFrame, centres: DataFrame) -> DataFrame:
+    """``edges`` with each district that has none linked, both ways, to the one of the nearest centroid."""
+    islands = cut(centres.join(edges.select(F.col("focal").alias("district")).distinct(), "district", "left_anti"))
+    if islands.isEmpty():
         return edges
-    if found > most_islands:
-        raise ValueError(f"more than {most_islands} districts without neighbours; check the boundaries")
-    near = islands.select(F.col("district").alias("focal"), F.col("cx").alias("ix"), F.col("cy").alias("iy"))
-    far = F.hypot(F.col("cx") - F.col("ix"), F.col("cy") - F.col("iy"))
-    nearest = centres.join(F.broadcast(near), F.col("district") != F.col("focal")).groupBy("focal").agg(F.min(F.struct(far.alias("d"), F.col("district").alias("neighbour"))).alias("m"))
-    links = nearest.select("focal", F.col("m.neighbour").alias("neighbour"))
+    links = nearest(islands, centres)
     return edges.unionByName(links).unionByName(links.select(F.col("neighbour").alias("focal"), F.col("focal").alias("neighbour"))).distinct()
 
 
-def components(nodes: DataFrame, edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """(district, component): the smallest district that can be reached, by checkpointed label passing."""
-    labels = nodes.select("district", F.col("district").alias("component")).distinct()
+def stars(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """(node, root): the smallest node of the component of each node of ``edges`` (u, v) but the roots, of any ordered type.
+
+    Large stars hang each node's larger neighbours on its smallest one, small stars its smaller ones; rounds grow with the log of the number of nodes.
+    """
+    now = written(edges.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    state = None
     for _ in range(most_rounds):
-        heard = edges.join(labels, edges.neighbour == labels.district).groupBy("focal").agg(F.min("component").alias("heard"))
-        new = labels.join(heard, labels.district == heard.focal, "left").select("district", F.least("component", F.coalesce("heard", "component")).alias("component"), (F.col("heard") < F.col("component")).alias("moved"))
-        new = cut(new)
-        if new.filter("moved").isEmpty():
-            return new.drop("moved")
-        # a label's own label shortens paths
-        up = new.select(F.col("district").alias("_d"), F.col("component").alias("_c"))
-        labels = new.join(up, new.component == up._d, "left").select("district", F.least("component", F.coalesce("_c", "component")).alias("component"))
-    raise RuntimeError("components did not settle")
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(least, "u").select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e"))
+        now = written(hung.select("e.u", "e.v").filter("u <> v").distinct())
+        new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if new == state:
+            return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        state = new
+    raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+
+
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(district, component): the smallest district that can be reached."""
+    found = stars(edges.select(F.col("focal").alias("u"), F.col("neighbour").alias("v")))
+    own = nodes.select("district").distinct()
+    return own.join(found, own.district == found.node, "left").select("district", F.coalesce("root", "district").alias("component"))
 
 
 def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -199,14 +238,3 @@ def graph_summary(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """One row: regions, links, percent of non-zero links, mean links, regions without links."""
     d = degrees(nodes, edges).agg(F.count(F.lit(1)).alias("regions"), F.sum("degree").alias("links"), F.sum((F.col("degree") == 0).cast("long")).alias("islands"))
     return d.select("regions", "links", F.try_divide(100.0 * F.col("links"), F.col("regions") * F.col("regions")).alias("pct_nonzero"), F.try_divide(F.col("links"), F.col("regions")).alias("mean_links"), "islands")
-
-
-def province_outline(vertices: DataFrame, province_of: DataFrame, snap: float = SNAP) -> DataFrame:
-    """(province, x1, y1, x2, y2): the segments that one district of a province alone has, its dissolved outline."""
-    order = Window.partitionBy("district", "part", "ring").orderBy("seq")
-    grid = lambda c: F.round(F.col(c) / snap).cast("long")
-    seg = vertices.withColumns({"x2": F.lead("x").over(order), "y2": F.lead("y").over(order)}).filter("x2 is not null")
-    a, b = F.struct(grid("x").alias("x"), grid("y").alias("y")), F.struct(grid("x2").alias("x"), grid("y2").alias("y"))
-    undirected = seg.join(province_of, "district").select("province", F.least(a, b).alias("a"), F.greatest(a, b).alias("b"))
-    once = undirected.groupBy("province", "a", "b").agg(F.count(F.lit(1)).alias("n")).filter("n = 1")
-    return once.select("province", (F.col("a.x") * snap).alias("x1"), (F.col("a.y") * snap).alias("y1"), (F.col("b.x") * snap).alias("x2"), (F.col("b.y") * snap).alias("y2"))

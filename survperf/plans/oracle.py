@@ -407,6 +407,26 @@ SQL["adjacency_islands"] = build(
     "SELECT focal, neighbour FROM queen UNION SELECT focal, neighbour FROM near UNION SELECT neighbour, focal FROM near", "queen", replace={"verts": _FAR},
     extra={"mid": "SELECT district, avg(x) FILTER (seq < 4) AS x, avg(y) FILTER (seq < 4) AS y FROM verts GROUP BY 1", "near": _NEAREST},
 )
+SQL["adjacency_nearest"] = build(
+    """SELECT * FROM (SELECT focal, neighbour FROM links UNION SELECT neighbour, focal FROM links) l ANTI JOIN snapped USING (focal, neighbour)""",
+    "snapped",
+    replace={"parcels": PARCELS.replace("OFF", "(CASE WHEN k % 7 = 0 THEN 3 * k + 0.001 * k * k + 200 ELSE 0 END)")},
+    extra={
+        "middles": "SELECT district, avg(x) FILTER (seq < 4) AS cx, avg(y) FILTER (seq < 4) AS cy FROM parcels GROUP BY 1",
+        "far": "SELECT district FROM middles WHERE district NOT IN (SELECT focal FROM snapped)",
+        "links": "SELECT a.district AS focal, min_by(b.district, round(sqrt((a.cx - b.cx) ** 2 + (a.cy - b.cy) ** 2), 7)) AS neighbour FROM middles a JOIN far USING (district) JOIN middles b ON a.district <> b.district GROUP BY 1",
+    },
+)
+SQL["province_areas"] = """
+WITH s AS (SELECT c_custkey AS k, c_custkey % 40 AS x, c_custkey // 40 AS y, CASE WHEN c_custkey % 11 = 0 THEN 'holes' ELSE (c_custkey % 40 // 7) || '-' || (c_custkey // 200) END AS province FROM customer),
+sides AS (SELECT s.*, t.province AS beside FROM (SELECT s.*, dx, dy FROM s, (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy)) s LEFT JOIN s t ON t.x = s.x + dx AND t.y = s.y + dy),
+cells AS (SELECT k, province, count(*) FILTER (beside IS DISTINCT FROM province) AS out FROM sides GROUP BY 1, 2),
+gaps AS (
+  SELECT province, count(*) AS hole_area FROM (
+    SELECT s.k, min(t.province) AS province FROM s JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) d(dx, dy) ON true JOIN s t ON t.x = s.x + dx AND t.y = s.y + dy AND t.province <> s.province
+    WHERE s.province = 'holes' GROUP BY s.k HAVING count(*) = 4 AND count(DISTINCT t.province) = 1) GROUP BY 1
+)
+SELECT province, CAST(count(*) AS DOUBLE) AS area, CAST(sum(out) AS DOUBLE) AS length, CAST(coalesce(max(hole_area), 0) AS DOUBLE) AS hole_area FROM cells LEFT JOIN gaps USING (province) GROUP BY 1"""
 SQL["adjacency_degree"] = build("SELECT district, count(neighbour) AS degree FROM (SELECT DISTINCT district FROM verts) LEFT JOIN queen ON focal = district GROUP BY 1", "queen")
 SQL["adjacency_components"] = build(
     "SELECT a AS district, min(b) AS component FROM reach GROUP BY 1", "queen", replace={"verts": _FAR}, extra={"reach": "SELECT DISTINCT district AS a, district AS b FROM verts UNION SELECT a, neighbour FROM reach JOIN queen ON focal = b"}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from survperf.functions.expr import window_year
 from survperf.functions.session import cut
-from survperf.operators import checks, compare, expected, graph, guide, national, prepare, render, rolling, simple
+from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple
 from survperf.sources import testdata as td
 from survperf.streaming import panel as stream
 
@@ -495,7 +495,21 @@ def centroids(spark, folder):
 @query
 def province_outline(spark, folder):
     areas = td.areas(spark, folder).select("district", F.col("area").alias("province"))
-    return graph.province_outline(td.vertices(spark, folder), areas)
+    return outline.province_outline(td.vertices(spark, folder), areas)
+
+
+@query
+def province_areas(spark, folder):
+    rings = outline.province_rings(td.parcels(spark, folder, shake=0.0), td.parcel_provinces(spark, folder))
+    return outline.province_measures(rings)
+
+
+@query
+def adjacency_nearest(spark, folder):
+    """Parcels far from all others, with their nearest ones."""
+    parcels = td.parcels(spark, folder, apart=7)
+    edges = graph.contiguity(parcels)
+    return graph.attach_islands(edges, graph.centroids(parcels)).join(edges, ["focal", "neighbour"], "left_anti")
 
 
 # labels and streams

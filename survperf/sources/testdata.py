@@ -117,8 +117,8 @@ def vertices(spark: SparkSession, folder: str, shift_from: int = 10**9) -> DataF
     return rows.select(F.col("k").cast("string").alias("district"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", (F.col("k") % 5 + F.col("dx") + F.col("off")).alias("x"), (F.floor(F.col("k") / 5) + F.col("dy") + F.col("off")).alias("y"))
 
 
-def parcels(spark: SparkSession, folder: str, apart: int = 0) -> DataFrame:
-    """(district, part, ring, seq, x, y): a square for each customer, forty to a row, its corners moved a little so that neighbours' corners lie up to 2e-5 apart.
+def parcels(spark: SparkSession, folder: str, apart: int = 0, shake: float = 6e-6) -> DataFrame:
+    """(district, part, ring, seq, x, y): a square for each customer, forty to a row, its corners moved by up to ``shake`` so that neighbours' corners lie up to three times as far apart.
 
     With ``apart`` every so many squares lie far from all others.
     """
@@ -126,6 +126,13 @@ def parcels(spark: SparkSession, folder: str, apart: int = 0) -> DataFrame:
     corners = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])])
     rows = k.select("k", F.inline(corners))
     turn = F.col("k") * 12.9898 + F.pmod("seq", F.lit(4)) * 78.233
-    off = F.when(F.col("k") % apart == 0, 3.0 * F.col("k") + 200).otherwise(0.0) if apart else F.lit(0.0)
+    off = F.when(F.col("k") % apart == 0, 3.0 * F.col("k") + 0.001 * F.col("k") * F.col("k") + 200).otherwise(0.0) if apart else F.lit(0.0)
     x, y = F.col("k") % 40 + F.col("dx") + off, F.floor(F.col("k") / 40) + F.col("dy") + 2 * off
-    return rows.select(F.col("k").cast("string").alias("district"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", (x + F.sin(turn) * 6e-6).alias("x"), (y + F.cos(turn) * 6e-6).alias("y"))
+    return rows.select(F.col("k").cast("string").alias("district"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", (x + F.sin(turn) * shake).alias("x"), (y + F.cos(turn) * shake).alias("y"))
+
+
+def parcel_provinces(spark: SparkSession, folder: str) -> DataFrame:
+    """(district, province): blocks of parcels seven by five, less every eleventh parcel, which together are a province of their own."""
+    k = F.col("c_custkey")
+    block = F.concat_ws("-", F.floor(k % 40 / 7).cast("string"), F.floor(k / 200).cast("string"))
+    return table(spark, folder, "customer").select(k.cast("string").alias("district"), F.when(k % 11 == 0, "holes").otherwise(block).alias("province"))

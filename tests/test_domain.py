@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from survperf.functions import expr
-from survperf.operators import checks, compare, expected, graph, guide, national, prepare, render, rolling, simple
+from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple
 
 D = date
 
@@ -240,7 +240,7 @@ def test_graph_of_squares(spark):
     assert {tuple(r) for r in edges.collect()} - queen == {("C", "D"), ("D", "C")}
     nodes = v.select("district").distinct()
     assert {r.district: r.component for r in graph.components(nodes, edges).collect()} == {"A": "A", "B": "A", "E": "A", "C": "C", "D": "C"}
-    assert graph.province_outline(v.filter("district in ('A', 'B')"), nodes.withColumn("province", F.lit("p"))).count() == 6
+    assert outline.province_outline(v.filter("district in ('A', 'B')"), nodes.withColumn("province", F.lit("p"))).count() == 6
 
 
 @pytest.mark.parametrize("snap", [1e-5, 3e-4, 0.0])
