@@ -28,6 +28,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from survperf.functions.session import written
 from survperf.llm.common import cut
 
 #: Places of one conversation or path that a task reads together.
@@ -124,14 +125,14 @@ def digests(ends: DataFrame, chunk: int = CHUNK) -> DataFrame:
 def peeled(paths: DataFrame) -> DataFrame:
     """(path, up, at, leaves, saved) of all paths with their totals; ``paths`` has each with its own sums and the path ``up`` it hangs on, null for the root's."""
     below = paths.filter("up is not null").groupBy(F.col("up").alias("path")).agg(F.count(F.lit(1)).alias("left"))
-    state, done = cut(paths.join(below, "path", "left").withColumn("left", F.coalesce("left", F.lit(0)))), []
+    state, done = written(paths.join(below, "path", "left").withColumn("left", F.coalesce("left", F.lit(0)))), []
     while not state.isEmpty():
         ready = state.filter("left = 0")
         done.append(ready.drop("left"))
         sent = ready.filter("up is not null").groupBy(F.col("up").alias("to")).agg(F.count(F.lit(1)).alias("n"), F.sum("leaves").alias("l"), F.sum("saved").alias("s"))
         waiting = state.filter("left > 0").join(sent, F.col("path") == F.col("to"), "left")
         got = lambda c: F.coalesce(c, F.lit(0))
-        state = cut(waiting.select("path", "up", "at", (F.col("leaves") + got("l")).alias("leaves"), (F.col("saved") + got("s")).alias("saved"), (F.col("left") - got("n")).alias("left")))
+        state = written(waiting.select("path", "up", "at", (F.col("leaves") + got("l")).alias("leaves"), (F.col("saved") + got("s")).alias("saved"), (F.col("left") - got("n")).alias("left")))
     return reduce(DataFrame.unionByName, done) if done else paths
 
 
