@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from survperf.functions.expr import safe_div
-from survperf.operators import graph
+from survperf.operators import validity
 from survperf.operators.simple import population_qc, targets
 
 SCHEMA = "severity string, code string, message string, n long, ids array<string>"
@@ -92,7 +92,7 @@ def check_model_inputs(cases: DataFrame, population: DataFrame | None = None, re
         rules.append(fact(spark, "error", "shapefile_no_id", f"the boundaries have no column {id_col}"))
         regions = None
     if invalid_geometry is None and regions is not None and "geometry" in regions.columns:
-        invalid_geometry = graph.invalid_geometries(regions, id_col)
+        invalid_geometry = validity.invalid_geometries(regions, id_col)
     if invalid_geometry is not None:
         rules.append(rule(invalid_geometry, "warning", "geometry_invalid", "invalid geometries", F.col(id_col)))
     missing = [c for c in (id_col, "month", "count") if c not in cases.columns]

@@ -10,6 +10,7 @@ from survperf.functions.expr import finite, mcnemar_p, safe_div
 NPAFP_TARGET, NPAFP_MULTIPLIER, SPI_THRESHOLD = 3.0, 100_000.0, 1.0
 #: Categories in display order.
 CATEGORIES = ("Neither below", "SPI below threshold only", "NPAFP below target only", "Both below")
+#: Breaks of the maps' classes.
 NPAFP_BREAKS = (1.0, 2.0, 3.0, 6.0, 12.0, 24.0)
 SPI_BREAKS = (0.5, 0.75, 1.0, 1.33, 2.0)
 

@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import struct
 
-import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,53 +68,6 @@ def polygon_vertices(data: bytes) -> list[tuple[int, int, int, float, float]]:
     return out
 
 
-def ring_fault(xy: np.ndarray) -> str | None:
-    """What is wrong with a ring of (x, y): not finite, short, open or crossing itself; None if nothing."""
-    if not np.isfinite(xy).all():
-        return "not finite"
-    if len(xy) < 4:
-        return "short"
-    if (xy[0] != xy[-1]).any():
-        return "open"
-    a, b = xy[:-1], xy[1:]
-    keep = (a != b).any(1)
-    a, b = a[keep], b[keep]
-    n = len(a)
-    if n < 3:
-        return "short"
-    turn = lambda p, q, r: np.sign((q[..., 0] - p[..., 0]) * (r[..., 1] - p[..., 1]) - (q[..., 1] - p[..., 1]) * (r[..., 0] - p[..., 0]))
-    for at in range(0, n, 256):  # so many sides against all later ones
-        p, q = a[at : at + 256, None], b[at : at + 256, None]
-        i, j = np.arange(at, min(n, at + 256))[:, None], np.arange(n)[None]
-        apart = (j > i + 1) & ~((i == 0) & (j == n - 1))
-        s1, s2 = turn(p, q, a[None]), turn(p, q, b[None])
-        s3, s4 = turn(a[None], b[None], p), turn(a[None], b[None], q)
-        over = (np.maximum(np.minimum(p, q), np.minimum(a, b)[None]) <= np.minimum(np.maximum(p, q), np.maximum(a, b)[None])).all(-1)
-        if (apart & over & (s1 * s2 <= 0) & (s3 * s4 <= 0)).any():
-            return "crossing"
-    return None
-
-
-def invalid_geometries(boundaries: DataFrame, id_col: str, wkb_col: str = "geometry") -> DataFrame:
-    """(id, fault): districts whose polygon is missing or has a faulty ring; how rings lie to each other is not looked at."""
-
-    def parse(batches):
-        for b in batches:
-            out = []
-            for name, data in zip(b["id"], b["wkb"], strict=True):
-                if data is None:
-                    out.append((name, "missing"))
-                    continue
-                rows = np.array(polygon_vertices(bytes(data)), float).reshape(-1, 5)
-                cuts = np.flatnonzero((np.diff(rows[:, :2], axis=0) != 0).any(1)) + 1
-                fault = next((f for ring in np.split(rows[:, 3:], cuts) if (f := ring_fault(ring))), None)
-                if fault:
-                    out.append((name, fault))
-            yield pd.DataFrame(out, columns=[id_col, "fault"])
-
-    return boundaries.select(F.col(id_col).cast("string").alias("id"), F.col(wkb_col).alias("wkb")).mapInPandas(parse, f"{id_col} string, fault string")
-
-
 def meeting(points: DataFrame, snap: float = SNAP) -> DataFrame:
     """(p, q): structs of all rows of ``points`` (x, y, ...) and those at most ``snap`` away, a point and itself included.
 

@@ -181,11 +181,21 @@ def map_svg(outlines: DataFrame, values: DataFrame, column: str, colours: tuple[
     return f'<svg width="{size}" height="{size}">{shapes}</svg>'
 
 
-#: What the components ask, and readings to avoid.
+#: What the columns of a guide are worked out from, what its labels take into account, and what no column can say.
 HELP = {
-    "signals": {"Strength": "Is the index below the cut, and its interval below 1?", "Timeliness": "Do specimens reach the laboratory in time? Reported beside the label.", "Extent": "Is a low index more common among the area's other districts than nationally?", "Persistence": "Was the index low in the year before?", "Stool adequacy": "Are specimens adequate? Reported beside the label."},
-    "verdict": dict(zip(VERDICTS, ("Below the cut, past the gate, and extended or persistent.", "Below the cut without either.", "Not below the cut."), strict=True)),
-    "misreadings": {"A low index means surveillance failed.": "It is a relative shortfall of reports; look at size, certainty and context.", "A high index means surveillance is adequate.": "It says nothing of adequacy, stools or timeliness.", "An index below 1 means cases were missed.": "It does not tell why reports are short.", "A passed rate target needs no review.": "A district can pass it and report far fewer cases than expected."},
+    "signals": {
+        "spi_below, cri_excludes_1": "The district's median index is under the cut of the call; the upper end of its interval is under 1.",
+        "extent_pct, national_pct": "Shares of districts under the cut: in the same area without the district itself, and in the whole year.",
+        "persistence_concern": "The row of the calendar year before exists and is under the cut too; a gap of a year gives none.",
+        "process columns": "Shares of cases with an adequate specimen or timely transport against their target; null below the least number of cases. They change no label.",
+    },
+    "verdict": dict(zip(VERDICTS, ("spi_below, the gate, and at least one of extent and persistence.", "spi_below, but not all of that.", "The index is not under the cut."), strict=True)),
+    "misreadings": {
+        "An index of 1": "equals the country's own ratio of reported to expected, whatever that ratio is.",
+        "A small index": "is a ratio; how many reports it stands for is in expected_total.",
+        "A wide interval": "leaves both sides of the cut open, and the label does not tell them apart.",
+        "Two districts' ranks": "may differ by less than either interval.",
+    },
 }
 
 

@@ -427,6 +427,27 @@ gaps AS (
     WHERE s.province = 'holes' GROUP BY s.k HAVING count(*) = 4 AND count(DISTINCT t.province) = 1) GROUP BY 1
 )
 SELECT province, CAST(count(*) AS DOUBLE) AS area, CAST(sum(out) AS DOUBLE) AS length, CAST(coalesce(max(hole_area), 0) AS DOUBLE) AS hole_area FROM cells LEFT JOIN gaps USING (province) GROUP BY 1"""
+SQL["geometry_faults"] = """
+WITH placed(kind, part, ring, px, py, side) AS (SELECT k, 0, 0, 0.0, 0.0, 1.0 FROM range(9) r(k) UNION ALL VALUES (2, 0, 1, 5.0, 5.0, 0.25), (3, 0, 1, 0.25, 0.25, 0.5), (4, 1, 0, 0.25, 0.25, 0.5), (6, 1, 0, 0.5, 0.5, 1.0), (7, 0, 1, 0.2, 0.2, 0.6), (7, 1, 0, 0.4, 0.4, 0.2), (8, 0, 1, 0.2, 0.2, 0.6), (8, 0, 2, 0.4, 0.4, 0.2)),
+v AS (
+  SELECT CAST(c_custkey AS VARCHAR) AS district, part, ring, CASE WHEN kind = 1 AND seq IN (1, 2) THEN 3 - seq ELSE seq END AS seq, CAST(c_custkey % 40 + px + dx * side AS DOUBLE) AS x, CAST(c_custkey // 40 + py + dy * side AS DOUBLE) AS y
+  FROM customer JOIN placed ON c_custkey % 9 = kind, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy) WHERE kind <> 5 OR seq < 4
+),
+rings AS (SELECT district, part, ring, count(*) AS n, min(x) AS x1, max(x) AS x2, min(y) AS y1, max(y) AS y2, arg_min(x, seq) = arg_max(x, seq) AND arg_min(y, seq) = arg_max(y, seq) AS closed FROM v GROUP BY ALL),
+s AS (SELECT a.*, b.x AS u, b.y AS w FROM v a JOIN v b ON b.district = a.district AND b.part = a.part AND b.ring = a.ring AND b.seq = a.seq + 1 JOIN rings r ON r.district = a.district AND r.part = a.part AND r.ring = a.ring AND closed),
+t AS (
+  SELECT p.district, p.part = q.part AND p.ring = q.ring AS one, abs(p.seq - q.seq) AS gap,
+    sign((p.u - p.x) * (q.y - p.y) - (p.w - p.y) * (q.x - p.x)) * sign((p.u - p.x) * (q.w - p.y) - (p.w - p.y) * (q.u - p.x)) AS s12,
+    sign((q.u - q.x) * (p.y - q.y) - (q.w - q.y) * (p.x - q.x)) * sign((q.u - q.x) * (p.w - q.y) - (q.w - q.y) * (p.u - q.x)) AS s34
+  FROM s p JOIN s q ON p.district = q.district AND (p.part, p.ring, p.seq) < (q.part, q.ring, q.seq)
+    AND greatest(least(p.x, p.u), least(q.x, q.u)) <= least(greatest(p.x, p.u), greatest(q.x, q.u)) AND greatest(least(p.y, p.w), least(q.y, q.w)) <= least(greatest(p.y, p.w), greatest(q.y, q.w))
+),
+pairs AS (SELECT a.district, a.part, a.ring, b.part AS bp, b.ring AS br, b.x1 < a.x1 AND a.x2 < b.x2 AND b.y1 < a.y1 AND a.y2 < b.y2 AS within FROM rings a JOIN rings b ON a.district = b.district AND (a.part <> b.part OR a.ring <> b.ring))
+SELECT district, 'open' AS fault FROM rings WHERE NOT closed
+UNION SELECT district, 'crossing' FROM t WHERE CASE WHEN one THEN gap NOT IN (1, 3) AND s12 <= 0 AND s34 <= 0 ELSE s12 < 0 AND s34 < 0 END
+UNION SELECT district, 'hole outside' FROM pairs WHERE ring > 0 AND br = 0 AND part = bp AND NOT within
+UNION SELECT district, 'nested holes' FROM pairs WHERE ring > 0 AND br > 0 AND part = bp AND within
+UNION SELECT district, 'nested parts' FROM pairs WHERE ring = 0 AND part <> bp AND within GROUP BY district, part, bp HAVING count(*) FILTER (br = 0) = 1 AND count(*) FILTER (br > 0) = 0"""
 SQL["adjacency_degree"] = build("SELECT district, count(neighbour) AS degree FROM (SELECT DISTINCT district FROM verts) LEFT JOIN queen ON focal = district GROUP BY 1", "queen")
 SQL["adjacency_components"] = build(
     "SELECT a AS district, min(b) AS component FROM reach GROUP BY 1", "queen", replace={"verts": _FAR}, extra={"reach": "SELECT DISTINCT district AS a, district AS b FROM verts UNION SELECT a, neighbour FROM reach JOIN queen ON focal = b"}

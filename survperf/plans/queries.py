@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from survperf.functions.expr import window_year
 from survperf.functions.session import cut
-from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple
+from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple, validity
 from survperf.sources import testdata as td
 from survperf.streaming import panel as stream
 
@@ -504,6 +504,11 @@ def province_areas(spark, folder):
     return outline.province_measures(rings)
 
 
+@query
+def geometry_faults(spark, folder):
+    return validity.geometry_faults(td.drawn_parcels(spark, folder))
+
+
 @query
 def adjacency_nearest(spark, folder):
     """Parcels far from all others, with their nearest ones."""

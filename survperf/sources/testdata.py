@@ -136,3 +136,17 @@ def parcel_provinces(spark: SparkSession, folder: str) -> DataFrame:
     k = F.col("c_custkey")
     block = F.concat_ws("-", F.floor(k % 40 / 7).cast("string"), F.floor(k / 200).cast("string"))
     return table(spark, folder, "customer").select(k.cast("string").alias("district"), F.when(k % 11 == 0, "holes").otherwise(block).alias("province"))
+
+
+#: (kind, part, ring, x, y, side) of the squares of parcels by kind: holes and parts, rightly placed and not.
+PLACED = [(k, 0, 0, 0.0, 0.0, 1.0) for k in range(9)] + [(2, 0, 1, 5.0, 5.0, 0.25), (3, 0, 1, 0.25, 0.25, 0.5), (4, 1, 0, 0.25, 0.25, 0.5), (6, 1, 0, 0.5, 0.5, 1.0), (7, 0, 1, 0.2, 0.2, 0.6), (7, 1, 0, 0.4, 0.4, 0.2), (8, 0, 1, 0.2, 0.2, 0.6), (8, 0, 2, 0.4, 0.4, 0.2)]
+
+
+def drawn_parcels(spark: SparkSession, folder: str) -> DataFrame:
+    """(district, part, ring, seq, x, y): parcels of nine kinds by ``PLACED``; those of kind 1 cross themselves, those of kind 5 do not close."""
+    k = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    squares = F.broadcast(spark.createDataFrame(PLACED, "kind long, part int, ring int, px double, py double, side double"))
+    corners = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])])
+    rows = k.join(squares, F.col("k") % 9 == F.col("kind")).select("*", F.inline(corners)).filter("kind <> 5 or seq < 4")
+    turned = F.when((F.col("kind") == 1) & F.col("seq").isin(1, 2), 3 - F.col("seq")).otherwise(F.col("seq"))
+    return rows.select(F.col("k").cast("string").alias("district"), "part", "ring", turned.alias("seq"), (F.col("k") % 40 + F.col("px") + F.col("dx") * F.col("side")).alias("x"), (F.floor(F.col("k") / 40) + F.col("py") + F.col("dy") * F.col("side")).alias("y"))

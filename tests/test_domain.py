@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from survperf.functions import expr
-from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple
+from survperf.operators import checks, compare, expected, graph, guide, national, outline, prepare, render, rolling, simple, validity
 
 D = date
 
@@ -412,7 +412,7 @@ def test_reports(spark, tmp_path):
     for bad in (lambda: render.help_text("example"), lambda: render.pager(focal, "zz", 2024, "name"), lambda: render.pager(focal, "D1", 2000), lambda: render.save("x", "a.png"), lambda: render.help_text("x")):
         with pytest.raises(ValueError):
             bad()
-    assert "Persistence" in render.help_text() and render.file_name("A / b", 2024) == "./a-b-2024.html"
+    assert "persistence_concern" in render.help_text() and render.file_name("A / b", 2024) == "./a-b-2024.html"
     svg = render.map_svg(squares(spark, {"D0": (0, 0), "D1": (1, 0)}), spark.createDataFrame([("D0", 1)], "district string, b int"), "b", ("#000", "#111"))
     assert svg.count("<polygon") == 2 and "#111" in svg and "#ddd" in svg
 
@@ -445,7 +445,7 @@ def test_invalid_geometries(spark):
         "nan": wkb([(0, 0), (math.nan, 0), (1, 1), (0, 0)]), "none": None, "round": wkb([*many, many[0]]), "twisted": wkb([*many[:700], many[720], many[710], *many[730:], many[0]]), "twice": wkb([square[0], *square]),
     }
     df = spark.createDataFrame(list(rows.items()), "district string, geometry binary")
-    got = dict(map(tuple, graph.invalid_geometries(df, "district").collect()))
+    got = dict(map(tuple, validity.invalid_geometries(df, "district").collect()))
     assert got == {"bow": "crossing", "open": "open", "short": "short", "touch": "crossing", "nan": "not finite", "none": "missing", "twisted": "crossing"}
     cases = spark.createDataFrame([("ok", D(2020, 1, 1), 1)], "district string, month date, count int")
     issue = {r.code: r for r in checks.check_model_inputs(cases, regions=df).collect()}["geometry_invalid"]
