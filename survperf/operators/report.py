@@ -67,7 +67,7 @@ def guide_text(focal: DataFrame, top: int = 10) -> str:
 
 def checks_text(issues: DataFrame) -> str:
     """Findings, errors first."""
-    rows = issues.orderBy("severity_order", "rule").collect()  # one row for each rule
+    rows = issues.withColumn("ids", F.slice("ids", 1, 5)).orderBy("severity_order", "rule").collect()  # one row for each rule
     return "\n".join(f"{r.severity}: {r.message}" + (f" ({r.n}): {', '.join(r.ids[:5])}" if r.n else "") for r in rows) or "no issues"
 
 

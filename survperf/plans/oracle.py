@@ -401,6 +401,14 @@ SQL["adjacency_queen"] = build("SELECT focal, neighbour FROM queen", "queen")
 SQL["adjacency_rook"] = build("SELECT focal, neighbour FROM rook", "rook")
 _FAR = "SELECT CAST(n_nationkey AS VARCHAR) AS district, seq, n_nationkey % 5 + dx + CASE WHEN n_nationkey >= 23 THEN 100.0 * (n_nationkey - 22) ELSE 0 END AS x, n_nationkey // 5 + dy + CASE WHEN n_nationkey >= 23 THEN 100.0 * (n_nationkey - 22) ELSE 0 END AS y FROM nation, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1), (4, 0, 0)) c(seq, dx, dy)"
 _NEAREST = "SELECT focal, arg_min(neighbour, struct_pack(d := d, n := neighbour)) AS neighbour FROM (SELECT a.district AS focal, b.district AS neighbour, sqrt(pow(a.x - b.x, 2) + pow(a.y - b.y, 2)) AS d FROM mid a, mid b WHERE a.district <> b.district AND a.district NOT IN (SELECT focal FROM queen)) GROUP BY 1"
+SQL["check_findings"] = build(
+    """SELECT 'error' AS severity, 'cases_negative' AS code, district AS id, count(*) AS n FROM ord WHERE orderkey % 97 = 0 GROUP BY district
+    UNION ALL SELECT 'error', 'cases_invalid_count', district, count(*) FROM ord WHERE orderkey % 97 <> 0 AND orderkey % 89 = 0 GROUP BY district
+    UNION ALL SELECT 'warning', 'pop_zero', district, count(*) FROM ord WHERE orderkey % 83 = 0 GROUP BY district
+    UNION ALL SELECT 'error', 'pop_negative', district, count(*) FROM ord WHERE orderkey % 83 <> 0 AND orderkey % 79 = 0 GROUP BY district
+    UNION ALL SELECT 'error', 'cases_duplicates', district, count(*) FROM (SELECT district, day FROM ord GROUP BY 1, 2 HAVING count(*) > 1) GROUP BY district""",
+    "ord",
+)
 SQL["adjacency_snap_queen"] = build("SELECT focal, neighbour FROM snapped", "snapped")
 SQL["adjacency_snap_rook"] = build("SELECT focal, neighbour FROM snapped WHERE n >= 2", "snapped")
 SQL["adjacency_islands"] = build(

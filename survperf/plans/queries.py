@@ -180,6 +180,15 @@ def check_issues(spark, folder):
     return _issues(checks.check_model_inputs(_spoiled(spark, folder), population, regions, regions, 2))
 
 
+@query
+def check_findings(spark, folder):
+    """Each district that a rule finds in spoiled daily counts and populations, which grow with the tables."""
+    daily = td.orders(spark, folder).select("district", F.to_date("day").alias("month"), F.when(F.col("orderkey") % 97 == 0, -1.0).when(F.col("orderkey") % 89 == 0, 0.5).otherwise(F.lit(1.0)).alias("count"))
+    people = td.orders(spark, folder).select("district", F.year("day").alias("year"), F.when(F.col("orderkey") % 83 == 0, 0.0).when(F.col("orderkey") % 79 == 0, -1.0).otherwise(F.col("price")).alias("pop"))
+    found = checks.model_findings(daily, people)
+    return found.filter(F.col("code").isin("cases_invalid_count", "cases_negative", "pop_negative", "pop_zero", "cases_duplicates")).select("severity", "code", "id", "n")
+
+
 @query
 def check_id_reconcile(spark, folder):
     found = checks.check_model_inputs(td.panel(spark, folder), regions=td.areas(spark, folder).filter("area <> '1'"))
