@@ -76,6 +76,21 @@ def panel_months(as_of: date, start_year: int = PANEL_START, lag_months: int = L
     return [_shift(first, k) for k in range((last.year - first.year) * 12 + last.month)]
 
 
+def window_of(as_of: Column, window_months: int = WINDOW_MONTHS, lag_months: int = LAG_MONTHS) -> Column:
+    """``window`` of each row's date, as an array of months; null for a null date."""
+    need_count("lag_months", lag_months)
+    need_count("window_months", window_months, 1)
+    last = F.add_months(F.trunc(as_of, "MM"), -lag_months)
+    return F.sequence(F.add_months(last, 1 - window_months), last, F.expr("interval 1 month"))
+
+
+def panel_months_of(as_of: Column, start_year: int = PANEL_START, lag_months: int = LAG_MONTHS) -> Column:
+    """``panel_months`` of each row's date, as an array of months; empty where the panel would start after its last month."""
+    need_count("lag_months", lag_months)
+    first, last = F.make_date(F.lit(start_year), F.lit(1), F.lit(1)), F.add_months(F.trunc(as_of, "MM"), -lag_months)
+    return F.when(first <= last, F.sequence(first, last, F.expr("interval 1 month"))).when(last.isNotNull(), F.array().cast("array<date>"))
+
+
 def months_frame(spark: SparkSession, months: list[date]) -> DataFrame:
     """(month): the months as rows, made by Spark."""
     return spark.createDataFrame([(m,) for m in months], "month date").distinct()

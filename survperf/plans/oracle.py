@@ -100,8 +100,12 @@ def r(*names: str) -> str:
 POP = "SELECT district, year, pop FROM annual"
 SQL["case_date"] = build("SELECT case_id, date FROM cases", "cases")
 SQL["case_records"] = build("SELECT unit, polio, month FROM records", "records")
-SQL["panel_months"] = build("SELECT month FROM allmonths", "allmonths")
-SQL["window_months"] = "SELECT CAST(unnest(generate_series(DATE '1999-01-01', DATE '1999-12-01', INTERVAL 1 MONTH)) AS DATE) AS month"
+SQL["panel_months"] = """
+WITH l AS (SELECT o_custkey AS custkey, CAST(max(o_orderdate) AS DATE) AS as_of FROM orders GROUP BY 1),
+m AS (SELECT *, CAST(date_trunc('month', as_of) - INTERVAL 1 MONTH AS DATE) AS closed FROM l)
+SELECT custkey, as_of, CASE WHEN closed >= DATE '1995-01-01' THEN DATE '1995-01-01' END AS first, CASE WHEN closed >= DATE '1995-01-01' THEN closed END AS last,
+  CAST(greatest(date_diff('month', DATE '1995-01-01', closed) + 1, 0) AS BIGINT) AS n FROM m"""
+SQL["window_months"] = build("SELECT CAST(date_trunc('month', day) - to_months(CAST(k AS INTEGER)) AS DATE) AS month, count(*) AS n FROM ord, range(1, 13) r(k) GROUP BY 1", "ord")
 SQL["case_panel"] = build(
     """SELECT a.district, m.month, CAST(coalesce(n, 0) AS INTEGER) AS count FROM areas a CROSS JOIN allmonths m
     LEFT JOIN (SELECT unit, month, count(*) AS n FROM records WHERE NOT polio GROUP BY 1, 2) c ON c.unit = a.district AND c.month = m.month""",
@@ -120,7 +124,7 @@ SQL["pop_panel"] = build(
     extra={"seen": "SELECT * FROM annual WHERE NOT (district IN ('3', '7') AND year IN (1996, 1998)) AND district <> '9' AND pop > 0", "idx": "SELECT year, sum(pop) AS total FROM seen WHERE district IN (SELECT district FROM seen GROUP BY 1 HAVING count(*) = (SELECT count(DISTINCT year) FROM seen)) GROUP BY 1"},
 )
 SQL["stool_adequacy"] = build("SELECT unit, n_stool, n_adequate, round(100.0 * n_adequate / n_stool, 6) AS pct_adequate FROM stool", "stool")
-SQL["seasonal_features"] = build("SELECT month, " + ", ".join(f"round({f}(2 * pi() * {k} * month(month) / 12), 6) + 0.0 AS {f}{12 // k}" for k in (1, 2) for f in ("sin", "cos")) + " FROM allmonths", "allmonths")
+SQL["seasonal_features"] = build("SELECT month, " + ", ".join(f"round({f}(2 * pi() * {k} * month(month) / 12), 6) + 0.0 AS {f}{12 // k}" for k in (1, 2) for f in ("sin", "cos")) + " FROM (SELECT DISTINCT month FROM ord)", "ord")
 SQL["covariate_standardise"] = build(
     "SELECT district, year, round((observed - avg(observed) OVER ()) / stddev_samp(observed) OVER (), 6) AS x_observed, round((ln(1 + pop) - avg(ln(1 + pop)) OVER ()) / stddev_samp(ln(1 + pop)) OVER (), 6) AS x_pop, CAST(NULL AS DOUBLE) AS x_flat FROM annual", "annual"
 )

@@ -61,12 +61,18 @@ def case_records(spark, folder):
 
 @query
 def panel_months(spark, folder):
-    return prepare.months_frame(spark, prepare.panel_months(AS_OF, START))
+    """The panel at the last order of each customer: its first and last month and their number."""
+    orders = td.table(spark, folder, "orders")
+    last = orders.groupBy(F.col("o_custkey").alias("custkey")).agg(F.to_date(F.max("o_orderdate")).alias("as_of"))
+    months = last.withColumn("m", prepare.panel_months_of(F.col("as_of"), START))
+    return months.select("custkey", "as_of", F.array_min("m").alias("first"), F.array_max("m").alias("last"), F.size("m").cast("long").alias("n"))
 
 
 @query
 def window_months(spark, folder):
-    return prepare.months_frame(spark, WINDOW)
+    """How many orders have each month in the window that is closed at their day."""
+    days = td.orders(spark, folder).select(F.explode(prepare.window_of(F.col("day"), 12, 1)).alias("month"))
+    return days.groupBy("month").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query
@@ -99,7 +105,7 @@ def stool_adequacy(spark, folder):
 
 @query
 def seasonal_features(spark, folder):
-    months = prepare.months_frame(spark, prepare.panel_months(AS_OF, START))
+    months = td.orders(spark, folder).select("month").distinct()
     return months.select("month", *[v.alias(k) for k, v in prepare.seasonal_features(F.col("month")).items()])
 
 

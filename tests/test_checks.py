@@ -11,3 +11,17 @@ def test_findings_list_all_ids(spark):
     got = {r.code: (r.n, r["ids"]) for r in checks.check_model_inputs(cases, regions=regions).collect()}
     names = [f"D{i:05d}" for i in range(1500)]
     assert got["cases_negative"] == (1500, names) and got["cases_id_not_in_shapefile"] == (1300, names[200:])
+
+
+def test_months_of_rows_are_those_of_dates(spark):
+    from datetime import date
+
+    from pyspark.sql import functions as F
+
+    from survperf.operators import prepare
+
+    days = [date(2020, 1, 31), date(2021, 12, 1), date(2015, 6, 5), date(2016, 2, 1), None]
+    rows = spark.createDataFrame([(d,) for d in days], "d date").select("d", prepare.window_of(F.col("d"), 5, 2).alias("w"), prepare.panel_months_of(F.col("d"), 2016).alias("p")).collect()
+    for r in rows:
+        assert r.w == (prepare.window(r.d, 5, 2) if r.d else None)
+        assert r.p == (None if r.d is None else [] if r.d < date(2016, 2, 1) else prepare.panel_months(r.d, 2016))
