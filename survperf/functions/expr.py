@@ -79,28 +79,31 @@ def poisson_lower(k: Column, rate: Column) -> Column:
 
     @F.pandas_udf("double")
     def tail(k: pd.Series, rate: pd.Series) -> pd.Series:
-        pairs = zip(k.to_numpy(float), rate.to_numpy(float), strict=True)
-        return pd.Series([poisson_cdf(int(a), b) if np.isfinite(a) and np.isfinite(b) and b > 0 else None for a, b in pairs], dtype=object)
+        a, b = k.to_numpy(float), rate.to_numpy(float)
+        known = np.isfinite(a) & np.isfinite(b) & (b > 0)
+        out = np.full(len(a), None, object)
+        out[known] = poisson_cdf(np.trunc(a[known]), b[known])
+        return pd.Series(out)
 
     return tail(k.cast("double"), rate.cast("double"))
 
 
-def poisson_cdf(k: int, rate: float) -> float:
-    """P(X <= k): the shorter tail, summed by ratios from its largest term."""
-    if k < 0:
-        return 0.0
+def poisson_cdf(k: np.ndarray, rate: np.ndarray) -> np.ndarray:
+    """P(X <= k) of each row: the shorter tail, summed by ratios from its largest term, all rows a term at a time."""
+    shape = np.shape(k)
+    k, rate = np.atleast_1d(np.asarray(k, float)), np.atleast_1d(np.asarray(rate, float))
     lower = k <= rate
-    n = k if lower else k + 1
-    term = total = 1.0
-    while term > 1e-17 * total:
-        term = term * n / rate if lower else term * rate / (n + 1)
-        n += -1 if lower else 1
-        total += term
-        if lower and n <= 0:
-            break
-    first = k if lower else k + 1
-    tail = total * math.exp(first * math.log(rate) - rate - math.lgamma(first + 1))
-    return min(1.0, tail) if lower else max(0.0, 1 - tail)
+    first = np.where(lower, k, k + 1)
+    n, term, total = first.copy(), np.ones(len(k)), np.ones(len(k))
+    left = k >= 0
+    while left.any():
+        term = np.where(left, term * np.where(lower, n / rate, rate / np.maximum(n + 1, 1)), 0.0)
+        n = n + np.where(lower, -1, 1)
+        total = total + term
+        left &= (term > 1e-17 * total) & (~lower | (n > 0))
+    logs = first * np.log(rate) - rate - np.array([math.lgamma(max(f, -0.5) + 1) for f in first])
+    tail = total * np.exp(logs)
+    return np.where(k < 0, 0.0, np.where(lower, np.minimum(1.0, tail), np.maximum(0.0, 1 - tail))).reshape(shape)
 
 
 def binomial_two_sided(b: int, c: int) -> float:

@@ -73,7 +73,7 @@ def panel(spark: SparkSession, folder: str) -> DataFrame:
 def draws(p: DataFrame, n: int = DRAWS, first: int = 1998) -> DataFrame:
     """(district, month, draw, expected): deterministic draws around each district's mean month of a panel."""
     base = p.groupBy("district").agg(F.avg("count").alias("base"))
-    cells = p.filter(F.year("month") >= first).join(F.broadcast(base), "district").select("district", "month", "base")
+    cells = p.filter(F.year("month") >= first).join(base, "district").select("district", "month", "base")
     noise = F.sin(F.col("draw") * 1.7 + F.col("district").cast("int") + F.month("month"))
     drawn = cells.select("*", F.explode(F.sequence(F.lit(1), F.lit(n))).alias("draw"))
     return drawn.select("district", "month", "draw", (F.col("base") * F.exp(F.lit(0.2) * noise)).alias("expected"))

@@ -25,3 +25,16 @@ def test_months_of_rows_are_those_of_dates(spark):
     for r in rows:
         assert r.w == (prepare.window(r.d, 5, 2) if r.d else None)
         assert r.p == (None if r.d is None else [] if r.d < date(2016, 2, 1) else prepare.panel_months(r.d, 2016))
+
+
+def test_poisson_tails_of_many_rows():
+    import math
+
+    import numpy as np
+
+    from survperf.functions.expr import poisson_cdf
+
+    k = np.array([0, 0, 1, 3, 10, 100, 7, -1, 1200], float)
+    rate = np.array([1e-9, 2.0, 5.0, 3.0, 2.0, 80.0, 700.0, 3.0, 1000.0])
+    want = [0.0 if a < 0 else math.fsum(math.exp(i * math.log(r) - r - math.lgamma(i + 1)) for i in range(int(a) + 1)) for a, r in zip(k, rate, strict=True)]
+    assert np.allclose(poisson_cdf(k, rate), want, rtol=1e-10, atol=1e-300)
