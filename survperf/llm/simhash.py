@@ -14,7 +14,10 @@ distinct fingerprints before any block is made, so copies never multiply. With d
 slack the 64 bits are cut into d + 2 blocks: a linked pair agrees on at least two of them, and
 is found under one of the C(d + 2, 2) block pairs. Blocks with more than ``hot`` members are cut
 further: the other bits are cut into d + 1 parts, one of which a linked pair shares too.
-Components come from alternating large and small stars over checkpointed edges.
+Each member is tried with a few hubs of its block first, and then only members of different components in blocks that hold
+several, so a family of near copies makes about as many links as it has members. Components come from alternating large and
+small stars over checkpointed edges. Fingerprints of more than one row in ``OFTEN`` are fewer than ``OFTEN``: their rows meet
+them by a broadcast, so no task holds all rows of one fingerprint.
 """
 
 from __future__ import annotations
@@ -35,6 +38,12 @@ WORDS = 3
 DISTANCE = 3
 #: Members beyond which a block is cut further.
 HOT = 256
+#: Members of a block that all others in it are tried with first.
+HUBS = 3
+#: Fingerprints of a larger share of the rows than one in so many are joined by a broadcast.
+OFTEN = 1000
+#: What names a block.
+BLOCK = ["t", "key", "part", "sub"]
 
 
 def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -96,8 +105,8 @@ def _spread(fp: Column, free: list[tuple[int, int]], parts: int) -> list[Column]
     return keys
 
 
-def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
-    """Pairs (a, b), a < b, of the distinct fingerprints in ``prints.fp`` that are linked."""
+def in_blocks(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """(fp, t, key, part, sub): the distinct fingerprints in ``prints.fp`` in each of their blocks; a linked pair shares one."""
     blocks = distance + 2
     cuts = _cuts(64, blocks)
     ranges = list(zip(cuts, cuts[1:], strict=False))
@@ -112,20 +121,45 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     sizes = cut(rows.groupBy("t", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("t", "key"))
     whole = F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub")))
     if sizes.isEmpty():
-        keyed = rows.select("fp", "t", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
-    else:
-        rest = F.element_at(F.array(*rests), F.col("t") + 1)
-        parts = F.transform(rest, lambda x, i: F.struct(i.alias("part"), x.alias("sub")))
-        marked = rows.join(sizes.withColumn("is_hot", F.lit(True)), ["t", "key"], "left")
-        keyed = marked.select("fp", "t", "key", F.explode(F.when(F.col("is_hot"), parts).otherwise(whole)).alias("x")).select("fp", "t", "key", "x.part", "x.sub")
-    on = ["t", "key", "part", "sub"]
+        return rows.select("fp", "t", "key", F.lit(-1).alias("part"), F.lit(0).cast("long").alias("sub"))
+    rest = F.element_at(F.array(*rests), F.col("t") + 1)
+    parts = F.transform(rest, lambda x, i: F.struct(i.alias("part"), x.alias("sub")))
+    marked = rows.join(sizes.withColumn("is_hot", F.lit(True)), ["t", "key"], "left")
+    return marked.select("fp", "t", "key", F.explode(F.when(F.col("is_hot"), parts).otherwise(whole)).alias("x")).select("fp", "t", "key", "x.part", "x.sub")
+
+
+def _near(a: Column, b: Column, distance: int) -> Column:
+    return F.bit_count(a.bitwiseXOR(b)) <= distance
+
+
+def _met(keyed: DataFrame, distance: int, *also: Column) -> DataFrame:
+    """Pairs (a, b), a < b, of one block of ``keyed`` that are linked."""
     a, b = keyed.alias("a"), keyed.alias("b")
-    near = F.bit_count(F.col("a.fp").bitwiseXOR(F.col("b.fp"))) <= distance
-    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in on]
-    pairs = a.join(b, [*same, F.col("a.fp") < F.col("b.fp"), near])
+    same = [F.col(f"a.{c}") == F.col(f"b.{c}") for c in BLOCK]
+    pairs = a.join(b, [*same, *also, F.col("a.fp") < F.col("b.fp"), _near(F.col("a.fp"), F.col("b.fp"), distance)])
     return pairs.select(F.col("a.fp").alias("a"), F.col("b.fp").alias("b")).distinct()
 
 
+def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct fingerprints in ``prints.fp`` that are linked: all of them."""
+    return _met(in_blocks(prints, distance, hot), distance)
+
+
+def star_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, hubs: int = HUBS) -> DataFrame:
+    """As many of the pairs of ``links`` as join all that it joins: links to hubs, then links across what these leave apart."""
+    keyed = in_blocks(prints, distance, hot)
+    fp = F.col("fp")
+    chosen = [F.min(F.struct(F.xxhash64(F.lit(i), fp).alias("o"), fp))["fp"] for i in range(hubs)]
+    groups = keyed.groupBy(*BLOCK).agg(F.min(fp).alias("lo"), F.max(fp).alias("hi"), F.array(*chosen).alias("hubs")).filter("lo < hi").drop("lo", "hi")
+    crowded = cut(keyed.join(groups, BLOCK))
+    tried = crowded.select("fp", F.explode("hubs").alias("hub")).filter((fp != F.col("hub")) & _near(fp, F.col("hub"), distance))
+    found = cut(tried.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
+    roots = components(found)
+    rooted = cut(crowded.drop("hubs").join(roots, fp == F.col("node"), "left").select("fp", *BLOCK, F.coalesce("root", "fp").alias("root")))
+    apart = rooted.groupBy(*BLOCK).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*BLOCK)
+    return found.unionAll(_met(rooted.join(apart, BLOCK, "left_semi"), distance, F.col("a.root") != F.col("b.root")))
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with a link other than roots.
 
@@ -151,14 +185,17 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def grouped(df: DataFrame, id_col: str, text_col: str, words: int = WORDS, distance: int = DISTANCE, hot: int = HOT) -> DataFrame:
     """(id, fp, root, component_id) for every row of ``df``; root is the component's smallest fingerprint."""
     rows = cut(df.select(F.col(id_col).alias("id"), with_fingerprint(df, text_col, words).alias("fp")))
-    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("rep")))
-    roots = components(links(prints.select("fp"), distance, hot))
+    prints = cut(rows.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")))
+    roots = components(star_links(prints.select("fp"), distance, hot))
     joined = cut(
-        prints.join(roots, prints.fp == roots.node, "left").select("fp", "rep", F.coalesce("root", "fp").alias("root"))
+        prints.join(roots, prints.fp == roots.node, "left").select("fp", "rep", "n", F.coalesce("root", "fp").alias("root"))
     )
     least = cut(joined.groupBy("root").agg(F.min("rep").alias("component_id")))
-    named = cut(joined.join(least, "root").select("fp", "root", "component_id"))
-    return rows.join(named, "fp").select("id", "fp", "root", "component_id")
+    total = prints.agg(F.sum("n").alias("n")).first().n or 0
+    named = cut(joined.join(least, "root").select("fp", "root", "component_id", (F.col("n") * OFTEN > total).alias("often")))
+    often, seldom = F.broadcast(named.filter("often").drop("often")), named.filter("not often").drop("often")
+    both = rows.join(often, "fp").unionByName(rows.join(often.select("fp"), "fp", "left_anti").join(seldom, "fp"))
+    return both.select("id", "fp", "root", "component_id")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options: int) -> DataFrame:

@@ -2,9 +2,10 @@
 
 import time
 
+import numpy as np
 import pytest
 
-from survperf.llm import html, quality, toxicity
+from survperf.llm import html, quality, simhash, toxicity
 
 STORY = "<article><p>Story of the day.</p></article>"
 
@@ -54,3 +55,27 @@ def test_a_stem_and_a_word_under_one_key():
     auto = toxicity.Model(entries={"idiot": 1.0, "=idiot": 3.0, "=fool": 2.0}, exceptions=("fool",)).automaton()
     assert toxicity.matches("idiots idiot", auto) == [(0, 5, 1.0), (7, 12, 3.0)]
     assert toxicity.matches("fool fools", auto) == []
+
+
+def test_simhash_family_makes_few_links(spark):
+    """A family makes links near its size, and families that only meet away from their hubs are joined too."""
+    rng = np.random.default_rng(5)
+    prints = set()
+    for centre in (int(rng.integers(0, 1 << 62)), int(rng.integers(0, 1 << 62))):
+        family = {centre}
+        while len(family) < 2000:
+            family.add(centre ^ sum(1 << int(b) for b in rng.choice(64, rng.integers(1, 4), replace=False)))
+        prints |= family
+    # a path of steps of three bits, on which a hub reaches its neighbours alone
+    at = int(rng.integers(0, 1 << 62))
+    for k in range(18):
+        prints.add(at)
+        at ^= 7 << 3 * k
+    signed = [p - (1 << 64) if p >> 63 else p for p in sorted(prints)]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    whole, few = simhash.links(df), simhash.star_links(df).collect()
+    assert {tuple(r) for r in few} <= {tuple(r) for r in whole.collect()}
+    # each member is tried in at most as many blocks, with three hubs in each
+    assert len(few) < 12 * len(signed) < whole.count()
+    want, got = (dict(map(tuple, simhash.components(e).collect())) for e in (whole, spark.createDataFrame(few, "a long, b long")))
+    assert got == want
