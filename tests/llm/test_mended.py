@@ -5,7 +5,7 @@ import time
 import numpy as np
 import pytest
 
-from survperf.llm import html, quality, simhash, toxicity
+from survperf.llm import html, media, quality, sharding, simhash, toxicity
 
 STORY = "<article><p>Story of the day.</p></article>"
 
@@ -79,3 +79,37 @@ def test_simhash_family_makes_few_links(spark):
     assert len(few) < 12 * len(signed) < whole.count()
     want, got = (dict(map(tuple, simhash.components(e).collect())) for e in (whole, spark.createDataFrame(few, "a long, b long")))
     assert got == want
+
+
+def test_shards_in_few_lanes(spark):
+    """Many buckets in few partitions: the same order under other session partitions, each record once."""
+    rows = spark.range(3000).selectExpr("id", "repeat('x', cast(id % 50 as int)) as text")
+    before, got, plans = spark.conf.get("spark.sql.shuffle.partitions"), [], []
+    try:
+        for partitions, df in (("4", rows), ("7", rows.repartition(5))):
+            spark.conf.set("spark.sql.shuffle.partitions", partitions)
+            got.append(sorted((r.shard, r.slot, r.id) for r in sharding.shuffle_into_shards(df, bucket_bytes=1024, lanes=3).collect()))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got[0] == got[1]
+    assert [(s, n) for s, n, _ in got[0]] == sorted((k % 8, k // 8) for k in range(3000))
+    order = [i for _, _, i in sorted(got[0], key=lambda r: (r[1], r[0]))]
+    assert sorted(order) == list(range(3000))
+    # a uniform order: about half of the neighbours ascend, and places are not tied to ids
+    assert 1350 < sum(a < b for a, b in zip(order, order[1:])) < 1650
+    assert abs(np.corrcoef(order, np.arange(3000))[0, 1]) < 0.1
+
+
+def test_shards_of_maps(spark):
+    rows = [(1, {"b": 2, "a": 1}, [{"k": 1}, None], ({"x": 1},)), (1, {"a": 1, "b": 2}, [{"k": 1}, None], ({"x": 1},)), (2, None, None, None), (3, {}, [], (None,)), (3, {"a": None}, [{}], ({},))]
+    df = spark.createDataFrame(rows, "id long, m map<string,long>, a array<map<string,long>>, s struct<z:map<string,long>>")
+    got = sharding.shuffle_into_shards(df, least_buckets=2, lanes=1)
+    assert got.schema["m"].dataType == df.schema["m"].dataType and got.columns == [*df.columns, "shard", "slot"]
+    show = lambda r: str((r.id, r.m and sorted(r.m.items()), r.m is None, r.a, r.s))
+    assert sorted(map(show, got.collect())) == sorted(map(show, df.collect()))
+
+
+def test_media_keeps_all_columns(spark):
+    df = spark.createDataFrame([(1, "ab", "own", "row", 5)], "doc_id long, text string, _m string, row string, made int")
+    row = media.with_media(df).first()
+    assert (row._m, row.row, row.made, row.n_bytes, len(row.payload)) == ("own", "row", 5, 2, 64)
