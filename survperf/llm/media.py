@@ -109,8 +109,9 @@ def with_media(df: DataFrame, text_col: str = "text") -> DataFrame:
             yield pd.DataFrame(rows, columns=["media", "payload", "n_bytes", "landmarks"])
 
     names = ["media", "payload", "n_bytes", "landmarks"]
-    kept = [c for c in df.columns if c not in names]
-    return df.withColumn("_m", make(F.col(text_col))).select(*kept, *[f"_m.{n}" for n in names])
+    # the input's columns stay inside a struct, so that none has a name of ours
+    made = df.select(F.struct("*").alias("row"), make(F.col(text_col)).alias("made"))
+    return made.select(*[F.col("row")[c].alias(c) for c in df.columns if c not in names], *[f"made.{n}" for n in names])
 
 
 def fingerprint_of(marks: np.ndarray | list[int]) -> str:
