@@ -11,7 +11,9 @@ from pathlib import Path
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from survperf.operators.compare import NPAFP_TARGET
 from survperf.operators.guide import VERDICTS, scan_table, worked_examples
+from survperf.operators.maps import locator_svg
 
 HISTOGRAM_BINS, ENDS, MAX_ROWS, THIN = 50, 20, 50, 5
 #: Colours of the review labels.
@@ -134,24 +136,105 @@ def resolve(guide: DataFrame, district: str, name_col: str | None = None) -> str
     raise ValueError(f"no district {district}" + (f"; near are {', '.join(near)}" if near else ""))
 
 
-def pager(guide: DataFrame, district: str, year: int, name_col: str | None = None, note: str | None = None, file: str | None = None) -> str:
-    """One district's page: the label, its components, its series, and what they do not say."""
+def series_svg(rows: list[dict], cut: float = 1.0, width: int = 360, height: int = 130) -> str:
+    """A district's index by year with its interval, the cut, and years with detections: filled diamonds of cases, open circles of the environment."""
+    usable = lambda v: v is not None and math.isfinite(v)
+    held = [r[c] for r in rows for c in ("spi_median", "spi_q95") if usable(r.get(c))]
+    if not held:
+        return f'<svg width="{width}" height="{height}"></svg>'
+    first, last, top = rows[0]["year"], rows[-1]["year"], 1.05 * max([*held, cut])
+    x = lambda year: 30 + (year - first) * (width - 50) / max(1, last - first)
+    y = lambda v: 10 + (1 - v / top) * (height - 40)
+    out, runs = [], [[]]
+    for i, r in enumerate(rows):
+        if runs[-1] and (not usable(r["spi_median"]) or r["year"] != rows[i - 1]["year"] + 1):
+            runs.append([])
+        if usable(r["spi_median"]):
+            runs[-1].append(r)
+    for run in filter(None, runs):
+        if all(usable(r.get("spi_q05")) and usable(r.get("spi_q95")) for r in run):
+            there, back = [f"{x(r['year']):.1f},{y(r['spi_q95']):.1f}" for r in run], [f"{x(r['year']):.1f},{y(r['spi_q05']):.1f}" for r in reversed(run)]
+            out.append(f'<polygon class="interval" points="{" ".join(there + back)}" fill="#ccc" stroke="#ccc"/>')
+        out.append(f'<polyline fill="none" stroke="#333" points="{" ".join(f"{x(r["year"]):.1f},{y(r["spi_median"]):.1f}" for r in run)}"/>')
+        out.extend(f'<circle cx="{x(r["year"]):.1f}" cy="{y(r["spi_median"]):.1f}" r="2"/>' for r in run)
+    out.append(f'<line class="rule" x1="30" x2="{width - 20}" y1="{y(cut):.1f}" y2="{y(cut):.1f}" stroke="#b2182b" stroke-dasharray="4"/>')
+    for column, mark in (("afp_years", '<path class="afp" d="M{0:.1f},{1}l4,4l-4,4l-4,-4Z" fill="#333"/>'), ("es_years", '<circle class="es" cx="{0:.1f}" cy="{2}" r="3.5" fill="none" stroke="#333"/>')):
+        # each row tells the years up to its own, so the last one tells all
+        seen = {int(v) for r in rows for v in re.findall("[0-9]{4}", str(r.get(column) or ""))}
+        out.extend(mark.format(x(v), height - 29, height - 25) for v in sorted(seen) if first <= v <= last)
+    out.extend(f'<text x="{x(v):.1f}" y="{height - 6}" font-size="9" text-anchor="middle">{v}</text>' for v in sorted({first, last}))
+    return f'<svg class="series" width="{width}" height="{height}">{"".join(out)}</svg>'
+
+
+def probability_text(probability: float) -> str:
+    """The probability of an index under 1, no finer than draws tell it."""
+    if not 0 <= probability <= 1:
+        raise ValueError("a probability lies between 0 and 1")
+    told = "over 99%" if probability > 0.99 else "under 1%" if probability < 0.01 else f"{100 * probability:.0f}%"
+    return f"Probability of an index under 1: {told}"
+
+
+def region_text(region: dict) -> str:
+    """The region's name, index and rank, as far as they are given."""
+    parts = [f"Region {region['name']}"] if region.get("name") is not None else []
+    if region.get("spi") is not None:
+        parts.append(f"index {region['spi']:.2f}")
+    if region.get("rank") is not None:
+        parts.append(f"rank {region['rank']}" + (f" of {region['n']}" if region.get("n") is not None else "") + ", lowest first")
+    return "; ".join(parts)
+
+
+def share_text(pct: float | None, n: int | None = None) -> str:
+    """A percentage with its number of cases; of few cases a fraction, as it is not assessed."""
+    if pct is None or n == 0:
+        return "no case to assess" if n == 0 else "–"
+    if n is None:
+        return f"{pct:.0f}%"
+    return f"{pct:.0f}% of {n}" if n >= THIN else f"{round(pct * n / 100)} of {n}, not assessed"
+
+
+def indicator_strip(rows: list[dict], year: int, target: float) -> str:
+    """The conventional rate over the years against its target, and a tile for each percentage of the year; ``x_pct`` is of ``x_n`` cases."""
+    own = next((r for r in rows if r["year"] == year), {})
+    shares = [c[: -len("_pct")] for c in own if c.endswith("_pct")]
+    tiles = "".join(f"<li><b>{html.escape(c.replace('_', ' ').capitalize())}</b> {share_text(own[c + '_pct'], own.get(c + '_n'))}</li>" for c in shares)
+    rate = ""
+    if any(r.get("npafp_rate") is not None for r in rows):
+        now = own.get("npafp_rate")
+        told = "no rate this year" if now is None else f"{now:.1f}, {'at or above' if now >= target else 'below'} the target of {target:g}"
+        rate = f"<p>Rate per 100 000: {told}</p>{line_svg([(r['year'], r.get('npafp_rate')) for r in rows], target)}"
+    return f'<section class="indicators">{rate}<ul>{tiles}</ul></section>'
+
+
+def pager(
+    guide: DataFrame, district: str, year: int, name_col: str | None = None, note: str | None = None, file: str | None = None, outlines: DataFrame | None = None, province_of: DataFrame | None = None,
+    prob_under: float | None = None, region: dict | None = None, indicators: DataFrame | None = None, npafp_target: float = NPAFP_TARGET, spi_cut: float = 1.0, year_label: str | None = None,
+) -> str:
+    """One district's page: the label, its components, its series, and what they do not say.
+
+    ``outlines`` (district, part, ring, seq, x, y) of the whole country adds a map of where the district lies, ``province_of`` (district,
+    province) the provinces in it; ``region`` has any of name, spi, rank and n; ``indicators`` is (district, year) with npafp_rate and
+    percentages. None of these changes the label.
+    """
     own = resolve(guide, district, name_col)
     rows = sorted((r.asDict() for r in guide.filter(F.col("district") == own).collect()), key=lambda r: r["year"])  # one district's years
     focal = next((r for r in rows if r["year"] == year), None)
     if focal is None:
         raise ValueError(f"no row for district {own} in {year}")
-    title = html.escape(str(focal.get(name_col) or own))
+    title, period = html.escape(str(focal.get(name_col) or own)), html.escape(year_label or str(year))
     verdict, colour = focal["verdict"], COLOURS[focal["verdict"]]
     thin = focal.get("n_cases") is not None and focal["n_cases"] < THIN
     names = {"spi_median": "Index", "observed": "Observed", "expected_total": "Expected", "npafp_rate": "Rate per 100 000", "extent_concern": "Extent", "persistence_concern": "Persistence", "pct_transport_timely": "Timely transport, %", "pct_adequate": "Adequate stools, %", "neighbour_spi": "Neighbours' index", "seasonal": "Seasonal", "trajectory": "Trend"}
     tiles = "".join(f"<li><b>{html.escape(label)}</b> {_text(focal[c])}</li>" for c, label in names.items() if c in focal)
-    series = line_svg([(r["year"], r["spi_median"]) for r in rows], 1.0)
+    told = [t for t in (region_text(region) if region else "", probability_text(prob_under) if prob_under is not None else "") if t]
+    head = "".join(f'<p class="context">{html.escape(t)}</p>' for t in told)
+    where = locator_svg(outlines, own, province_of, colour) if outlines is not None else ""
+    strip = indicator_strip(sorted((r.asDict() for r in indicators.filter(F.col("district") == own).collect()), key=lambda r: r["year"]), year, npafp_target) if indicators is not None else ""
     more = "<p>Fewer than five cases: percentages are not assessed.</p>" if thin else ""
     remark = f"<p>{html.escape(note)}</p>" if note else ""
     page = (
-        f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title} {year}</title></head><body><h1>{title}, {year}</h1>'
-        f'<p style="border-left:6px solid {colour};padding-left:8px">{html.escape(verdict)}</p><ul>{tiles}</ul>{series}{more}{remark}'
+        f'<!DOCTYPE html><html lang="en"><head><meta charset="utf-8"><title>{title} {period}</title></head><body><h1>{title}, {period}</h1>{where}'
+        f'<p style="border-left:6px solid {colour};padding-left:8px">{html.escape(verdict)}</p>{head}<ul>{tiles}</ul>{series_svg(rows, spi_cut)}{strip}{more}{remark}'
         "<p>A low index is a relative shortfall of reports; it does not tell why, nor whether cases were missed.</p></body></html>"
     )
     if file is not None:
