@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -57,6 +58,22 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, instead_of: str | None = None) -> tuple[DataFrame, str]:
+    """``df`` as a table in the shared checkpoint folder, and the table's own folder; the folder ``instead_of`` is removed then.
+
+    A checkpoint keeps its plan's guess of its size, and a join's is the product of its sides': in a loop of joins the guess would
+    double its digits with each round, all of them in the driver. A table read again has the size of its files.
+    """
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    if instead_of:
+        delete_folder(spark, instead_of)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.parquet(path), path
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """``body`` of ``value``, which is evaluated once though ``body`` uses it in lambdas."""
     return F.transform(F.array(value), body)[0]

@@ -16,7 +16,7 @@ is found under one of the C(d + 2, 2) block pairs. Blocks with more than ``hot``
 further: the other bits are cut into d + 1 parts, one of which a linked pair shares too.
 Each member is tried with a few hubs of its block first, and then only members of different components in blocks that hold
 several, so a family of near copies makes about as many links as it has members. Components come from alternating large and
-small stars over checkpointed edges. Fingerprints of more than one row in ``OFTEN`` are fewer than ``OFTEN``: their rows meet
+small stars over edges written as a table in each round. Fingerprints of more than one row in ``OFTEN`` are fewer than ``OFTEN``: their rows meet
 them by a broadcast, so no task holds all rows of one fingerprint.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import cut, small_batches, take_worker
+from survperf.llm.common import cut, small_batches, take_worker, written
 
 WORDS = 3
 DISTANCE = 3
@@ -164,17 +164,19 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, root): the smallest node of each node's component, for nodes with a link other than roots.
 
     ``edges`` has bigint columns a, b. Large stars hang each node's larger neighbours on its
-    smallest one, small stars its smaller ones; a fixed point is a forest of stars.
+    smallest one, small stars its smaller ones; a fixed point is a forest of stars. What is
+    planned in a round does not grow with the rounds before it.
     """
-    now = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now, folder = written(edges.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     for _ in range(rounds):
         both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
+        low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = cut(both.filter("v > u").join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
-        low = cut(large.groupBy("u").agg(F.min("v").alias("m")))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
         hung = large.join(low, "u").select("u", "v", "m")
-        now = cut(hung.select(F.explode(F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.u", "e.v").filter("u <> v").distinct())
+        ends = F.array(F.struct(F.col("u"), F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+        now, folder = written(hung.select(F.explode(ends).alias("e")).select("e.u", "e.v").filter("u <> v").distinct(), folder)
         new = tuple(now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if new == state:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root"))
