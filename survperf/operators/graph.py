@@ -72,7 +72,8 @@ def meeting(points: DataFrame, snap: float = SNAP) -> DataFrame:
     """(p, q): structs of all rows of ``points`` (x, y, ...) and those at most ``snap`` away, a point and itself included.
 
     A spatial hash: a point lies in one cell of ``CELL`` snaps and looks into each that a square around it touches, most often one;
-    what meets there is measured. Points without finite coordinates meet none.
+    what meets there is measured. Points without finite coordinates meet none. Both sides are shuffled, whatever size the planner
+    guesses: vertices made of few bytes in each row of a file would else be broadcast through the driver.
     """
     if snap < 0:
         raise ValueError("snap is not negative")
@@ -81,7 +82,7 @@ def meeting(points: DataFrame, snap: float = SNAP) -> DataFrame:
     rows = points.filter("abs(x) < 1e300 and abs(y) < 1e300")
     home = rows.select(F.struct("*").alias("q"), cell("x", 0.0).alias("gx"), cell("y", 0.0).alias("gy"))
     looks = rows.select(F.struct("*").alias("p"), F.explode(F.sequence(cell("x", -reach), cell("x", reach))).alias("gx"), F.sequence(cell("y", -reach), cell("y", reach)).alias("ys"))
-    met = looks.select("p", "gx", F.explode("ys").alias("gy")).join(home, ["gx", "gy"])
+    met = looks.select("p", "gx", F.explode("ys").alias("gy")).join(home.hint("merge"), ["gx", "gy"])
     dx, dy = F.col("p.x") - F.col("q.x"), F.col("p.y") - F.col("q.y")
     return met.filter(dx * dx + dy * dy <= snap * snap).select("p", "q")
 
@@ -113,7 +114,7 @@ def nearest(seekers: DataFrame, centres: DataFrame, leaf: int = 8) -> DataFrame:
 
     Centres are held in squares of a quadtree, each with the box of its centres and two of them. A seeker goes down from the
     whole map and takes along the squares whose boxes are no farther than the nearest centre known so far: few on
-    each level, so no seeker is held against all centres.
+    each level, so no seeker is held against all centres. Beyond the first levels both sides are shuffled, as in ``meeting``.
     """
     points = cut(centres.filter("abs(cx) < 1e300 and abs(cy) < 1e300").select("district", "cx", "cy"))
     b = points.agg(F.count(F.lit(1)).alias("n"), F.min("cx").alias("x"), F.min("cy").alias("y"), F.max("cx").alias("x2"), F.max("cy").alias("y2")).first()
@@ -129,7 +130,7 @@ def nearest(seekers: DataFrame, centres: DataFrame, leaf: int = 8) -> DataFrame:
     now = seekers.select(F.col("district").alias("focal"), F.col("cx").alias("x"), F.col("cy").alias("y"), here.alias("gx"), here.alias("gy"), F.lit(float("inf")).alias("known"))
     for level in range(depth + 1):
         held = boxes.filter(F.col("level") == level).drop("level")
-        met = now.join(F.broadcast(held) if level < 6 else held, ["gx", "gy"])  # at most 4^level squares
+        met = now.join(F.broadcast(held) if level < 6 else held.hint("merge"), ["gx", "gy"])  # at most 4^level squares
         beside = lambda v, lo, hi: F.greatest(F.col(lo) - F.col(v), F.col(v) - F.col(hi), F.lit(0.0))
         other = F.when(F.col("lo.district") != F.col("focal"), F.col("lo")).otherwise(F.col("hi"))
         away = F.when(other["district"] != F.col("focal"), F.hypot(other["cx"] - F.col("x"), other["cy"] - F.col("y"))).otherwise(F.lit(float("inf")))
@@ -139,13 +140,13 @@ def nearest(seekers: DataFrame, centres: DataFrame, leaf: int = 8) -> DataFrame:
             steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (0, 1) for j in (0, 1)])
             far = far.select("*", F.explode(steps).alias("s")).withColumns({"gx": F.col("gx") * 2 + F.col("s.i"), "gy": F.col("gy") * 2 + F.col("s.j")}).drop("s")
         now = cut(far)
-    found = now.join(placed, ["gx", "gy"]).filter("district <> focal").groupBy("focal").agg(F.min(F.struct(F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("d"), "district")).alias("m"))
+    found = now.join(placed.hint("merge"), ["gx", "gy"]).filter("district <> focal").groupBy("focal").agg(F.min(F.struct(F.hypot(F.col("cx") - F.col("x"), F.col("cy") - F.col("y")).alias("d"), "district")).alias("m"))
     return found.select("focal", F.col("m.district").alias("neighbour"))
 
 
 def attach_islands(edges: DataFrame, centres: DataFrame) -> DataFrame:
     """``edges`` with each district that has none linked, both ways, to the one of the nearest centroid."""
-    islands = cut(centres.join(edges.select(F.col("focal").alias("district")).distinct(), "district", "left_anti"))
+    islands = cut(centres.join(edges.select(F.col("focal").alias("district")).distinct().hint("merge"), "district", "left_anti"))
     if islands.isEmpty():
         return edges
     links = nearest(islands, centres)
