@@ -15,6 +15,8 @@ from survperf.operators.national import observed_of
 from survperf.operators.simple import simple_annual
 
 DRAWS = 20
+#: Keys whose shapes one task makes.
+KEYS_EACH = 1 << 14
 #: Orders whose class matches count as polio, and statuses as surveillance types.
 CLASS_PATTERN, TYPES = "URGENT", ("F", "O")
 
@@ -117,12 +119,18 @@ def vertices(spark: SparkSession, folder: str, shift_from: int = 10**9) -> DataF
     return rows.select(F.col("k").cast("string").alias("district"), F.lit(0).alias("part"), F.lit(0).alias("ring"), "seq", (F.col("k") % 5 + F.col("dx") + F.col("off")).alias("x"), (F.floor(F.col("k") / 5) + F.col("dy") + F.col("off")).alias("y"))
 
 
+def parcel_keys(spark: SparkSession, folder: str) -> DataFrame:
+    """(k): the customers, dealt to as many tasks as their number asks for: a small file is read by one, and its shapes are many times as large."""
+    k = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    return k.repartition(max(1, -(-k.count() // KEYS_EACH)))
+
+
 def parcels(spark: SparkSession, folder: str, apart: int = 0, shake: float = 6e-6) -> DataFrame:
     """(district, part, ring, seq, x, y): a square for each customer, forty to a row, its corners moved by up to ``shake`` so that neighbours' corners lie up to three times as far apart.
 
     With ``apart`` every so many squares lie far from all others.
     """
-    k = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    k = parcel_keys(spark, folder)
     corners = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])])
     rows = k.select("k", F.inline(corners))
     turn = F.col("k") * 12.9898 + F.pmod("seq", F.lit(4)) * 78.233
@@ -144,7 +152,7 @@ PLACED = [(k, 0, 0, 0.0, 0.0, 1.0) for k in range(9)] + [(2, 0, 1, 5.0, 5.0, 0.2
 
 def drawn_parcels(spark: SparkSession, folder: str) -> DataFrame:
     """(district, part, ring, seq, x, y): parcels of nine kinds by ``PLACED``; those of kind 1 cross themselves, those of kind 5 do not close."""
-    k = table(spark, folder, "customer").select(F.col("c_custkey").alias("k"))
+    k = parcel_keys(spark, folder)
     squares = F.broadcast(spark.createDataFrame(PLACED, "kind long, part int, ring int, px double, py double, side double"))
     corners = F.array(*[F.struct(F.lit(i).alias("seq"), F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for i, (dx, dy) in enumerate([(0.0, 0.0), (1.0, 0.0), (1.0, 1.0), (0.0, 1.0), (0.0, 0.0)])])
     rows = k.join(squares, F.col("k") % 9 == F.col("kind")).select("*", F.inline(corners)).filter("kind <> 5 or seq < 4")

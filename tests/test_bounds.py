@@ -1,8 +1,10 @@
 """Vertices made of a few bytes of a file pass neither through the driver nor through one task."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from survperf.operators import graph
+from survperf.sources import testdata as td
 
 
 @pytest.fixture(scope="module")
@@ -23,3 +25,10 @@ def test_islands_are_linked_without_a_broadcast_of_all_centres(spark):
     found = graph.nearest(centres, centres)
     assert "BroadcastHashJoin" not in found._jdf.queryExecution().executedPlan().toString()
     assert {tuple(map(int, r)) for r in found.collect()} == {(0, 1)} | {(k, k - 1) for k in range(1, 2000)}
+
+
+@pytest.mark.parametrize("made", [td.parcels, td.drawn_parcels])
+def test_no_task_makes_the_shapes_of_all_keys(spark, tmp_path, made):
+    spark.range(100_000).selectExpr("id c_custkey").coalesce(1).write.parquet(f"{tmp_path}/customer.parquet")
+    sizes = made(spark, str(tmp_path)).groupBy(F.spark_partition_id()).agg(F.count_distinct("district").alias("n")).collect()
+    assert sum(r.n for r in sizes) == 100_000 and max(r.n for r in sizes) <= 15_000
