@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import cut
+from survperf.llm.common import written
 
 SHARDS = 8
 SEED = 20_240
@@ -33,6 +33,8 @@ BUCKET_BYTES, FIELD_BYTES = 1 << 23, 16
 LEAST_BUCKETS = 32
 #: Partitions that buckets are dealt to, however many buckets there are.
 LANES = 4096
+#: Buckets whose sums are broadcast; those of more are joined by a shuffle.
+MOST_BROADCAST = 100_000
 #: Buckets whose sizes are summed in one group.
 SUMMED = 1024
 
@@ -105,7 +107,7 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     df = df.drop("shard", "slot")
     # the input's columns stay inside a struct, so that none has a name of ours
     records = df.select(F.struct(*[without_maps(F.col(f"`{f.name.replace('`', '``')}`"), f.dataType).alias(f.name) for f in df.schema.fields]).alias("row"))
-    records = cut(records)
+    # only the number of buckets hangs on this sum, so the records are read twice instead of kept
     size = records.agg(F.sum(record_bytes(records.schema["row"].dataType)).alias("n")).first().n or 0
     buckets = max(least_buckets, -(-size // bucket_bytes))
     lanes = min(lanes, buckets)
@@ -113,11 +115,12 @@ def shuffle_into_shards(df: DataFrame, shards: int = SHARDS, seed: int = SEED, b
     dealt = scatter(records, buckets, seed).withColumn("lane", F.col("bucket") % lanes).repartitionById(lanes, F.col("lane"))
     gathered = dealt.groupBy("lane", "bucket").agg(F.sort_array(F.collect_list(F.struct(key, "nth", "row"))).alias("rows"))
     # Fisher-Yates draws from the seed plus the partition's number, for one bucket after the other
-    shuffled = cut(gathered.sortWithinPartitions("bucket").select("bucket", F.shuffle("rows", seed).alias("rows")))
-    bases = prefix_sums(shuffled.select("bucket", F.size("rows").cast("long").alias("n")))
-    placed = shuffled.join(bases, "bucket").select("base", F.posexplode("rows").alias("at", "r"))
+    shuffled = gathered.sortWithinPartitions("bucket").select("bucket", F.posexplode(F.shuffle("rows", seed)).alias("at", "r"))
+    shuffled = written(shuffled.select("bucket", "at", "r.row"))[0]
+    bases = prefix_sums(shuffled.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")))
+    placed = shuffled.join(F.broadcast(bases) if buckets <= MOST_BROADCAST else bases, "bucket")
     number = F.col("base") + F.col("at")
-    own = [with_maps(F.col("r.row")[f.name], f.dataType).alias(f.name) for f in df.schema.fields]
+    own = [with_maps(F.col("row")[f.name], f.dataType).alias(f.name) for f in df.schema.fields]
     return placed.select(*own, (number % shards).cast("int").alias("shard"), F.floor(number / shards).cast("long").alias("slot"))
 
 
