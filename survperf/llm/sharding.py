@@ -4,14 +4,15 @@ Pass one scatters records into memory-sized buckets by a seeded hash; pass two g
 bucket in an array, permutes it by Spark's Fisher-Yates ``shuffle`` and numbers its members. Buckets are dealt
 round to at most ``LANES`` partitions, each of which shuffles its buckets in the order of their numbers: the order follows from
 the seed and the records alone, not from the partitions of a session. The number in the whole shuffled order is the bucket's prefix
-sum plus the place in the bucket; shard = number mod shards, so that counts differ by one at most ("rows"). Records are
-shuffled twice: to count equal ones, and into the buckets.
+sum plus the place in the bucket; shard = number mod shards, so that counts differ by one at most ("rows").
 
 There are so many buckets that their records have about ``BUCKET_BYTES`` each; a record counts the bytes of its
 texts and binaries and ``FIELD_BYTES`` for each other field.
 
 Equal records are counted before they are scattered and dealt out by their copy number, so that
-no repeated row fills a bucket. Groups of equal texts have different ids and scatter evenly.
+no repeated row fills a bucket. Groups of equal texts have different ids and scatter evenly. Hashes of the records tell which
+may be repeated, through a set of bits without misses: only these are shuffled to be counted, whole, before all records are shuffled
+into the buckets.
 
 Defined cases: a null text has no bytes; null ids are a value like any other; maps, at any depth, are
 counted and hashed as their sorted entries and come back as maps; an empty table
@@ -24,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import written
+from survperf.llm.common import bit_set, cut, in_bits, let, written
 
 SHARDS = 8
 SEED = 20_240
@@ -88,8 +89,15 @@ def with_maps(value: Column, kind: T.DataType) -> Column:
 
 def scatter(df: DataFrame, buckets: int, seed: int = SEED) -> DataFrame:
     """(bucket, row, nth): distinct records of ``df.row`` once for each time they occur, scattered."""
-    counted = df.groupBy("row").agg(F.count(F.lit(1)).alias("n"))
-    copies = counted.select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))).alias("nth"))
+    one, own = F.lit(1).cast("long"), F.xxhash64("row")
+    repeated = cut(df.select(own.alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    if count := repeated.count():
+        marked = df.crossJoin(F.broadcast(bit_set(repeated, count))).withColumn("again", let(F.col("bits"), lambda b: in_bits(b, own)))
+        counted = marked.filter("again").groupBy("row").agg(F.count(F.lit(1)).alias("n"))
+        copies = counted.select("row", F.explode(F.sequence(one, F.col("n"))).alias("nth"))
+        copies = copies.unionByName(marked.filter("not again").select("row", one.alias("nth")))
+    else:
+        copies = df.select("row", one.alias("nth"))
     return copies.withColumn("bucket", F.pmod(F.xxhash64(F.lit(seed), "row", "nth"), F.lit(buckets)).cast("int"))
 
 

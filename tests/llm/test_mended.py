@@ -113,3 +113,12 @@ def test_media_keeps_all_columns(spark):
     df = spark.createDataFrame([(1, "ab", "own", "row", 5)], "doc_id long, text string, _m string, row string, made int")
     row = media.with_media(df).first()
     assert (row._m, row.row, row.made, row.n_bytes, len(row.payload)) == ("own", "row", 5, 2, 64)
+
+
+def test_only_records_that_may_repeat_are_shuffled_to_be_counted(spark):
+    rows = spark.range(2000).selectExpr("struct(id, repeat('x', cast(id % 50 as int)) as text) as row")
+    plan = sharding.scatter(rows, 4)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+    both = rows.unionAll(rows.filter("row.id % 500 = 0")).unionAll(rows.filter("row.id = 500"))
+    got = sorted((r.row.id, r.nth) for r in sharding.scatter(both, 4).collect())
+    assert got == sorted([(k, 1) for k in range(2000)] + [(k, 2) for k in (0, 500, 1000, 1500)] + [(500, 3)])
