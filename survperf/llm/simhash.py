@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import cut, small_batches, take_worker, written
+from survperf.llm.common import bit_set, cut, in_bits, small_batches, take_worker, written
 
 WORDS = 3
 DISTANCE = 3
@@ -61,15 +61,19 @@ def shingle_hashes(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.frombuffer(hashes, np.uint8).reshape(-1, 8)
 
 
-def fingerprint(text: str | None, words: int = WORDS) -> int:
-    """Unsigned 64-bit fingerprint of a text."""
-    rows = shingle_hashes(text, words)
+def votes_of(rows: np.ndarray) -> int:
+    """Unsigned 64-bit fingerprint of hashes, the bytes of one in each row: the bits that over half of them have."""
     votes = np.zeros(64, np.int64)
     for at in range(0, len(rows), 1 << 14):
         votes += np.unpackbits(rows[at : at + (1 << 14)], axis=1).sum(0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * votes > len(rows)).tobytes(), "big")
 
 
+def fingerprint(text: str | None, words: int = WORDS) -> int:
+    """Unsigned 64-bit fingerprint of a text."""
+    return votes_of(shingle_hashes(text, words))
+
+
 def with_fingerprint(df: DataFrame, text_col: str, words: int = WORDS) -> Column:
     """Signed 64-bit fingerprint column of ``text_col``."""
     small_batches(df.sparkSession)
@@ -145,15 +149,21 @@ def links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT) -> DataFr
     return _met(in_blocks(prints, distance, hot), distance)
 
 
-def star_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, hubs: int = HUBS) -> DataFrame:
-    """As many of the pairs of ``links`` as join all that it joins: links to hubs, then links across what these leave apart."""
+def hub_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, hubs: int = HUBS) -> tuple[DataFrame, DataFrame]:
+    """The pairs of ``links`` one of which is a hub of a block that holds both, and (fp, block, hubs) of all blocks of several."""
     keyed = in_blocks(prints, distance, hot)
     fp = F.col("fp")
     chosen = [F.min(F.struct(F.xxhash64(F.lit(i), fp).alias("o"), fp))["fp"] for i in range(hubs)]
     groups = keyed.groupBy(*BLOCK).agg(F.min(fp).alias("lo"), F.max(fp).alias("hi"), F.array(*chosen).alias("hubs")).filter("lo < hi").drop("lo", "hi")
     crowded = cut(keyed.join(groups, BLOCK))
     tried = crowded.select("fp", F.explode("hubs").alias("hub")).filter((fp != F.col("hub")) & _near(fp, F.col("hub"), distance))
-    found = cut(tried.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct())
+    return cut(tried.select(F.least("fp", "hub").alias("a"), F.greatest("fp", "hub").alias("b")).distinct()), crowded
+
+
+def star_links(prints: DataFrame, distance: int = DISTANCE, hot: int = HOT, hubs: int = HUBS) -> DataFrame:
+    """As many of the pairs of ``links`` as join all that it joins: links to hubs, then links across what these leave apart."""
+    found, crowded = hub_links(prints, distance, hot, hubs)
+    fp = F.col("fp")
     roots = components(found)
     rooted = cut(crowded.drop("hubs").join(roots, fp == F.col("node"), "left").select("fp", *BLOCK, F.coalesce("root", "fp").alias("root")))
     apart = rooted.groupBy(*BLOCK).agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select(*BLOCK)
@@ -220,9 +230,17 @@ def one_of_each(df: DataFrame, groups: DataFrame, fp: Column, id_col: str) -> Da
     first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "fp"))
     kept = cut(found.groupBy("root").agg(first.alias("k")).select("k.id", "k.fp"))
     repeats = cut(found.groupBy("id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1 or id is null").select("id"))
+    settled = kept.join(repeats, kept.id.eqNullSafe(repeats.id), "left_anti").select("id")
+    # all other ids are in a set of bits; only rows that it may hold are shuffled to be told apart
+    other = cut(found.select("id").distinct().join(settled, "id", "left_anti"))
+    count = other.count()
+    if not count:
+        return df
+    bits = bit_set(other.select(F.xxhash64("id").alias("h")), count).scalar()
+    unsure = in_bits(bits, F.xxhash64("own"))
     # the input's columns stay inside a struct, so that none has a name of ours
     rows = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"))
-    once = rows.join(kept.join(repeats, kept.id.eqNullSafe(repeats.id), "left_anti").select("id"), F.col("own") == F.col("id"), "left_semi").select("row.*")
+    once = rows.filter(~unsure).unionByName(rows.filter(unsure).join(settled, F.col("own") == F.col("id"), "left_semi")).select("row.*")
     if repeats.isEmpty():
         return once
     rest = df.select(F.struct("*").alias("row"), F.col(id_col).alias("own"), fp.alias("own_fp")).join(repeats, F.col("own").eqNullSafe(F.col("id")), "left_semi")

@@ -1,9 +1,10 @@
 """Exact near-copy groups by the Jaccard similarity of word shingles.
 
 Two texts are near copies if their sets of ``WORDS``-word shingles have a Jaccard similarity of
-``SIMILAR`` (a fraction) or more. All such pairs are found, so nothing depends on a chance of
+``SIMILAR`` (a fraction) or more. Candidates come from SimHash fingerprints of the sets, under the blocks and the distance of ``simhash``. Similar sets
+whose fingerprints differ in more bits are found too, so nothing depends on a chance of
 meeting: shingles have one global order, and two sets that similar share one of the first
-n - ceil(SIMILAR n) + 1 shingles of each (prefix filter). Candidates are verified by their whole sets.
+n - ceil(SIMILAR n) + 1 shingles of each (prefix filter), which is asked for sets that the fingerprints have not joined. Candidates are verified by their whole sets.
 
 Defined cases: a null or empty text has no shingles, and such texts are copies of each other; fewer
 words than a shingle make one shingle of all words; rows without an id or with repeated ids are told
@@ -27,8 +28,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from survperf.llm.common import cut, let, small_batches, take_worker
-from survperf.llm.simhash import components, one_of_each, shingle_hashes
+from survperf.llm.common import bit_set, cut, in_bits, let, small_batches, take_worker
+from survperf.llm.simhash import components, hub_links, one_of_each, shingle_hashes, votes_of
 
 WORDS = 5
 #: Least similarity, as numerator and denominator.
@@ -44,7 +45,7 @@ MOST_COMMON = 500_000
 #: Candidates' texts whose hashes are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 
-_SET = "key long, n int, prefix array<long>, bits array<long>"
+_SET = "key long, n int, prefix array<long>, bits array<long>, fp long"
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -52,6 +53,12 @@ def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
     return np.unique(shingle_hashes(text, words).view(">u8").ravel().astype(np.uint64).view(np.int64))
 
 
+def set_print(hashes: np.ndarray) -> int:
+    """Signed SimHash fingerprint of a set."""
+    fp = votes_of(hashes.astype(">i8").view(np.uint8).reshape(-1, 8))
+    return fp - (1 << 64) if fp >> 63 else fp
+
+
 def set_key(hashes: np.ndarray) -> int:
     """Signed 64-bit name of a set; 0 for the empty one."""
     return xxhash.xxh64_intdigest(hashes.tobytes()) - (1 << 63) if len(hashes) else 0
@@ -94,7 +101,7 @@ def common_shingles(df: DataFrame, text_col: str, words: int) -> np.ndarray:
 
 
 def with_set(text: Column, common: np.ndarray, words: int = WORDS) -> Column:
-    """(key, n, prefix, bits) of a text: its set's name and size, the set's first shingles in the global order, and its parities."""
+    """(key, n, prefix, bits, fp) of a text: its set's name and size, the set's first shingles in the global order, its parities and its fingerprint."""
     at = np.argsort(common)
     known = common[at]
 
@@ -109,17 +116,40 @@ def with_set(text: Column, common: np.ndarray, words: int = WORDS) -> Column:
                 often = known[np.minimum(place, len(known) - 1)] == h if len(known) else np.zeros(len(h), bool)
                 order = np.concatenate((h[~often], common[np.sort(at[place[often]])]))
                 least = -(-SIMILAR[0] * len(h) // SIMILAR[1])
-                out.append((set_key(h), len(h), order[: len(h) - least + 1], parity(h)))
-            yield pd.DataFrame(out, columns=["key", "n", "prefix", "bits"])
+                out.append((set_key(h), len(h), order[: len(h) - least + 1], parity(h), set_print(h)))
+            yield pd.DataFrame(out, columns=["key", "n", "prefix", "bits", "fp"])
 
     return sets(text)
 
 
+def distinct_sets(sets: DataFrame) -> DataFrame:
+    """The rows of ``sets``, one of each key. Only those whose key may be repeated, by a set of bits without misses, are shuffled."""
+    repeated = cut(sets.groupBy("key").agg(F.count(F.lit(1)).alias("k")).filter("k > 1").select("key"))
+    count = repeated.count()
+    if not count:
+        return sets
+    marked = sets.crossJoin(F.broadcast(bit_set(repeated, count).withColumnRenamed("bits", "known"))).withColumn("again", let(F.col("known"), lambda b: in_bits(b, F.col("key")))).drop("known")
+    return marked.filter("not again").unionByName(marked.filter("again").dropDuplicates(["key"])).drop("again")
+
+
+def print_pairs(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b), a < b, of the distinct ``sets`` whose fingerprints are linked: one of each fingerprint for links to hubs, and each with the first of its own fingerprint."""
+    named = sets.filter("n > 0").select("key", "fp")
+    prints = cut(named.groupBy("fp").agg(F.min("key").alias("key"), F.max("key").alias("last")))
+    own = prints.select(F.col("fp").alias("p"), F.col("key").alias("first"), "last")
+    twins = own.filter("first < last").drop("last")
+    twins = F.broadcast(twins) if twins.count() <= MOST_BROADCAST else twins
+    same = named.join(twins, F.col("fp") == F.col("p")).filter("key <> first").select(F.col("first").alias("a"), F.col("key").alias("b"))
+    of = lambda c: own.select(F.col("p").alias(c), F.col("first").alias(f"k{c}"))
+    near = hub_links(prints.select("fp"))[0].join(of("a"), "a").join(of("b"), "b")
+    return same.unionAll(near.select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b"))).distinct()
+
+
 def shared_shingles(sets: DataFrame) -> DataFrame:
     """(key, h, n, at, hubs): the prefix shingles of the distinct ``sets`` that several hold, and ``HUBS`` of their keys, by as many orders."""
     # the set's size and the shingle's place in one number: most of what is shuffled here are these rows
     packed = F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("at").cast("long")).alias("p")
-    rows = sets.filter("n > 0").dropDuplicates(["key"]).select("key", "n", F.posexplode("prefix").alias("at", "h")).select("key", "h", packed)
+    rows = sets.filter("n > 0").select("key", "n", F.posexplode("prefix").alias("at", "h")).select("key", "h", packed)
     all_of = Window.partitionBy("h")
     hubs = [F.min(F.struct(F.xxhash64(F.lit(i), "key").alias("o"), "key")).over(all_of)["key"] for i in range(HUBS)]
     held = rows.withColumns({"k": F.count(F.lit(1)).over(all_of), "hubs": F.array(*hubs)}).filter("k > 1")
@@ -170,14 +200,20 @@ def verified(pairs: DataFrame, sets: DataFrame, texts: DataFrame, words: int = W
 
 
 def links(sets: DataFrame, texts: DataFrame, words: int = WORDS) -> DataFrame:
-    """Links (a, b) of the keys in ``sets`` (id, th, key, n, prefix, bits) that join all similar sets; ``texts`` is (id, th, text).
+    """Links (a, b) of the keys in ``sets`` (id, th, key, n, prefix, bits, fp) that join all similar sets; ``texts`` is (id, th, text).
 
-    First each set is tried with a few that hold a shingle of its prefix. Sets that this joins need no other link, so a family of copies makes no pairs beyond these. Then all pairs across families are tried.
+    First sets whose fingerprints are linked are verified. What fingerprints leave apart is met by the prefix filter: each set is tried with a few that hold a shingle of its
+    prefix. Sets that this joins need no other link, so a family of copies makes no pairs beyond these. Then all pairs across families are tried.
     """
-    shared = shared_shingles(sets)
-    marks = cut(sets.join(shared.select("key").distinct(), "key", "left_semi").select("key", "n", "bits").dropDuplicates(["key"]))
+    single = distinct_sets(sets)
+    shared = shared_shingles(single)
+    marks = cut(single.join(shared.select("key").distinct(), "key", "left_semi").select("key", "n", "bits"))
+    near = cut(verified(near_by_bits(print_pairs(single), marks), sets, texts, words))
+    roots = components(near)
     hubs = shared.select("key", F.explode("hubs").alias("hub")).filter("key <> hub").select(F.least("key", "hub").alias("a"), F.greatest("key", "hub").alias("b")).distinct()
-    near = cut(verified(near_by_bits(hubs, marks), sets, texts, words))
+    named = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}"))
+    apart = hubs.join(named("a"), "a", "left").join(named("b"), "b", "left").filter(F.coalesce("ra", "a") != F.coalesce("rb", "b")).select("a", "b")
+    near = near.unionAll(cut(verified(near_by_bits(apart, marks), sets, texts, words)))
     families = components(near)
     pairs = near_by_bits(across(shared, families), marks)
     return near if pairs.isEmpty() else near.unionAll(verified(pairs, sets, texts, words))

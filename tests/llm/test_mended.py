@@ -4,8 +4,9 @@ import time
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from survperf.llm import html, media, quality, sharding, simhash, toxicity
+from survperf.llm import html, media, quality, sharding, similar, simhash, toxicity
 
 STORY = "<article><p>Story of the day.</p></article>"
 
@@ -122,3 +123,16 @@ def test_only_records_that_may_repeat_are_shuffled_to_be_counted(spark):
     both = rows.unionAll(rows.filter("row.id % 500 = 0")).unionAll(rows.filter("row.id = 500"))
     got = sorted((r.row.id, r.nth) for r in sharding.scatter(both, 4).collect())
     assert got == sorted([(k, 1) for k in range(2000)] + [(k, 2) for k in (0, 500, 1000, 1500)] + [(500, 3)])
+
+
+def test_near_copies_are_met_by_their_fingerprints_first(spark):
+    base = [f"w{i}" for i in range(400)]
+    texts = {k: " ".join("x" if i == 7 * k else w for i, w in enumerate(base)) for k in range(1, 6)} | {9: "apart from all others here"}
+    df = spark.createDataFrame([*texts.items(), (10, texts[1])], "doc_id long, text string")
+    sets = similar.distinct_sets(df.select("doc_id", similar.with_set(F.col("text"), np.zeros(0, np.int64)).alias("s")).select("doc_id", "s.*"))
+    rows = {r.key: r for r in sets.collect()}
+    assert sets.count() == len(rows) == 6
+    linked = {(a, b) for a in rows for b in rows if a < b and ((rows[a].fp ^ rows[b].fp) & (1 << 64) - 1).bit_count() <= 3}
+    got = {tuple(r) for r in similar.print_pairs(sets).collect()}
+    assert got and got <= linked
+    assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == [1, 9]
