@@ -1,19 +1,29 @@
-"""Main text of web pages: structure first, then a suffix array over each host's pages.
+"""Main text of web pages: structure, and suffix arrays over each host's pages.
 
 Pages are cut into blocks. Blocks of menus, headers, footers, sidebars, notices, adverts, forms
-and comments go. If the page marks its article (article, main), its blocks are the text, whole:
-articles quote and repeat each other, and what they repeat is content. Where a page marks
-none, boilerplate is what the host repeats: runs of at least ``RUN`` tokens, and whole shorter blocks,
-that occur on two or more distinct pages of the host are cut out, and the unique runs of a block stay.
-
-Runs are sought among the blocks of all pages of the host that lie outside a marked article. The pages of
+and comments go. If the page marks its article (article, main), its blocks are the text, less what the host
+puts at the ends of its articles. Where a page marks none, boilerplate is what the host repeats: runs of at least
+``RUN`` tokens, and whole shorter blocks, that occur on two or more distinct pages of the host are cut out, and
+the unique runs of a block stay.
+
+Articles quote and repeat each other, and most of what they repeat is content: where it stands and how many hold it decides.
+Furniture is what nearly all articles of a host begin or end with. At an end where ``SHARE`` of the host's different articles,
+``FEWEST`` or more, have a block that begins with the same run of ``RUN`` tokens, blocks go from that end inwards as far as they
+are tiled by runs that so many of the articles hold. Articles that such runs make up to more than a half stay whole: they
+are versions of one story. No shorter block goes, and no heading: one ends the way inwards.
+
+For that, each task builds suffix arrays over the token streams of the outermost blocks of the articles that it reads, about
+``GROUP_BYTES`` of text at a time, host by host; they give the runs that begin a block and how many articles hold them, and a shuffle
+adds these up. Only hosts whose articles share an end so far have their different articles shuffled, and their tiles counted likewise.
+
+On pages without an article runs are sought among the blocks of all pages of the host that lie outside a marked article. The pages of
 a host are dealt to tasks in groups of about ``GROUP_BYTES`` of text; in each a suffix array over the
 concatenated token streams finds the distinct runs of ``RUN`` tokens with the smallest and largest page that
-holds them, and the groups' runs are merged by a shuffle, so the result does not depend on how a host is dealt.
-Hosts whose pages all mark an article take no part in that and are not shuffled.
+holds them, and the groups' runs are merged by a shuffle. So no result depends on how a host is dealt.
+Hosts whose pages all mark an article take no part in that.
 
 Defined cases: null html is empty and has no text; a null url is the host ''; repeated rows each
-get their text, and equal pages do not count as two for repetition; unclosed tags end with the
+get their text, and equal pages do not count as two for repetition, nor do equal articles; unclosed tags end with the
 page; an empty table gives an empty result. Output columns are the id, url and text.
 """
 
@@ -21,7 +31,8 @@ from __future__ import annotations
 
 import re
 from bisect import bisect_left
-from collections.abc import Iterator
+from collections import defaultdict
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -32,13 +43,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from survperf.llm.common import cut, small_batches
+from survperf.llm.common import cut, small_batches, written
 
 #: Tokens of a run.
 RUN = 8
+#: Share of a host's different articles that have a block at one end if it is furniture, and how many articles the host has at least.
+SHARE, FEWEST = 0.75, 4
 #: Text of the pages that one task works on.
 GROUP_BYTES = 1 << 21
-#: Hosts whose names are broadcast; more are joined by a shuffle.
+#: Hosts, or runs of hosts, that are broadcast; more are joined by a shuffle.
 MOST_BROADCAST = 500_000
 
 #: Elements whose content is no text.
@@ -49,6 +62,7 @@ _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*("[^"]*"|'[^']*'|[^\s>]+)""",
 _INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter nobr output q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _CLOSED_BY_BLOCK = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 _BOILER = frozenset("nav header footer aside form menu dialog button head".split())
 _MAIN = frozenset(("article", "main"))
 _BOILER_NAME = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|notice|gdpr|popup|modal|newsletter|subscribe|nav\w*|menu|breadcrumbs?|sidebar|footer|masthead|site-?header|page-?header|comments?|disqus|respond|share|social|related|recommend\w*|widget|login|search)(?:$|[\s_-])", re.I)
@@ -65,6 +79,7 @@ class Block:
     main: bool
     #: Inside an article that a telling class or id marks, on it or around it.
     marked: bool = False
+    heading: bool = False
 
 
 class _Ends:
@@ -148,7 +163,7 @@ def blocks_of(html: str) -> list[Block]:
             main = next((i for i, s in enumerate(stack) if s[2]), None)
             inside = any(s[3] and not s[2] for s in stack[main or 0 :])
             marked = main is not None and any(s[3] and (i < main or s[2]) for i, s in enumerate(stack))
-            out.append(Block(text, any(s[1] for s in stack) or inside, main is not None, marked))
+            out.append(Block(text, any(s[1] for s in stack) or inside, main is not None, marked, any(s[0] in _HEADINGS for s in stack)))
 
     for kind, tag, content in pieces_of(html):
         if kind == "text":
@@ -203,40 +218,109 @@ def run_key(tokens: list[str], whole: bool) -> bytes:
     return xxhash.xxh3_128_digest(("\0" if whole else "\1") + "\0".join(tokens))
 
 
+def sorted_runs(streams: list[list[str]], run: int = RUN) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """The streams' tokens, one more behind each stream; where runs of ``run`` tokens begin, equal runs side by side; the stream of each; and which of them are the first of their run."""
+    ids: dict[str, int] = {}
+    tokens: list[str] = []
+    flat: list[int] = []
+    for n, stream in enumerate(streams):
+        flat += [ids.setdefault(t, len(ids)) for t in stream] + [-1 - n]  # a separator that occurs once
+        tokens += [*stream, ""]
+    x = np.array(flat, np.int64)
+    order = suffix_array(x)
+    # suffixes that share their first `run` tokens are neighbours
+    ends = np.minimum.accumulate(np.where(x < 0, np.arange(len(x)), len(x))[::-1])[::-1]
+    order = order[ends[order] - order >= run]
+    heads = np.stack([x[order + i] for i in range(run)], 1)
+    new = np.ones(len(order), bool)
+    new[1:] = (heads[1:] != heads[:-1]).any(1)
+    return tokens, order, -1 - x[ends[order]], np.flatnonzero(new)
+
+
 def local_runs(streams: list[list[str]], owners: list[str], run: int = RUN) -> dict[bytes, tuple[str, str]]:
     """The distinct runs of ``run`` tokens and the whole shorter streams, with the smallest and largest owner of each."""
     names = sorted(set(owners))
     number = {o: i for i, o in enumerate(names)}
     found: dict[bytes, tuple[str, str]] = {}
-    ids: dict[str, int] = {}
-    tokens: list[str] = []
-    flat, own = [], []
+    long, own = [], []
     for stream, who in zip(streams, owners, strict=True):
         if len(stream) < run:
             key = run_key(stream, True)
             low, high = found.get(key, (who, who))
             found[key] = min(low, who), max(high, who)
             continue
-        flat += [ids.setdefault(t, len(ids)) for t in stream] + [-1 - len(own)]  # a separator that occurs once
-        tokens += [*stream, ""]
-        own += [number[who]] * (len(stream) + 1)
-    if not flat:
+        long.append(stream)
+        own.append(number[who])
+    if not long:
         return found
-    x, owner = np.array(flat, np.int64), np.array(own, np.int64)
-    order = suffix_array(x)
-    # suffixes that share their first `run` tokens are neighbours
-    ends = np.minimum.accumulate(np.where(x < 0, np.arange(len(x)), len(x))[::-1])[::-1]
-    fits = ends[order] - order >= run
-    heads = np.stack([x[np.minimum(order + i, len(x) - 1)] for i in range(run)], 1)
-    same = np.zeros(len(order), bool)
-    same[1:] = (heads[1:] == heads[:-1]).all(1) & fits[1:] & fits[:-1]
-    first = np.flatnonzero(~same)
-    low, high = np.minimum.reduceat(owner[order], first), np.maximum.reduceat(owner[order], first)
-    for at, lo, hi in zip(order[first][fits[first]].tolist(), low[fits[first]].tolist(), high[fits[first]].tolist(), strict=True):
-        found[run_key(tokens[at : at + run], False)] = names[lo], names[hi]
+    tokens, order, at, first = sorted_runs(long, run)
+    owner = np.array(own)[at]
+    low, high = np.minimum.reduceat(owner, first), np.maximum.reduceat(owner, first)
+    for start, lo, hi in zip(order[first].tolist(), low.tolist(), high.tolist(), strict=True):
+        found[run_key(tokens[start : start + run], False)] = names[lo], names[hi]
     return found
 
 
+def counted_runs(articles: list[list[str]], tiles: bool, run: int = RUN) -> dict[bytes, int]:
+    """How many of the ``articles``, given as blocks, hold each of the runs of ``run`` tokens that begin a block, or of the ``tiles`` of blocks."""
+    streams, owner = [], []
+    for n, blocks in enumerate(articles):
+        for tokens in (b.lower().split() for b in blocks):
+            if len(tokens) >= run:
+                streams.append(tokens)
+                owner.append(n)
+    if not streams:
+        return {}
+    tokens, order, at, first = sorted_runs(streams, run)
+    size = np.array([len(s) for s in streams])
+    place = order - (np.cumsum(size + 1) - size - 1)[at]
+    wanted = (place == 0) | tiles & ((place % run == 0) | (place == size[at] - run))
+    group = np.zeros(len(order), np.int64)
+    group[first[1:]] = 1
+    held = np.unique(np.cumsum(group)[wanted] * len(articles) + np.array(owner)[at][wanted])
+    runs, counts = np.unique(held // len(articles), return_counts=True)
+    return {run_key(tokens[i : i + run], False): n for i, n in zip(order[first[runs]].tolist(), counts.tolist(), strict=True)}
+
+
+def tiles_of(low: list[str], run: int = RUN) -> list[bytes]:
+    """The runs of ``run`` tokens one after another that hold all of a block, the last one up to its end; none of a shorter block."""
+    return [run_key(low[at : at + run], False) for at in [*range(0, len(low) - run, run), len(low) - run] if at >= 0]
+
+
+#: An article's blocks, and how many at its begin and at its end lie before or behind all headings.
+Article = tuple[list[str], int, int]
+
+
+def trimmed(article: Article, starts: set[bytes], stops: set[bytes], common: set[bytes]) -> list[str]:
+    """An article's blocks without the furniture at its ends: ``starts`` and ``stops`` are the runs that begin a first and a last block, ``common`` the runs that tile furniture."""
+    blocks, lead, tail = article
+    lows = [b.lower().split() for b in blocks]
+    tiles = [tiles_of(low) for low in lows]
+    covered = [bool(t) and common.issuperset(t) for t in tiles]
+    if 2 * sum(len(low) for low, c in zip(lows, covered, strict=True) if c) > sum(map(len, lows)):
+        return blocks
+    begin, end = 0, len(blocks)
+    if starts.intersection(tiles[0][:1]):
+        while begin < lead and covered[begin]:
+            begin += 1
+    if stops.intersection(tiles[-1][:1]):
+        while end > len(blocks) - tail and covered[end - 1]:
+            end -= 1
+    return blocks[begin:end]
+
+
+def kinds_of(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
+    """What ``counted_runs`` finds among the first (0) and the last (1) blocks of articles."""
+    yield 0, counted_runs([blocks[: min(lead, 1)] for blocks, lead, _ in articles], False)
+    yield 1, counted_runs([blocks[-1:] if tail else [] for blocks, _, tail in articles], False)
+
+
+def with_tiles(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
+    """These and the tiles of all blocks (2)."""
+    yield from kinds_of(articles)
+    yield 2, counted_runs([blocks for blocks, _, _ in articles], True)
+
+
 def unique_runs(text: str, shared: set[bytes], run: int = RUN) -> str:
     """``text`` without the tokens that lie in shared runs."""
     words, low = text.split(), text.lower().split()
@@ -251,11 +335,14 @@ def unique_runs(text: str, shared: set[bytes], run: int = RUN) -> str:
     return text if left.all() else " ".join(w for w, k in zip(words, left.tolist(), strict=True) if k)
 
 
-def article_of(blocks: list[Block]) -> str | None:
-    """The text of the article that a page marks, if it marks one. Marked articles are no part of it where another one stands beside them."""
+def article_of(blocks: list[Block]) -> Article | None:
+    """The article that a page marks, if it marks one. Marked articles are no part of it where another one stands beside them."""
     own = [b for b in blocks if b.main and not b.boiler]
-    main = [b.text for b in own if not b.marked] or [b.text for b in own]
-    return "\n\n".join(main) if main else None
+    article = [b for b in own if not b.marked] or own
+    if not article:
+        return None
+    headings = [i for i, b in enumerate(article) if b.heading] or [len(article), -1]
+    return [b.text for b in article], headings[0], len(article) - 1 - headings[-1]
 
 
 def main_texts(pages: list[str]) -> list[str]:
@@ -264,10 +351,13 @@ def main_texts(pages: list[str]) -> list[str]:
     streams = [(b.text.lower().split(), p) for p, blocks in parsed.items() for b in blocks if not b.main]
     runs = local_runs([s for s, _ in streams], [p for _, p in streams])
     shared = {k for k, (low, high) in runs.items() if low != high}
+    articles = list({str(a): a for blocks in parsed.values() if (a := article_of(blocks))}.values())
+    found = with_tiles(articles if len(articles) >= FEWEST else [])
+    starts, stops, common = ({k for k, n in counts.items() if n >= SHARE * len(articles)} for _, counts in found)
     texts = []
     for p in pages:
         article = article_of(parsed[p])
-        texts.append(_bare_text([b.text for b in parsed[p] if not b.boiler], shared) if article is None else article)
+        texts.append(_bare_text([b.text for b in parsed[p] if not b.boiler], shared) if article is None else "\n\n".join(trimmed(article, starts, stops, common)))
     return texts
 
 
@@ -283,29 +373,79 @@ def host_of(url: Column) -> Column:
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(id, url, text) of every row of ``pages``."""
     small_batches(pages.sparkSession)
-    kinds = [T.StructField("id", pages.schema[id_col].dataType), T.StructField("url", pages.schema[url_col].dataType)]
-    named = T.StructType([*kinds, T.StructField("host", T.StringType()), T.StructField("page", T.StringType()), T.StructField("text", T.StringType()), T.StructField("own", T.ArrayType(T.StringType())), T.StructField("size", T.LongType()), T.StructField("outside", T.ArrayType(T.StringType()))])
+    texts = T.ArrayType(T.StringType())
+    kinds = {"id": pages.schema[id_col].dataType, "url": pages.schema[url_col].dataType, "host": T.StringType(), "page": T.StringType(), "article": T.StringType(), "own": texts, "lead": T.IntegerType(), "tail": T.IntegerType(), "size": T.LongType(), "outside": texts}
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """text: that of a marked article; own: the blocks that may be a page's text where it marks none; outside: the blocks that may tell boilerplate."""
+        """article: name of a marked article; own, lead, tail: its parts, or own: the blocks that may be a page's text where it marks none; outside: the blocks that may tell boilerplate."""
         for b in batches:
             rows = []
             for html in b["html"]:
                 blocks = blocks_of(html)
                 article, outside = article_of(blocks), [x.text for x in blocks if not x.main]
-                rows.append((xxhash.xxh3_128_hexdigest(html), article, None if article is not None else [x.text for x in blocks if not x.boiler], sum(map(len, outside)) + 1, outside))
-            parts = pd.DataFrame(rows, columns=["page", "text", "own", "size", "outside"], index=b.index, dtype=object)
+                name = None if article is None else xxhash.xxh3_128_hexdigest(str(article))
+                rows.append((xxhash.xxh3_128_hexdigest(html), name, *(article or ([x.text for x in blocks if not x.boiler], 0, 0)), sum(map(len, outside)) + 1, outside))
+            parts = pd.DataFrame(rows, columns=["page", "article", "own", "lead", "tail", "size", "outside"], index=b.index, dtype=object)
             yield pd.concat([b[["id", "url", "host"]], parts], axis=1)
 
     read = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), host_of(F.col(url_col)).alias("host"), F.coalesce(F.col(html_col), F.lit("")).alias("html"))
-    parsed = cut(read.mapInPandas(parse, named))
-    result = [F.col("id").alias(id_col), F.col("url").alias(url_col), "text"]
-    bare = cut(parsed.filter("text is null").select("host").distinct())
-    if bare.isEmpty():
-        return parsed.select(*result)
-    own = bare_texts(parsed.join(_small(bare), "host", "left_semi"))
-    rest = parsed.filter("text is null").drop("text").join(own, ["host", "page"])
-    return parsed.filter("text is not null").select(*result).unionByName(rest.select(*result))
+    parsed, _ = written(read.mapInPandas(parse, T.StructType([T.StructField(k, t) for k, t in kinds.items()])))
+    texts_of = article_texts(parsed.filter("article is not null").select("id", "url", "host", "article", "own", "lead", "tail"))
+    bare = cut(parsed.filter("article is null").select("host").distinct())
+    if not bare.isEmpty():
+        own = bare_texts(parsed.withColumn("own", F.when(F.col("article").isNull(), F.col("own"))).join(_small(bare), "host", "left_semi"))
+        texts_of = texts_of.unionByName(parsed.filter("article is null").select("id", "url", "host", "page").join(own, ["host", "page"]).select("id", "url", "text"))
+    return texts_of.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text")
+
+
+def article_texts(marked: DataFrame) -> DataFrame:
+    """(id, url, text) of pages that mark an article, with its name and parts."""
+    most, counts = GROUP_BYTES, "host string, kind int, run binary, n long"
+
+    def counted(count: Callable[[list[Article]], Iterator[tuple[int, dict[bytes, int]]]]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        """Rows of ``counts`` of what ``count`` finds among the different articles of a host in each group."""
+
+        def rows(held: dict[str, dict[str, Article]]) -> pd.DataFrame:
+            return pd.DataFrame([(host, kind, run, n) for host, articles in held.items() for kind, found in count(list(articles.values())) for run, n in found.items()], columns=["host", "kind", "run", "n"])
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            held: dict[str, dict[str, Article]] = defaultdict(dict)
+            size = 0
+            for b in batches:
+                for host, article, own, lead, tail in b[["host", "article", "own", "lead", "tail"]].itertuples(index=False):
+                    held[host][article] = list(own), lead, tail
+                    size += sum(map(len, own))
+                    if size >= most:
+                        yield rows(held)
+                        held, size = defaultdict(dict), 0
+            yield rows(held)
+
+        return find
+
+    whole = marked.select("id", "url", F.array_join("own", "\n\n").alias("text"))
+    number = marked.select("host", "article").distinct().groupBy("host").agg(F.count("*").alias("articles")).filter(F.col("articles") >= FEWEST)
+    number = _small(cut(number))
+    outermost = marked.select("host", "article", F.array(F.element_at("own", 1), F.element_at("own", -1)).alias("own"), "lead", "tail")
+    # an article on pages in several groups counts more than once here; that asks more hosts, which are counted exactly below
+    ends = outermost.mapInPandas(counted(kinds_of), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
+    asked = cut(ends.join(number, "host").filter(F.col("n") >= SHARE * F.col("articles")).select("host", "articles").distinct())
+    if asked.isEmpty():
+        return whole
+    hosts = _small(asked)
+    different = marked.select("host", "article", "own", "lead", "tail").join(hosts.select("host"), "host", "left_semi").dropDuplicates(["host", "article"])
+    runs = different.mapInPandas(counted(with_tiles), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
+    found = cut(runs.join(hosts, "host").filter(F.col("n") >= SHARE * F.col("articles")).select("host", "kind", "run"))
+    names = ("starts", "stops", "common")
+    of_host = found.groupBy("host").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("run"))).alias(c) for k, c in enumerate(names)]).filter("size(starts) + size(stops) > 0")
+
+    @F.pandas_udf("string")
+    def text(own: pd.Series, lead: pd.Series, tail: pd.Series, starts: pd.Series, stops: pd.Series, common: pd.Series) -> pd.Series:
+        parts = zip(own, lead, tail, starts, stops, common, strict=True)
+        return pd.Series(["\n\n".join(b if c is None else trimmed((list(b), i, j), set(s), set(t), set(c))) for b, i, j, s, t, c in parts], dtype=object)
+
+    # few runs are common to a host's articles: no more than 1 / SHARE of an article's
+    few = F.broadcast(of_host) if found.count() <= MOST_BROADCAST else of_host
+    return marked.join(few, "host", "left").select("id", "url", text("own", "lead", "tail", *names).alias("text"))
 
 
 def _small(hosts: DataFrame) -> DataFrame:

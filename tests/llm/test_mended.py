@@ -136,3 +136,66 @@ def test_near_copies_are_met_by_their_fingerprints_first(spark):
     got = {tuple(r) for r in similar.print_pairs(sets).collect()}
     assert got and got <= linked
     assert sorted(r.doc_id for r in similar.keep_one(df).collect()) == [1, 9]
+
+
+NOTICE = "Sign up today for the weekly letter of our newsroom"
+ABOUT = "All of our stories are written and checked by people who live here"
+QUOTE = "what one article repeats of another is content and stays where it is"
+
+
+def host_pages(n, blocks_of):
+    """Pages of ``n`` different articles; ``blocks_of`` puts the story's blocks among others."""
+    story = lambda i: [f"Story {i}", *(f"paragraph {k} of story {i} tells of {'abcdefgh'[k]} and of nothing else at all" for k in range(4))]
+    return [f"<body><nav><li>Home</nav><article>{''.join(f'<p>{b}</p>' for b in blocks_of(i, story(i)))}</article><footer>us</footer></body>" for i in range(n)], [story(i) for i in range(n)]
+
+
+def furnished_host():
+    """(page, main text) of a host that ends three of four articles with two notices and begins all with one."""
+    pages, stories = host_pages(8, lambda i, s: [ABOUT.upper(), *s[:2], *[QUOTE] * (i > 0), *s[2:], *([NOTICE, ABOUT] if i % 4 else [ABOUT, NOTICE][:i])])
+    for i, s in enumerate(stories):
+        s[2:2] = [QUOTE] * (i > 0)
+    stories[4] += [ABOUT, NOTICE]  # the host does not end its articles like this
+    return [(p, "\n\n".join(s)) for p, s in zip(pages, stories, strict=True)]
+
+
+def test_html_suffix_array_decides_in_articles(spark, monkeypatch):
+    texts, want = zip(*furnished_host(), strict=True)
+    assert html.main_texts(list(texts)) == list(want)
+    other, kept = host_pages(3, lambda i, s: [*s, NOTICE])  # too few articles to tell
+    rows = [(i, f"https://H.example/{i}", p) for i, p in enumerate(texts)] + [(99, "https://h.example/copy", texts[2])] + [(50 + i, "http://other.example/", p) for i, p in enumerate(other)]
+    answers = [*enumerate(want), (99, want[2]), *((50 + i, "\n\n".join([*s, NOTICE])) for i, s in enumerate(kept))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size, most in ((html.GROUP_BYTES, html.MOST_BROADCAST), (64, 0)):
+        monkeypatch.setattr(html, "GROUP_BYTES", size)
+        monkeypatch.setattr(html, "MOST_BROADCAST", most)
+        assert sorted((r.page_id, r.text) for r in html.extract(df.repartition(3)).collect()) == sorted(answers)
+
+
+def test_html_what_articles_share_stays(spark):
+    """Passages in the middle, ends that fewer share, copies of articles, versions of one story, short last blocks."""
+    pages, stories = host_pages(8, lambda i, s: [*s[:3], NOTICE, *s[3:], *[ABOUT] * (i < 5)])
+    want = ["\n\n".join([*s[:3], NOTICE, *s[3:], *[ABOUT] * (i < 5)]) for i, s in enumerate(stories)]
+    assert html.main_texts(pages) == want
+    df = spark.createDataFrame([(k, f"http://h.example/{i}", p.replace("us", f"us {k}")) for i, p in enumerate(pages) for k in range(9 if i < 5 else 1)], "page_id long, url string, html string")
+    assert {r.text for r in html.extract(df).collect()} == set(want)
+    versions, _ = host_pages(6, lambda i, s: [f"as of {i} o'clock", *[f"{QUOTE} {k}" for k in range(3)], *[NOTICE] * 3])
+    assert [t.count(NOTICE) for t in html.main_texts(versions)] == [3] * 6
+    titled = [f"<article><h1>{NOTICE}</h1><p>{s[1]}</p><p>{s[2]}</p><h2>Sources</h2><p>{ABOUT}</p></article>" for s in stories]
+    assert html.main_texts(titled) == ["\n\n".join([NOTICE, s[1], s[2], "Sources"]) for s in stories]
+    assert html.main_texts([p.replace("<h2>Sources</h2>", "").replace(ABOUT, f"<h2>{ABOUT}</h2>") for p in titled])[0].count(ABOUT) == 1
+    shared, stories = host_pages(6, lambda i, s: [*s, NOTICE, "Share"])
+    assert html.main_texts(shared) == ["\n\n".join([*s, NOTICE, "Share"]) for s in stories]
+
+
+def test_html_counted_runs():
+    """The suffix array's counts against a search without it."""
+    rng = np.random.default_rng(7)
+    articles = [[" ".join(f"w{x}" for x in rng.integers(0, 2, rng.integers(1, 14))) for _ in range(rng.integers(0, 4))] for _ in range(40)]
+    for tiles in (False, True):
+        held = {}
+        for n, blocks in enumerate(articles):
+            for t in (b.split() for b in blocks):
+                for key in html.tiles_of(t, 4)[: None if tiles else 1]:
+                    held.setdefault(key, set()).add(n)
+        assert html.counted_runs(articles, tiles, 4) == {k: len(v) for k, v in held.items()}
+    assert html.counted_runs([], True) == html.counted_runs([["a b"]], False) == {}
