@@ -9,12 +9,13 @@ the unique runs of a block stay.
 Articles quote and repeat each other, and most of what they repeat is content: where it stands and how many hold it decides.
 Furniture is what nearly all articles of a host begin or end with. At an end where ``SHARE`` of the host's different articles,
 ``FEWEST`` or more, have a block that begins with the same run of ``RUN`` tokens, blocks go from that end inwards as far as they
-are tiled by runs that so many of the articles hold. Articles that such runs make up to more than a half stay whole: they
+are tiled by runs that so many of the articles hold in blocks that begin alike. Articles that such runs make up to more than a half stay whole: they
 are versions of one story. No shorter block goes, and no heading: one ends the way inwards.
 
 For that, each task builds suffix arrays over the token streams of the outermost blocks of the articles that it reads, about
 ``GROUP_BYTES`` of text at a time, host by host; they give the runs that begin a block and how many articles hold them, and a shuffle
-adds these up. Only hosts whose articles share an end so far have their different articles shuffled, and their tiles counted likewise.
+adds these up. Only hosts whose articles share an end so far have more counted likewise: the runs that begin any block of their
+different articles, and the tiles of the blocks whose first run is common. Whole texts are not shuffled.
 
 On pages without an article runs are sought among the blocks of all pages of the host that lie outside a marked article. The pages of
 a host are dealt to tasks in groups of about ``GROUP_BYTES`` of text; in each a suffix array over the
@@ -309,16 +310,26 @@ def trimmed(article: Article, starts: set[bytes], stops: set[bytes], common: set
     return blocks[begin:end]
 
 
-def kinds_of(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
+def ends_counted(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
     """What ``counted_runs`` finds among the first (0) and the last (1) blocks of articles."""
     yield 0, counted_runs([blocks[: min(lead, 1)] for blocks, lead, _ in articles], False)
     yield 1, counted_runs([blocks[-1:] if tail else [] for blocks, _, tail in articles], False)
 
 
-def with_tiles(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
-    """These and the tiles of all blocks (2)."""
-    yield from kinds_of(articles)
-    yield 2, counted_runs([blocks for blocks, _, _ in articles], True)
+def begins_counted(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
+    """These and the runs that begin any block (2)."""
+    yield from ends_counted(articles)
+    yield 2, counted_runs([blocks for blocks, _, _ in articles], False)
+
+
+def tiles_counted(articles: list[Article]) -> Iterator[tuple[int, dict[bytes, int]]]:
+    """The tiles of all blocks (3)."""
+    yield 3, counted_runs([blocks for blocks, _, _ in articles], True)
+
+
+def begun_by(blocks: list[str], heads: set[bytes]) -> list[str]:
+    """The blocks that begin with one of the runs ``heads``."""
+    return [b for b in blocks if heads.intersection(tiles_of(b.lower().split()[:RUN]))]
 
 
 def unique_runs(text: str, shared: set[bytes], run: int = RUN) -> str:
@@ -352,8 +363,9 @@ def main_texts(pages: list[str]) -> list[str]:
     runs = local_runs([s for s, _ in streams], [p for _, p in streams])
     shared = {k for k, (low, high) in runs.items() if low != high}
     articles = list({str(a): a for blocks in parsed.values() if (a := article_of(blocks))}.values())
-    found = with_tiles(articles if len(articles) >= FEWEST else [])
-    starts, stops, common = ({k for k, n in counts.items() if n >= SHARE * len(articles)} for _, counts in found)
+    often = lambda counts: {k for k, n in counts.items() if n >= SHARE * len(articles)}
+    starts, stops, heads = (often(counts) for _, counts in begins_counted(articles if len(articles) >= FEWEST else []))
+    common = often(counted_runs([begun_by(a, heads) for a, _, _ in articles], True))
     texts = []
     for p in pages:
         article = article_of(parsed[p])
@@ -427,24 +439,40 @@ def article_texts(marked: DataFrame) -> DataFrame:
     number = _small(cut(number))
     outermost = marked.select("host", "article", F.array(F.element_at("own", 1), F.element_at("own", -1)).alias("own"), "lead", "tail")
     # an article on pages in several groups counts more than once here; that asks more hosts, which are counted exactly below
-    ends = outermost.mapInPandas(counted(kinds_of), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
+    ends = outermost.mapInPandas(counted(ends_counted), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
     asked = cut(ends.join(number, "host").filter(F.col("n") >= SHARE * F.col("articles")).select("host", "articles").distinct())
     if asked.isEmpty():
         return whole
     hosts = _small(asked)
-    different = marked.select("host", "article", "own", "lead", "tail").join(hosts.select("host"), "host", "left_semi").dropDuplicates(["host", "article"])
-    runs = different.mapInPandas(counted(with_tiles), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
-    found = cut(runs.join(hosts, "host").filter(F.col("n") >= SHARE * F.col("articles")).select("host", "kind", "run"))
-    names = ("starts", "stops", "common")
-    of_host = found.groupBy("host").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("run"))).alias(c) for k, c in enumerate(names)]).filter("size(starts) + size(stops) > 0")
+
+    def often(articles: DataFrame, count: Callable[[list[Article]], Iterator[tuple[int, dict[bytes, int]]]]) -> DataFrame:
+        """(host, kind, run) that ``SHARE`` of the different articles of a host hold."""
+        runs = articles.dropDuplicates(["host", "article"]).mapInPandas(counted(count), counts).groupBy("host", "kind", "run").agg(F.sum("n").alias("n"))
+        return cut(runs.join(hosts, "host").filter(F.col("n") >= SHARE * F.col("articles")).select("host", "kind", "run"))
+
+    def by_host(runs: DataFrame, names: dict[str, int]) -> DataFrame:
+        """The runs of each host; few are common to its articles, no more than 1 / SHARE of an article's, so they are broadcast for few hosts."""
+        lists = runs.groupBy("host").agg(*[F.collect_list(F.when(F.col("kind") == k, F.col("run"))).alias(c) for c, k in names.items()])
+        return F.broadcast(lists) if runs.count() <= MOST_BROADCAST else lists
+
+    def alike(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            own = [begun_by(list(blocks), set(heads)) for blocks, heads in zip(b["own"], b["heads"], strict=True)]
+            yield b[["host", "article"]].assign(own=pd.Series(own, index=b.index, dtype=object), lead=0, tail=0)
+
+    of_asked = marked.join(hosts.select("host"), "host", "left_semi")
+    begins = often(of_asked.select("host", "article", F.transform("own", lambda b: F.substring_index(b, " ", RUN)).alias("own"), "lead", "tail"), begins_counted)
+    furnished = begins.filter("kind < 2").select("host").distinct()
+    heads = by_host(begins.join(furnished, "host"), {"heads": 2})
+    tiles = often(marked.select("host", "article", "own").join(heads, "host").mapInPandas(alike, "host string, article string, own array<string>, lead int, tail int"), tiles_counted)
+    names = {"starts": 0, "stops": 1, "common": 3}
+    few = by_host(begins.filter("kind < 2").unionByName(tiles), names)
 
     @F.pandas_udf("string")
     def text(own: pd.Series, lead: pd.Series, tail: pd.Series, starts: pd.Series, stops: pd.Series, common: pd.Series) -> pd.Series:
         parts = zip(own, lead, tail, starts, stops, common, strict=True)
         return pd.Series(["\n\n".join(b if c is None else trimmed((list(b), i, j), set(s), set(t), set(c))) for b, i, j, s, t, c in parts], dtype=object)
 
-    # few runs are common to a host's articles: no more than 1 / SHARE of an article's
-    few = F.broadcast(of_host) if found.count() <= MOST_BROADCAST else of_host
     return marked.join(few, "host", "left").select("id", "url", text("own", "lead", "tail", *names).alias("text"))
 
 
