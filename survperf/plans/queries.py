@@ -528,8 +528,7 @@ def geometry_faults(spark, folder):
 def adjacency_nearest(spark, folder):
     """Parcels far from all others, with their nearest ones."""
     parcels = td.parcels(spark, folder, apart=7)
-    edges = graph.contiguity(parcels)
-    return graph.attach_islands(edges, graph.centroids(parcels)).join(edges, ["focal", "neighbour"], "left_anti")
+    return graph.island_links(graph.contiguity(parcels), graph.centroids(parcels))
 
 
 # labels and streams
